@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mortise.llm.common import table
 from mortise.llm.gif import media_features
+from mortise.llm.hilbert import shards
 from mortise.llm.minhash import edit_fingerprints
 from mortise.llm.packing import pack
 from mortise.llm.simhash import near_duplicates
@@ -36,6 +37,10 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_gif": op6_gif, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op6_gif": op6_gif, "op8_hilbert": op8_hilbert, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
