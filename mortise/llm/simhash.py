@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mortise.llm.buckets import bucket_links
-from mortise.llm.common import doc_texts, map_rows, settled, texts_of
+from mortise.llm.common import doc_texts, map_rows, settled, texts_of, with_key
 from mortise.llm.graph import components
 
 #: Shingles whose bits are counted at a time.
@@ -90,3 +91,17 @@ def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, words:
     prints = settled(fingerprints(docs, words))
     ids = fingerprint_components(prints, distance, blocks)
     return prints.join(ids, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 3, blocks: int = 5, words: int = 3) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is the least of its component.
+
+    Of rows that repeat such an id, the one with the least text stays. Rows with a null doc_id
+    count as one id, which is left only where a component has no other.
+    """
+    near = near_duplicates(docs, distance, blocks, words)
+    keepers = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keeper")).distinct()
+    place = with_key(docs, "_place")
+    kept = docs.join(keepers, docs["doc_id"].cast("long").eqNullSafe(keepers["_keeper"]), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy("text")
+    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
