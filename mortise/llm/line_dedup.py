@@ -221,12 +221,12 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, r
     text = F.col("text").cast("string")
     keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(body, body_of(text)).withColumn(flag, may(F.col(body)))
     joined = keyed.where(F.col(flag)).join(drops.select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("drops").alias(lines)), [doc, body], "left")
-    gone = F.coalesce(F.size(lines), F.lit(0)) if docs.sparkSession.conf.get("spark.sql.legacy.sizeOfNull") != "true" else F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines))
+    gone = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines))
     changed = joined.withColumn("text", cleaned(text, F.col(lines)))
     every = [F.col(c) for c in docs.columns]
     if counts:
         total = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
-        changed = joined.withColumn("n_lines", total).withColumn("n_dropped", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", cleaned(text, F.col(lines)))
+        changed = joined.withColumn("n_lines", total).withColumn("n_dropped", gone).withColumn("text", cleaned(text, F.col(lines)))
         same = keyed.where(~F.col(flag)).withColumn("n_lines", total).withColumn("n_dropped", F.lit(0))
         every += [F.col("n_lines"), F.col("n_dropped")]
     else:
