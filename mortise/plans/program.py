@@ -45,29 +45,23 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
                     delta[p] = new
                 known[p] = known[p].unionByName(new) if p in known else new
 
-        def empty(p: str) -> None:
-            if p not in known:
-                rule = next(r for r in group if r.head[0] == p)
-                simple = [r for r in group if r.head[0] == p and not any(x[0] in heads for x in r.body)]
-                if not simple:
-                    raise ValueError(f"{rule.head[0]} has no rule to start from")
-
-        for p in heads:
-            empty(p)
         start = [r for r in group if all(x[0] in known for x in r.body if x[0] not in SPECIAL)]
+        if not start:
+            raise ValueError(f"no rule can start for {', '.join(sorted(heads))}")
         found: dict[str, list[DataFrame]] = {}
         for r in start:
             found.setdefault(r.head[0], []).append(conclusions(r, known, rep))
         absorb(found)
         ran = set(map(id, start))
+        able = lambda r: all(x[0] in known for x in r.body if x[0] not in SPECIAL)
         for _ in range(most):
-            if not delta:
+            if not delta and not any(id(r) not in ran and able(r) for r in group):
                 break
             seen = known | {p + DELTA: d for p, d in delta.items()}
             found = {}
             for r in group:
                 if id(r) not in ran:
-                    if all(x[0] in known for x in r.body if x[0] not in SPECIAL):
+                    if able(r):
                         ran.add(id(r))
                         found.setdefault(r.head[0], []).append(conclusions(r, known, rep))
                     continue
@@ -79,6 +73,8 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
             absorb(found)
         else:
             raise Truncated(f"no fixpoint after {most} rounds")
+        if missing := heads - set(known):
+            raise ValueError(f"no rule can start for {', '.join(sorted(missing))}")
     return known
 
 
