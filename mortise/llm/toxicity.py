@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -203,8 +204,6 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, model: Toxicity) -> DataFrame:
     """The rows of `docs`, with all their columns, that `model` does not call toxic."""
-    import pandas as pd
-
     flag = with_key(docs, "_toxic")
 
     @F.pandas_udf("boolean")
