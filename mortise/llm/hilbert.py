@@ -7,6 +7,8 @@ other in any dimension share files, so a filter on any of them prunes most files
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,40 +38,48 @@ def cells(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> Dat
     return df
 
 
+@lru_cache(maxsize=8)
+def steps(dims: int) -> list[int]:
+    """The curve as an automaton: entry state * 2^dims + corner holds next state * 2^dims + digit.
+
+    A state is the corner where the curve enters a cell and the axis along which it leaves; corners
+    are visited in Gray-code order, turned by the state.
+    """
+    size = (1 << dims) - 1
+    right = lambda x, k: (x >> k | x << dims - k) & size
+    left = lambda x, k: (x << k | x >> dims - k) & size
+    gray = lambda i: i ^ i >> 1
+    order = {gray(i): i for i in range(1 << dims)}
+    ones = lambda i: (~i & i + 1).bit_length() - 1  # trailing ones
+    out = []
+    for enter in range(1 << dims):
+        for axis in range(dims):
+            for corner in range(1 << dims):
+                k = (axis + 1) % dims
+                digit = order[right(corner ^ enter, k)]
+                start = 0 if digit == 0 else gray(2 * ((digit - 1) // 2))
+                along = 0 if digit == 0 else ones(digit - 1 if digit % 2 == 0 else digit) % dims
+                state = (enter ^ left(start, k)) * dims + (axis + along + 1) % dims
+                out.append(state << dims | digit)
+    return out
+
+
 def hilbert_index(df: DataFrame, names: list[str], out: str, bits: int = BITS) -> DataFrame:
     """df with `out`, the index on the Hilbert curve of the cells in columns `names` (which are used up).
 
-    The axes are turned into the transposed index bit by bit, from the leading bit down (exchange and
-    invert), then Gray-decoded and interleaved; each step is one projection.
+    One look-up in the curve's automaton for each bit, from the leading one down.
     """
-    first, rest = names[0], names
+    n, state = len(names), with_key(df, "_state")
+    table, index = F.lit(steps(n)), F.lit(0).cast("long")
     other = [c for c in df.columns if c not in names]
-    x0 = F.col(first)
-    for b in range(bits - 1, 0, -1):
-        bit, low = 1 << b, (1 << b) - 1
-        for n in rest:
-            x = F.col(n)
-            hit = x.bitwiseAND(bit) != 0
-            if n == first:
-                df = df.withColumn(first, F.when(hit, x.bitwiseXOR(low)).otherwise(x))
-                continue
-            swap = x0.bitwiseXOR(x).bitwiseAND(low)
-            df = df.select(*other, *(F.when(hit, x0.bitwiseXOR(low)).otherwise(x0.bitwiseXOR(swap)).alias(c) if c == first else F.when(hit, x).otherwise(x.bitwiseXOR(swap)).alias(c) if c == n else F.col(c) for c in names))
-    for before, n in zip(names, names[1:], strict=False):
-        df = df.withColumn(n, F.col(n).bitwiseXOR(F.col(before)))
-    last = F.col(names[-1])
-    turn = F.lit(0).cast("long")
-    for b in range(bits - 1, 0, -1):
-        turn = turn.bitwiseXOR(F.when(last.bitwiseAND(1 << b) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)).cast("long"))
-    mark = with_key(df, "_turn")
-    df = df.withColumn(mark, turn)
-    for n in names:
-        df = df.withColumn(n, F.col(n).bitwiseXOR(F.col(mark)))
-    index = F.lit(0).cast("long")
+    df = df.select("*", index.alias(out), F.lit(0).alias(state))
     for b in range(bits - 1, -1, -1):
-        for n in names:
-            index = F.shiftleft(index, 1).bitwiseOR(F.shiftright(F.col(n), b).bitwiseAND(1))
-    return df.withColumn(out, index).drop(*names, mark)
+        corner = sum((F.shiftleft(F.shiftright(F.col(c), b).bitwiseAND(1), j) for j, c in enumerate(names)), F.lit(0).cast("long")).cast("int")
+        step = F.get(table, F.col(state) * (1 << n) + corner)
+        df = df.select(*other, *names, out, step.alias(state))
+        digit = F.col(state).bitwiseAND((1 << n) - 1).cast("long")
+        df = df.select(*other, *names, F.shiftleft(F.col(out), n).bitwiseOR(digit).alias(out), F.shiftright(F.col(state), n).alias(state))
+    return df.select(*other, out)
 
 
 def ranked(df: DataFrame, order: list[str], out: str, total: str) -> DataFrame:
