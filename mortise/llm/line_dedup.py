@@ -18,8 +18,11 @@ from mortise.llm.graph import components
 from mortise.llm.membership import Membership
 from mortise.llm.minhash import mix
 
-#: Characters of a shingle, least similarity, bands and hashes a band (a pair at 0.8 is missed once in 120).
-CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
+#: Characters of a shingle (long enough that unrelated lines share few), least similarity, bands and
+#: hashes a band: a pair at 0.8 is missed once in 120, one at 0.85 once in 1200, one at 0.9 once in 10^5.
+CHARS, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 5
+#: Groups up to this size are compared set by set, larger ones by a product of incidence blocks.
+FEW = 24
 #: Code points hashed at a time.
 PART = 1 << 17
 #: Lines of a bucket that are checked in one task.
