@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortise.functions import measures
-from mortise.operators import belief, closure, constraints, context, metric_time, qualitative
+from mortise.operators import belief, closure, constraints, context, metric_time, qualitative, solve, terms
 from mortise.plans.compile import answer
 from mortise.plans.kb import KB
 from mortise.plans.lang import Rule
@@ -623,4 +623,149 @@ def n8(spark, sf):
     return read(spark, sf, "events").groupBy(F.col("event_type").alias("predicate")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("subjects"))
 
 
+# --- terms, preserved arguments, further literals
+
+
+@query("b7_negative_literal", f"SELECT doc_id AS d FROM {OPINIONS} WHERE toxic = 1")
+def b7(spark, sf):
+    facts = read(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", (F.col("toxic") == 0).alias("truth"))
+    return facts.where("not truth").select(F.col("doc_id").alias("d"))
+
+
+@query("c8_budget", "SELECT o_orderkey AS o FROM orders ORDER BY o_orderkey LIMIT 20")
+def c8(spark, sf):
+    """The first 20 answers in content order: the result bound is the feature."""
+    return answer({"order": rel(spark, sf, "orders", "o_orderkey")}, ("order", "?o")).orderBy("o").limit(20)
+
+
+@query("d7_hierarchical_join", f"WITH RECURSIVE e AS (SELECT * FROM ({TYPE_EDGES}) WHERE a <> b), c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), u AS (SELECT a, b FROM c UNION SELECT a, a FROM e UNION SELECT b, b FROM e) SELECT DISTINCT l_suppkey AS s, b AS t FROM lineitem JOIN part ON p_partkey = l_partkey JOIN u ON a = p_name")
+def d7(spark, sf):
+    isa = read(spark, sf, "part").select(F.col("p_partkey").alias("a1"), F.col("p_name").alias("a2"))
+    up = closure.reflexive(type_edges(spark, sf)).select(F.col("a").alias("a1"), F.col("b").alias("a2"))
+    t = trade(spark, sf) | {"isa": isa, "genl": up}
+    return answer(t, [("supplies", "?s", "?p"), ("isa", "?p", "?n"), ("genl", "?n", "?t")], ["s", "t"])
+
+
+@query("e11_skolem", "SELECT c_custkey AS c, 'nat/' || sha256('accountOf ' || c_custkey) AS account FROM customer")
+def e11(spark, sf):
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("c"), terms.minted("accountOf", F.col("c_custkey")).alias("account"))
+
+
+@query("f6_preserved", "SELECT DISTINCT p_name AS z, string_split(p_name, ' ')[-1] <> 'widget' AS truth FROM part")
+def f6(spark, sf):
+    """Things are sold by default, widgets aren't: the lower claim wins for all widget names."""
+    claims = spark.createDataFrame([("sold", "thing", True, 1), ("sold", "widget", False, 1)], "x string, node string, truth boolean, s int")
+    up = closure.reflexive(type_edges(spark, sf))
+    names = read(spark, sf, "part").select(F.col("p_name").alias("z")).distinct()
+    return terms.preserved(claims, up).join(names, "z", "left_semi").select("z", "truth")
+
+
+@query("f8_inverse", "SELECT s_suppkey AS a, s_nationkey::BIGINT AS b FROM supplier UNION SELECT c_nationkey::BIGINT, c_custkey FROM customer")
+def f8(spark, sf):
+    long = lambda df, a, b: df.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    return terms.inverse(long(read(spark, sf, "supplier"), "s_suppkey", "s_nationkey"), long(read(spark, sf, "customer"), "c_custkey", "c_nationkey"))
+
+
+@query("g10_retract", "SELECT DISTINCT l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey <> 1")
+def g10(spark, sf):
+    kb = KB(spark, trade(spark, sf)).rule(Rule(("available", "?p"), (("supplies", "?s", "?p"), ("supplier", "?s"))))
+    return kb.retract("supplier", [(1,)]).prove(("available", "?p"))
+
+
+@query("h9_measure_sum", "SELECT p_brand AS b, sum(DISTINCT p_size * CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 60.0 ELSE 3600.0 END)::DOUBLE AS seconds FROM part GROUP BY p_brand")
+def h9(spark, sf):
+    units = spark.createDataFrame([("Second", "Second", 1.0), ("Minute", "Second", 60.0), ("Hour", "Second", 3600.0)], "unit string, base string, factor double")
+    unit = F.element_at(F.array(F.lit("Second"), F.lit("Minute"), F.lit("Hour")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = measures.normalised(read(spark, sf, "part").select("p_brand", F.col("p_size").cast("double").alias("lo"), F.col("p_size").cast("double").alias("hi"), unit.alias("unit")), units)
+    t = {"brand": rows.select(F.col("p_brand").alias("a1")).distinct(), "lasts": rows.select(F.col("p_brand").alias("a1"), F.col("lo").alias("a2")).distinct()}
+    return answer(t, [("brand", "?b"), ("agg/sum", "?seconds", "?v", [("lasts", "?b", "?v")])], ["b", "seconds"])
+
+
+@query("i9_rewritten", "SELECT DISTINCT min(doc_id) OVER (PARTITION BY text) AS doc, lang FROM documents")
+def i9(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
+    low = docs.groupBy("h").agg(F.min("doc_id").alias("low"))
+    rep = closure.components(docs.join(low, "h").select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
+    return terms.rewritten(docs.select(F.col("doc_id").alias("doc"), "lang"), rep, "doc")
+
+
+@query("i13_corresponding", "SELECT c_custkey AS c, coalesce((SELECT min(o_orderkey)::VARCHAR FROM orders WHERE o_custkey = c_custkey), 'nat/' || sha256('firstOrder ' || c_custkey)) AS v FROM customer")
+def i13(spark, sf):
+    customers = read(spark, sf, "customer").select(F.col("c_custkey").alias("c"))
+    return terms.corresponding(customers, trade(spark, sf)["ordered"], "firstOrder", "c", "v")
+
+
+@query("j2_arg_genl", "SELECT DISTINCT p_name AS x FROM part WHERE string_split(p_name, ' ')[-1] <> 'widget'")
+def j2(spark, sf):
+    return constraints.arg_genl(read(spark, sf, "part").select(F.col("p_name").alias("x")).distinct(), closure.reflexive(type_edges(spark, sf)), "widget")
+
+
+@query("j3_inter_arg", "SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE s_nationkey = 3 AND string_split(p_name, ' ')[-1] <> 'widget'")
+def j3(spark, sf):
+    """Suppliers of nation 3 may only supply widgets."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    made = closure.members(read(spark, sf, "part").select(tag("p", "p_partkey").alias("x"), F.col("p_name").alias("t")), closure.reflexive(type_edges(spark, sf)))
+    member = made.union(read(spark, sf, "supplier").select(tag("s", "s_suppkey"), tag("nation", "s_nationkey")))
+    pairs = read(spark, sf, "lineitem").select(tag("s", "l_suppkey").alias("a"), tag("p", "l_partkey").alias("b")).distinct()
+    bad = constraints.inter_arg(pairs, member, "nation3", "widget")
+    return bad.select(F.substring("a", 2, 20).cast("long").alias("a"), F.substring("b", 2, 20).cast("long").alias("b"))
+
+
+@query("j8_clique", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_name <> b.n_name")
+def j8(spark, sf):
+    return closure.clique(read(spark, sf, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_name").alias("a")))
+
+
+@query("j12_anti_symmetric", f"SELECT x.a, x.b FROM {SUPPLY} x JOIN {SUPPLY} y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
+def j12(spark, sf):
+    return constraints.anti_symmetric(supply(spark, sf))
+
+
+@query("j18_lifted", "SELECT DISTINCT s_suppkey AS sid, 'CxUniverse' AS ctx FROM supplier UNION SELECT 100000 + r_regionkey, 'CxUniverse' FROM region")
+def j18(spark, sf):
+    return context.lifted(context_facts(spark, sf), "CxUniverse")
+
+
+@query("k3_points", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+def k3(spark, sf):
+    """A chain of instantBefore in each region; path consistency gives all later pairs."""
+    of = qualitative.calculus("point")
+    nation = read(spark, sf, "nation").select("n_regionkey", "n_nationkey")
+    after = nation.select("n_regionkey", F.col("n_nationkey").alias("b")).join(nation, "n_regionkey").where("n_nationkey < b").groupBy("n_regionkey", "n_nationkey").agg(F.min("b").alias("b"))
+    stated = after.select(F.col("n_regionkey").alias("ctx"), F.col("n_nationkey").alias("a"), "b", F.lit(of.mask("instantBefore")).alias("mask"))
+    return qualitative.entailed(qualitative.path_consistent(stated, of), of, "instantBefore").select("a", "b")
+
+
+@query("k4_regions", "SELECT 's' || s_suppkey AS a, 'r' || n_regionkey AS b FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def k4(spark, sf):
+    """Suppliers are inside nations, nations inside regions: non-tangential parts compose."""
+    of = qualitative.calculus("rcc8")
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    inside = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    # One context for each supplier keeps every network small.
+    stated = inside.select(F.col("s_suppkey").alias("ctx"), tag("s", "s_suppkey").alias("a"), tag("n", "n_nationkey").alias("b")).union(inside.select("s_suppkey", tag("n", "n_nationkey"), tag("r", "n_regionkey")))
+    tight = qualitative.path_consistent(stated.withColumn("mask", F.lit(of.mask("nonTangentialProperPart"))), of)
+    return qualitative.entailed(tight, of, "nonTangentialProperPart").where("a like 's%' and b like 'r%'").select("a", "b")
+
+
+@query("k15_overlap", f"SELECT x.u AS i, y.u AS j, greatest(0, least(x.b, y.b) - greatest(x.a, y.a))::DOUBLE AS seconds FROM {SPANS} x JOIN {SPANS} y ON y.u = x.u + 1")
+def k15(spark, sf):
+    t = F.expr("unix_micros(cast(ts as timestamp)) div 1000000").cast("double")
+    span = read(spark, sf, "events").groupBy(F.col("user_id").alias("u")).agg(F.min(t).alias("a"), (F.max(t) + 1).alias("b"))
+    other = span.select((F.col("u") - 1).alias("u"), F.col("u").alias("j"), F.col("a").alias("c"), F.col("b").alias("d"))
+    return span.join(other, "u").select(F.col("u").alias("i"), "j", metric_time.overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("seconds"))
+
+
+@query("l3_label", "SELECT n_regionkey::VARCHAR AS region, min(n_nationkey)::VARCHAR AS nation FROM nation GROUP BY n_regionkey")
+def l3(spark, sf):
+    """One nation of each region is chosen at the least cost; no two of one region."""
+    nation = read(spark, sf, "nation").select("n_regionkey", "n_nationkey", F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("atom"))
+    two = nation.select("n_regionkey", F.col("atom").alias("other"))
+    hard = nation.join(two, "n_regionkey").where("atom < other").select(F.array("atom", "other").alias("atoms"))
+    needs = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("atom")).alias("atoms")).select("atoms")
+    soft = nation.select(F.array("atom").alias("atoms"), F.col("n_nationkey").cast("double").alias("cost"))
+    chosen = solve.label(nation.select("atom"), needs, hard, soft)
+    return chosen.join(nation, "atom").select(F.col("n_regionkey").cast("string").alias("region"), F.col("n_nationkey").cast("string").alias("nation"))
+
+
 __all__ = ["FLAGSHIP", "oracle_sql", "queries", "unfold"]
