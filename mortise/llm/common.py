@@ -52,6 +52,17 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+#: Rows whose Python values a worker holds at a time.
+ROWS_AT_ONCE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded length; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow by a function from a batch to {column: values}; columns follow `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,10 +71,9 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict])
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = rows(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        for batch in slices(batches):
+            out = rows(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

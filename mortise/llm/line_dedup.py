@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mortise.llm.buckets import bucket_links
-from mortise.llm.common import doc_texts, map_rows, settled, texts_of, with_key
+from mortise.llm.common import ROWS_AT_ONCE, doc_texts, map_rows, settled, slices, texts_of, with_key
 from mortise.llm.graph import components
 from mortise.llm.membership import Membership
 from mortise.llm.minhash import mix
@@ -119,14 +118,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(line, doc, body, number) for every line that is not blank: key of the line, doc_id, key of the text, line number."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("line", "doc", "body", "number")}
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-            body = _text_key(text)
-            for i, line in enumerate(map(normal, text.split("\n"))):
-                if line:
-                    for k, v in zip(out, (line_key(line), NO_ID if doc is None else doc, body, i), strict=True):
-                        out[k].append(v)
-        return out
+        line, doc, body, number = [], [], [], []
+        for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+            kept = [(n, x) for n, x in enumerate(map(normal, text.split("\n"))) if x]
+            line += [line_key(x) for _, x in kept]
+            number += [n for n, _ in kept]
+            doc += [NO_ID if i is None else i] * len(kept)
+            body += [_text_key(text)] * len(kept)
+        return {"line": line, "doc": doc, "body": body, "number": number}
 
     return map_rows(doc_texts(docs), "line long, doc long, body long, number int", rows)
 
@@ -139,7 +138,7 @@ def _lines_by(docs: DataFrame, schema: str, emit) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             part, points = {}, 0
             for text in [*texts_of(batch.column("text")), None]:
                 for line in map(normal, text.split("\n")) if text is not None else ():
@@ -211,23 +210,28 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, r
     hit = Membership(drops.select("body"), "body")
     flag, doc, body, lines = (with_key(docs, c) for c in ("_may", "_doc", "_body", "_drops"))
 
-    @F.pandas_udf("long")
-    def body_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_text_key("" if t is None else t) for t in texts], dtype="int64")
-
-    @F.pandas_udf("boolean")
-    def may(bodies: pd.Series) -> pd.Series:
-        return pd.Series(hit.may_have(bodies.to_numpy()))
-
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, numbers: pd.Series) -> pd.Series:
-        out = []
-        for t, gone in zip(texts, numbers, strict=True):
-            if t is not None and gone is not None and len(gone):
-                gone = set(gone.tolist())
-                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-            out.append(t)
-        return pd.Series(out, dtype=object)
+    def by_slices(function, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+        """function over the Python values of the rows, a bounded number at a time."""
+        parts = [pa.array(map(function, *(c.slice(at, ROWS_AT_ONCE).to_pylist() for c in columns)), kind) for at in range(0, len(columns[0]), ROWS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    def without(text: str | None, gone: list[int] | None) -> str | None:
+        if text is None or not gone:
+            return text
+        gone = set(gone)
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+    @F.arrow_udf("long")
+    def body_of(texts: pa.Array) -> pa.Array:
+        return by_slices(lambda t: _text_key(t or ""), pa.int64(), texts)
+
+    @F.arrow_udf("boolean")
+    def may(bodies: pa.Array) -> pa.Array:
+        return pa.array(hit.may_have(bodies.to_numpy(zero_copy_only=False)))
+
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        return by_slices(without, pa.string(), texts, numbers)
 
     text = F.col("text").cast("string")
     keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(body, body_of(text)).withColumn(flag, may(F.col(body)))

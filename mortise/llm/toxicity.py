@@ -14,13 +14,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mortise.llm.common import doc_texts, map_rows, texts_of, with_key
+from mortise.llm.common import ROWS_AT_ONCE, doc_texts, map_rows, texts_of, with_key
 from mortise.llm.minhash import shingle_hashes
 
 #: Bytes of a window (whole words) and of the dictionaries.
@@ -206,8 +205,9 @@ def keep_ordinary(docs: DataFrame, model: Toxicity) -> DataFrame:
     """The rows of `docs`, with all their columns, that `model` does not call toxic."""
     flag = with_key(docs, "_toxic")
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score("" if t is None else t) >= 0.5 for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def toxic(texts: pa.Array) -> pa.Array:
+        parts = [[model.score(t) >= 0.5 for t in texts_of(texts.slice(at, ROWS_AT_ONCE))] for at in range(0, len(texts), ROWS_AT_ONCE)]
+        return pa.array([x for part in parts for x in part], pa.bool_())
 
     return docs.withColumn(flag, toxic(F.col("text").cast("string"))).where(~F.col(flag)).drop(flag)
