@@ -101,3 +101,22 @@ def argue(for_it: DataFrame, against: DataFrame, asked: DataFrame) -> DataFrame:
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """What a change did to belief: (the columns, change = added | removed)."""
     return after.exceptAll(before).withColumn("change", F.lit("added")).union(before.exceptAll(after).withColumn("change", F.lit("removed")))
+
+
+def status(asked: DataFrame, facts: DataFrame, belief: DataFrame, excepted: DataFrame) -> DataFrame:
+    """(sid, stored, believed, excepted, visible) for asked (sid): visible is believed and not excepted."""
+    rows = asked.select("sid").distinct()
+    for df, n in ((facts, "stored"), (belief, "believed"), (excepted, "excepted")):
+        rows = rows.join(df.select("sid").distinct().withColumn(n, F.lit(True)), "sid", "left").withColumn(n, F.coalesce(n, F.lit(False)))
+    return rows.withColumn("visible", F.col("believed") & ~F.col("excepted"))
+
+
+def dependents(just: DataFrame, of: DataFrame) -> DataFrame:
+    """(jid, conseq): the justifications that rest on one of the facts (sid)."""
+    return just.select("jid", "conseq", F.explode("ante").alias("sid")).join(of.select("sid"), "sid", "left_semi").select("jid", "conseq").distinct()
+
+
+def following(metas: DataFrame, gone: DataFrame) -> DataFrame:
+    """(sid): facts about facts, metas (sid, target), that go with their targets `gone` (sid), and those about them in turn."""
+    seed = metas.join(gone.select(F.col("sid").alias("target")), "target", "left_semi").select("sid")
+    return grow(seed, lambda delta, _: metas.join(delta.select(F.col("sid").alias("target")), "target", "left_semi").select("sid"))

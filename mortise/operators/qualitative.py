@@ -16,6 +16,7 @@ ALLEN = ("before", "meets", "overlaps", "starts", "during", "finishes", "interva
 POINT = ("instantBefore", "instantEqual", "instantAfter")
 RCC8 = ("spatiallyDisconnected", "externallyConnected", "partiallyOverlapping", "tangentialProperPart", "nonTangentialProperPart", "tangentialProperPartInverse", "nonTangentialProperPartInverse", "spatiallyEqual")
 CARDINAL = ("southWestOf", "westOf", "northWestOf", "southOf", "sameLocationAs", "northOf", "southEastOf", "eastOf", "northEastOf")
+RELATIVE = ("behindLeftOf", "leftOf", "frontLeftOf", "behind", "sameRelativePositionAs", "inFrontOf", "behindRightOf", "rightOf", "frontRightOf")
 DISTANCE = ("coLocatedWith", "veryCloseTo", "closeTo", "nearTo", "moderatelyFarFrom", "farFrom", "veryFarFrom")
 #: Upper bounds of the distance classes but the last.
 DISTANCE_BOUNDS = (0, 1, 10, 100, 1000, 10000)
@@ -31,6 +32,23 @@ DERIVED = {
     "instantNotAfter": ("instantBefore", "instantEqual"),
     "instantNotBefore": ("instantAfter", "instantEqual"),
     "instantNotEqual": ("instantBefore", "instantAfter"),
+    "regionConnectedTo": RCC8[1:],
+    "partOfRegion": ("tangentialProperPart", "nonTangentialProperPart", "spatiallyEqual"),
+    "properPartOfRegion": ("tangentialProperPart", "nonTangentialProperPart"),
+    "hasRegionPart": ("tangentialProperPartInverse", "nonTangentialProperPartInverse", "spatiallyEqual"),
+    "regionOverlaps": RCC8[2:],
+    "regionDiscreteFrom": ("spatiallyDisconnected", "externallyConnected"),
+    "northwardOf": ("northWestOf", "northOf", "northEastOf"),
+    "southwardOf": ("southWestOf", "southOf", "southEastOf"),
+    "eastwardOf": ("southEastOf", "eastOf", "northEastOf"),
+    "westwardOf": ("southWestOf", "westOf", "northWestOf"),
+    "leftwardOf": ("behindLeftOf", "leftOf", "frontLeftOf"),
+    "rightwardOf": ("behindRightOf", "rightOf", "frontRightOf"),
+    "frontwardOf": ("frontLeftOf", "inFrontOf", "frontRightOf"),
+    "rearwardOf": ("behindLeftOf", "behind", "behindRightOf"),
+    "withinNearDistanceOf": DISTANCE[:4],
+    "beyondFarDistanceFrom": DISTANCE[5:],
+    "atSomeDistanceFrom": DISTANCE[1:],
 }
 
 
@@ -98,7 +116,7 @@ class Calculus:
 
 @lru_cache(maxsize=8)
 def calculus(name: str) -> Calculus:
-    """allen, point, rcc8, cardinal or distance."""
+    """allen, point, rcc8, cardinal, relative or distance."""
     if name == "allen":
         return Calculus(ALLEN, [(a, b) for a in range(6) for b in range(a + 1, 6)], allen_of)
     if name == "point":
@@ -107,6 +125,8 @@ def calculus(name: str) -> Calculus:
         return Calculus(RCC8, range(1, 1 << 7), _rcc_of)
     if name == "cardinal":
         return Calculus(CARDINAL, product(range(3), repeat=2), lambda p, q: CARDINAL[3 * (_sign(p[0], q[0]) + 1) + _sign(p[1], q[1]) + 1])
+    if name == "relative":
+        return Calculus(RELATIVE, product(range(3), repeat=2), lambda p, q: RELATIVE[3 * (_sign(p[0], q[0]) + 1) + _sign(p[1], q[1]) + 1])
     if name == "distance":
         return _distance()
     raise ValueError(f"no calculus {name}")

@@ -132,3 +132,47 @@ def _renamed(x: object, names: dict) -> object:
     if isinstance(x, str):
         return names.get(x, x)
     return type(x)(_renamed(y, names) for y in x) if isinstance(x, tuple | list) else x
+
+
+def definition(kind: str, member: tuple, body: tuple) -> list[Rule]:
+    """Rules of a collection's definition: `iff`, `necessary` (members meet it) or `sufficient` (what meets it is a member)."""
+    out = []
+    if kind in ("iff", "sufficient"):
+        out.append(Rule(member, body))
+    if kind in ("iff", "necessary"):
+        # A literal with variables that only the body has says that something exists; it concludes nothing.
+        out += [Rule(lit, (member,)) for lit in body if lit[0] not in SPECIAL and set(_vars(lit[1:])) <= set(_vars(member[1:]))]
+    if not out:
+        raise ValueError(f"{kind} isn't iff, necessary or sufficient, or it gives no rule")
+    return out
+
+
+def stamped(facts: Facts, condition: tuple, head: tuple, body: tuple, default: bool = False, name: str = "", most: int = 1000) -> list[Rule]:
+    """Rules that a rule generator concludes: head and body with the condition's bindings put in, in the order of the bindings.
+
+    Variables may stand for predicates there. Only declarations should match the condition; more
+    than `most` of them are refused, none is dropped.
+    """
+    rows = conjunction(facts, list(condition))
+    names = [c for c in rows.columns if c != "v_"]
+    found = rows.orderBy(*names).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules would be made")
+
+    def put(x: object, by: dict) -> object:
+        if isinstance(x, str):
+            return by.get(x, x)
+        return type(x)(put(y, by) for y in x) if isinstance(x, tuple | list) else x
+
+    made = [{f"?{c[2:]}": r[c] for c in names} for r in found]
+    return [Rule(put(head, by), put(body, by), default, " ".join([name, *map(str, by.values())]).strip()) for by in made]
+
+
+def rule_report(rules: Iterable[Rule], facts: Facts) -> DataFrame:
+    """(rule, firings, conclusions) of each rule over closed facts; an idle one has zeros."""
+    out = None
+    for r in rules:
+        rows = firings(r, facts).agg(F.count("*").alias("firings"), F.countDistinct("conseq").alias("conclusions"))
+        rows = rows.select(F.lit(r.name or r.head[0]).alias("rule"), "firings", "conclusions")
+        out = rows if out is None else out.union(rows)
+    return out

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from mortise.operators import belief, closure, constraints, context, metric_time, qualitative
-from mortise.plans import registry
+from mortise.plans import further, registry  # noqa: F401 (further adds queries)
 from mortise.plans.compile import answer
 from mortise.plans.kb import KB
 from mortise.plans.lang import Rule, split_heads, strata
