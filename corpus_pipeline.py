@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mortise.llm.common import ensure_checkpoint_dir, table
-from mortise.llm.line_dedup import dedup_lines
+from mortise.llm.line_dedup import CHARS, dedup_lines
 from mortise.llm.packing import pack
 from mortise.llm.queries import BYTES
 from mortise.llm.simhash import one_of_each
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat an earlier one; n_chars follows the text."""
-    kept = dedup_lines(docs)
+    kept = dedup_lines(docs, chars=CHARS)
     return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in docs.columns else kept
 
 

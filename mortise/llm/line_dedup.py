@@ -11,21 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mortise.llm.buckets import bucket_links
+from mortise.llm.buckets import _groups, bucket_links
 from mortise.llm.common import ROWS_AT_ONCE, doc_texts, map_rows, settled, slices, texts_of, with_key
 from mortise.llm.graph import components
 from mortise.llm.membership import Membership
 from mortise.llm.minhash import mix
 
-#: Characters of a shingle (long enough that unrelated lines share few), least similarity, bands and
-#: hashes a band: a pair at 0.8 is missed once in 120, one at 0.85 once in 1200, one at 0.9 once in 10^5.
-CHARS, SIMILAR, BANDS, ROWS = 8, 0.8, 12, 5
+#: Characters of a shingle, least similarity, bands and hashes a band (a pair at 0.8 is missed once in 550).
+CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 #: Groups up to this size are compared set by set, larger ones by a product of incidence blocks.
 FEW = 24
 #: Code points hashed at a time.
 PART = 1 << 17
 #: Lines of a bucket that are checked in one task.
 CHUNK = 512
+#: Lines of a bucket whose sketches are compared at once; larger buckets go to the exact check as they are.
+SKETCHES = 4096
 #: Stands for a null doc_id, which comes last.
 NO_ID = (1 << 63) - 1
 
@@ -57,6 +58,54 @@ def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarr
     return mix(h[keep[: len(h)] == 1]), np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
+def shingle_sets(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, line of each, number a line) of the different shingles of each line, from the output of `shingles`."""
+    line = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff([*starts.tolist(), len(h)]))
+    key = np.sort(line << np.uint64(40) | h >> np.uint64(24))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    line = (key >> np.uint64(40)).astype(np.int64)
+    return key & np.uint64((1 << 40) - 1), line, np.bincount(line, minlength=len(starts))
+
+
+def sketches(lines: list[str], chars: int = CHARS) -> list[bytes]:
+    """Number of different shingles (8 bytes), then for each slot the parity of the shingles that hash to it.
+
+    The slots are a power of two, so that a longer sketch folds to a shorter one, and follow the
+    number of shingles. Two sketches differ in at most as many slots as the sets in shingles.
+    """
+    if not lines:
+        return []
+    h, line, sizes = shingle_sets(*shingles(lines, chars))
+    slots = np.maximum(64, 1 << np.floor(np.log2(1.4 * sizes)).astype(np.int64))
+    ends = np.cumsum(slots)
+    at = (ends - slots)[line] + (h & (slots[line] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=int(ends[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [n.to_bytes(8, "little") + bits[(e - m) // 8 : e // 8] for n, m, e in zip(sizes.tolist(), slots.tolist(), ends.tolist(), strict=True)]
+
+
+def may_be_similar(payloads: list[bytes], similar: float = SIMILAR) -> list[int]:
+    """Positions of the sketches that at least one other may be similar to; no similar pair is ever left out.
+
+    At a similarity s, sets differ in at most (1 - s) / (1 + s) of the sum of their sizes. Sizes are
+    let off by one, as two shingles of a line may share a hash.
+    """
+    made = sorted((int.from_bytes(p[:8], "little"), 8 * len(p) - 64, int.from_bytes(p[8:], "little"), i) for i, p in enumerate(payloads))
+    found, share = [False] * len(made), (1 - similar) / (1 + similar)
+    for i, (n, slots, bits, _) in enumerate(made):
+        for j in range(i + 1, len(made)):
+            more, width, x, _ = made[j]
+            if n + 1 < similar * more - 1e-9:
+                break
+            if found[i] and found[j]:
+                continue
+            while width > slots:
+                width >>= 1
+                x = (x ^ x >> width) & ((1 << width) - 1)
+            if (bits ^ x).bit_count() <= share * (n + more + 2) + 1e-9:
+                found[i] = found[j] = True
+    return sorted(made[i][3] for i, yes in enumerate(found) if yes)
+
+
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> np.ndarray:
     """An array (lines, bands) of bucket keys from MinHash signatures of bands * rows hashes."""
     if not lines:
@@ -155,20 +204,43 @@ def _lines_by(docs: DataFrame, schema: str, emit) -> DataFrame:
 def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
     """(node, root) of the lines that are linked to another one: a union-find over all verified links.
 
-    Different lines that share a band are one bucket; buckets with the same members are one. Their
-    texts are fetched once more from `docs` and compared exactly, a bounded number in a task.
+    Different lines that share a band are one bucket, cut where the numbers of shingles lie too far
+    apart for any link; buckets with the same members are one. Sketches then leave out lines that
+    can't be similar to another of their bucket. Only the texts of the others are fetched, and
+    compared exactly, a bounded number in a task.
     """
 
     def banded(lines: list[str], keys: np.ndarray) -> list:
-        made = band_keys(lines, bands, rows, chars)
-        return [made.ravel(), np.repeat(keys, bands)]
+        made, sizes = band_keys(lines, bands, rows, chars), shingle_sets(*shingles(lines, chars))[2]
+        return [made.ravel(), np.repeat(keys, bands), np.repeat(sizes, bands)]
 
-    band = _lines_by(docs, "bucket long, item long", banded)
+    band = _lines_by(docs, "bucket long, item long, size int", banded)
+    one = Window.partitionBy("bucket").orderBy("size", "item")
     # Copies of a line in other batches repeat its rows; within the window they count once.
-    one = Window.partitionBy("bucket")
-    seen = band.withColumn("low", F.min("item").over(one)).withColumn("high", F.max("item").over(one)).where("low <> high").select("bucket", "item").distinct()
-    marks = seen.withColumn("n", F.count("*").over(one)).withColumn("x", F.bit_xor(F.xxhash64("item")).over(one))
-    members = settled(marks.select(F.xxhash64("n", "x").alias("bucket"), "item").distinct())
+    lines = band.withColumn("prior", F.lag("item").over(one)).where("prior is null or prior <> item")
+    near = lambda low, high: F.coalesce(low + 1 >= similar * high - 1e-9, F.lit(False))
+    seen = lines.withColumn("low", near(F.lag("size").over(one), F.col("size"))).withColumn("high", near(F.col("size"), F.lead("size").over(one))).where("low or high")
+    runs = seen.withColumn("run", F.sum(F.when(F.col("low"), 0).otherwise(1)).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("bucket", "run")
+    marks = runs.withColumn("n", F.count("*").over(run)).withColumn("x", F.bit_xor(F.xxhash64("item")).over(run))
+    met = settled(marks.select(F.xxhash64("n", "x").alias("bucket"), "item").distinct())
+    sketched = Membership(met.select("item"), "item")
+
+    def drawn(lines: list[str], keys: np.ndarray) -> list:
+        has = np.flatnonzero(sketched.may_have(keys))
+        return [keys[has], sketches([lines[i] for i in has], chars)]
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, _, cut, items, payloads in _groups(batches, SKETCHES):
+            if not cut:
+                items = np.sort(items[may_be_similar(payloads, similar)])
+                bucket = xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
+            if len(items):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), bucket, dtype=np.int64)), pa.array(items)], ["bucket", "item"])
+
+    drawings = _lines_by(docs, "item long, payload binary", drawn).groupBy("item").agg(F.min("payload").alias("payload"))
+    sorted_rows = met.join(drawings, "item").select("bucket", "item", "payload").repartition("bucket").sortWithinPartitions("bucket", "item")
+    members = settled(sorted_rows.mapInArrow(possible, "bucket long, item long").distinct())
     wanted = Membership(members.select("item"), "item")
 
     def told(lines: list[str], keys: np.ndarray) -> list:
@@ -196,13 +268,14 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS
     return drops.groupBy("doc", "body").agg(F.collect_set("number").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = 8, counts: bool = False) -> DataFrame:
     """`docs` with the lines taken out that repeat an earlier line of the table, exactly or nearly.
 
     Lines are similar at a Jaccard similarity of `similar` over their `chars`-character shingles,
     after lower-casing and joining white space; similarity is followed over chains. All rows and
     columns stay; a document of repeated lines only keeps an empty text, blank lines and null texts
     stay as they are. Rows with the same doc_id and text are one document. Null ids come last.
+    The default of `chars` is that of a test; op5 and the pipeline name CHARS.
     With counts, columns n_lines and n_dropped follow. Only documents that may have such lines are
     shuffled.
     """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mortise.llm.common import table
 from mortise.llm.gif import media_features
 from mortise.llm.hilbert import shards
-from mortise.llm.line_dedup import dedup_lines
+from mortise.llm.line_dedup import CHARS, dedup_lines
 from mortise.llm.minhash import edit_fingerprints
 from mortise.llm.packing import pack
 from mortise.llm.piece_fst import round_trip
@@ -41,7 +41,7 @@ def op4_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), chars=CHARS, counts=True)
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
