@@ -61,6 +61,15 @@ def hamming_linker(distance: int):
     return linked
 
 
+def fingerprint_roots(classes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
+    """`classes`, a row for each distinct fingerprint, with the root of its component, which is never null."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance, blocks)]
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
+    rows = classes.select(F.explode(keys).alias("bucket"), F.col("fingerprint").alias("item"), F.unhex(F.lpad(F.hex("fingerprint"), 16, "0")).alias("payload"))
+    roots = components(bucket_links(rows, hamming_linker(distance)))
+    return classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def fingerprint_components(prints: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
     """(fingerprint, component_id) for each distinct fingerprint of `prints` (doc_id, fingerprint).
 
@@ -70,11 +79,7 @@ def fingerprint_components(prints: DataFrame, distance: int = 3, blocks: int = 5
     which the links are the same. component_id is the least doc_id of the component.
     """
     classes = settled(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance, blocks)]
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
-    rows = classes.select(F.explode(keys).alias("bucket"), F.col("fingerprint").alias("item"), F.unhex(F.lpad(F.hex("fingerprint"), 16, "0")).alias("payload"))
-    roots = components(bucket_links(rows, hamming_linker(distance)))
-    joined = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", F.coalesce("root", "fingerprint").alias("root"))
+    joined = fingerprint_roots(classes, distance, blocks).select("fingerprint", "low", "root")
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     return joined.join(lows, "root").select("fingerprint", "component_id")
 
@@ -94,14 +99,24 @@ def near_duplicates(docs: DataFrame, distance: int = 3, blocks: int = 5, words:
 
 
 def one_of_each(docs: DataFrame, distance: int = 3, blocks: int = 5, words: int = 3) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose doc_id is the least of its component.
+    """One row of `docs` of each component, with all its columns: that with the least doc_id.
 
-    Of rows that repeat such an id, the one with the least text stays. Rows with a null doc_id
-    count as one id, which is left only where a component has no other.
+    Null ids come last. Of rows that repeat the id, that with the least hash of the text stays; of
+    rows that repeat both, any one.
     """
-    near = near_duplicates(docs, distance, blocks, words)
-    keepers = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keeper")).distinct()
-    place = with_key(docs, "_place")
-    kept = docs.join(keepers, docs["doc_id"].cast("long").eqNullSafe(keepers["_keeper"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
+    none, doc, body, place = (with_key(docs, c) for c in ("_none", "_doc", "_body", "_place"))
+    number, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        made = np.array([simhash(t, words) for t in texts_of(batch.column("text"))], dtype=np.uint64)
+        return {"doc_id": batch.column("doc_id"), "body": batch.column("body"), "fingerprint": made.view(np.int64)}
+
+    prints = map_rows(doc_texts(docs, text.alias("body")), "doc_id long, body long, fingerprint long", rows)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "body")
+    classes = settled(prints.groupBy("fingerprint").agg(F.min(least).alias("low")))
+    lows = fingerprint_roots(classes, distance, blocks).groupBy("root").agg(F.min("low").alias("low"))
+    keepers = lows.select(F.col("low.none").alias(none), F.col("low.doc").alias(doc), F.col("low.body").alias(body))
+    keyed = docs.withColumn(none, number.isNull()).withColumn(doc, F.coalesce(number, F.lit(0))).withColumn(body, text)
+    kept = keyed.join(keepers, [none, doc, body], "left_semi")
+    one = Window.partitionBy(none, doc, body).orderBy(F.lit(0))
+    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*docs.columns)

@@ -2,7 +2,9 @@
 
 import random
 
-from mortise.llm import line_dedup
+from pyspark.sql import functions as F
+
+from mortise.llm import line_dedup, simhash
 
 
 def line(r, length):
@@ -44,3 +46,13 @@ def test_sketches_never_part_similar_lines():
         if line_dedup.jaccard_linker()([x.encode() for x in pair])[0, 1]:
             assert line_dedup.may_be_similar(line_dedup.sketches([*pair, line(r, 200)]))[:2] == [0, 1]
     assert line_dedup.may_be_similar(line_dedup.sketches([line(r, n) for n in (100, 101, 102, 300, 310)])) == []
+
+
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    r = random.Random(23)
+    a, b, c, d, e = (line(r, 300) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (6, c), (7, d), (7, e), (8, e), (7, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("_doc", "_none", "_body", "root")})
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((x.doc_id, x.text) for x in out.collect()))) == sorted(map(str, [(None, a), (None, b), (5, c), (7, d), (7, e)]))
