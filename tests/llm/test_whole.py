@@ -56,3 +56,30 @@ def test_one_of_each_keeps_a_row_of_every_component(spark):
     out = simhash.one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted(map(str, ((x.doc_id, x.text) for x in out.collect()))) == sorted(map(str, [(None, a), (None, b), (5, c), (7, d), (7, e)]))
+
+
+def test_edited_copies_do_not_get_through_the_stages(spark):
+    import corpus_pipeline
+
+    r = random.Random(24)
+    docs, copies = [], []
+    for i, n in enumerate(range(56, 81, 2)):
+        lines = [line(r, n) for _ in range(8)]
+        docs.append((i, "\n".join(lines)))
+        copies.append((1000 + i, "\n".join([*lines[:4], edited(lines[4]), *lines[5:]])))
+    table = spark.createDataFrame([*docs, *copies], "doc_id long, text string")
+    lines = corpus_pipeline.line_dedup(spark, table, "")
+    assert {x.doc_id: x.text for x in lines.collect()} == dict(docs) | dict.fromkeys((i for i, _ in copies), "")
+    kept = {x.doc_id for x in corpus_pipeline.simhash(spark, lines, "").collect()}
+    # The emptied copies are one component.
+    assert kept == {i for i, _ in docs} | {1000}
+
+
+def test_the_planted_edited_copy_is_gone(spark, tmp_path):
+    import corpus_pipeline
+    from test_pipeline import table
+
+    sf = table(spark, tmp_path)
+    out = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    kept = {x.doc_id for x in corpus_pipeline.simhash(spark, out, sf).collect()}
+    assert {1000, 1003, None} <= kept and not kept & {1002} and len(kept & {1001, 1002, 1004, 1005}) == 1
