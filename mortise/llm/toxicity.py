@@ -8,7 +8,7 @@ by a calibrated logistic threshold.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,6 +30,8 @@ SEARCH = {"window_log": 15, "chain_log": 15, "hash_log": 14, "search_log": 5, "m
 GRAM, SHARE, TIMES = 5, 0.02, 8
 #: Labelled rows of each class that the model is fitted on, at most (least hash of doc_id first).
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
+#: Min-hashes that tell near copies among them.
+MARKS = 16
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
@@ -52,14 +54,19 @@ def _grams(text: str) -> tuple[str, set[str]]:
 
 
 def apart(texts: Iterable[str]) -> list[str]:
-    """texts without copies and near copies of earlier ones, which would make chance parts look frequent."""
-    seen, out = set(), []
+    """texts without copies and near copies of ones kept before, which would make chance parts look frequent.
+
+    A near copy shares at least four fifths of its min-hashes with a single kept text.
+    """
+    having, out = defaultdict(list), []
     for text in texts:
         h = shingle_hashes(text)
-        marks = {(i, int((h * np.uint64(odd)).min())) for i, odd in enumerate(range(0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 + 16, 2))} if len(h) else set()
-        if not marks & seen:
+        marks = [(i, int((h * np.uint64(odd)).min())) for i, odd in enumerate(range(0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15 + 2 * MARKS, 2))] if len(h) else []
+        shared = Counter(k for m in marks for k in having.get(m, ()))
+        if max(shared.values(), default=0) < 0.8 * MARKS:
+            for m in marks:
+                having[m].append(len(out))
             out.append(text)
-        seen |= marks
     return out
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from mortise.llm import line_dedup, simhash
+from mortise.llm import line_dedup, simhash, toxicity
 
 
 def line(r, length):
@@ -83,3 +83,11 @@ def test_the_planted_edited_copy_is_gone(spark, tmp_path):
     out = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     kept = {x.doc_id for x in corpus_pipeline.simhash(spark, out, sf).collect()}
     assert {1000, 1003, None} <= kept and not kept & {1002} and len(kept & {1001, 1002, 1004, 1005}) == 1
+
+
+def test_texts_that_share_a_passage_are_apart():
+    r = random.Random(25)
+    shared = line(r, 120)
+    texts = [f"{shared} {line(r, 600)}" for _ in range(60)]
+    assert toxicity.apart(texts) == texts
+    assert toxicity.apart([texts[0], texts[0] + " more", texts[0], texts[1]]) == texts[:2]
