@@ -8,6 +8,7 @@ of its own, so any size is handled exactly. What comes out is a spanning forest
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +19,30 @@ from mortise.llm.common import settled
 
 CHUNK = 2048
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
-#: payloads -> boolean matrix of who links with whom
-Linker = Callable[[list[bytes]], np.ndarray]
+#: payloads -> rows of a boolean matrix of who links with whom, by index; only rows that are asked for need be made
+Linker = Callable[[list[bytes]], "np.ndarray | Indexed"]
 
 
-def spanning(items: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
-    """(least item, member) for every member of every component of the matrix."""
+class Indexed(Protocol):
+    def __getitem__(self, i: int) -> np.ndarray: ...
+
+
+def spanning(items: np.ndarray, linked: np.ndarray | Indexed) -> list[tuple[int, int]]:
+    """(least item, member) for every member of every component of the matrix.
+
+    A row is read only while some item has not been reached, so a group of copies reads one.
+    """
     out, waiting = [], np.ones(len(items), dtype=bool)
-    for start in np.argsort(items, kind="stable"):
+    for start in np.argsort(items, kind="stable").tolist():
         if not waiting[start]:
             continue
         waiting[start] = False
-        front = linked[start] & waiting
-        found = front.copy()
-        while front.any():
-            waiting &= ~front
-            front = linked[front].any(axis=0) & waiting
-            found |= front
-        out += [(int(items[start]), int(x)) for x in items[found]]
+        front = [start]
+        while front and waiting.any():
+            new = np.flatnonzero(linked[front.pop()] & waiting).tolist()
+            waiting[new] = False
+            front += new
+            out += [(int(items[start]), int(items[x])) for x in new]
     return out
 
 

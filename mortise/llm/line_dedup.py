@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from mortise.llm.buckets import _groups, bucket_links
+from mortise.llm.buckets import bucket_links
 from mortise.llm.common import ROWS_AT_ONCE, doc_texts, map_rows, settled, slices, texts_of, with_key
 from mortise.llm.graph import components
 from mortise.llm.membership import Membership
@@ -19,7 +19,9 @@ from mortise.llm.minhash import mix
 
 #: Characters of a shingle, least similarity, bands and hashes a band (a pair at 0.8 is missed once in 550).
 CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
-#: Groups up to this size are compared set by set, larger ones by a product of incidence blocks.
+#: Most hashes that give a bit to a line's sketch, and how seldom a similar pair's sketches may lie too far apart.
+SKETCH, MISS = 48, 1e-5
+#: Groups up to this size are compared set by set, larger ones by numbered shingles.
 FEW = 24
 #: Code points hashed at a time.
 PART = 1 << 17
@@ -42,129 +44,166 @@ def line_key(line: str) -> int:
 
 
 def shingles(lines: list[str], chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts): the shingle hashes of all lines in a row, and where each line's begin; shorter lines have one."""
+    """(hashes, starts): the shingle hashes (32 bits) of all lines in a row, and where each line's begin; shorter lines have one."""
     padded = [x if len(x) >= chars else x + "\0" * (chars - len(x)) for x in lines]
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.array([len(x) for x in padded], dtype=np.int64)
-    h = np.zeros(max(0, len(points) - chars + 1), dtype=np.uint64)
+    n = len(points) - chars + 1
+    h, part, odd = np.zeros(n, dtype=np.uint64), np.empty(n, dtype=np.uint64), 0x9E3779B97F4A7C15
     for i in range(chars):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : len(points) - chars + 1 + i]
-    counts = lengths - chars + 1
-    firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    keep = np.ones(len(points) + 1, dtype=np.int8)
+        np.multiply(points[i : n + i], np.uint64(odd), out=part)
+        h += part
+        odd = (odd * 0xD6E8FEB86659FD93 + 2) % (1 << 64)
+    np.right_shift(h, np.uint64(29), out=part)
+    h ^= part
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    low = (h >> np.uint64(32)).astype(np.uint32)
     # The last chars - 1 positions of a line start shingles that reach over its end.
+    keep = np.ones(len(points), dtype=bool)
+    ends = np.cumsum(lengths)
     for i in range(1, chars):
-        keep[firsts + lengths - i] = 0
-    return mix(h[keep[: len(h)] == 1]), np.concatenate([[0], np.cumsum(counts)[:-1]])
-
+        keep[ends - i] = False
+    return low[keep[:n]], np.concatenate([[0], np.cumsum(lengths - chars + 1)[:-1]])
 
-def shingle_sets(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, line of each, number a line) of the different shingles of each line, from the output of `shingles`."""
-    line = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff([*starts.tolist(), len(h)]))
-    key = np.sort(line << np.uint64(40) | h >> np.uint64(24))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    line = (key >> np.uint64(40)).astype(np.int64)
-    return key & np.uint64((1 << 40) - 1), line, np.bincount(line, minlength=len(starts))
 
+def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sketches) from MinHash signatures of bands * rows hashes.
 
-def sketches(lines: list[str], chars: int = CHARS) -> list[bytes]:
-    """Number of different shingles (8 bytes), then for each slot the parity of the shingles that hash to it.
-
-    The slots are a power of two, so that a longer sketch folds to a shorter one, and follow the
-    number of shingles. Two sketches differ in at most as many slots as the sets in shingles.
+    keys (lines, bands) are buckets, each equal to its band's number modulo `bands`; a sketch has
+    one bit of each of the first SKETCH hashes.
     """
     if not lines:
-        return []
-    h, line, sizes = shingle_sets(*shingles(lines, chars))
-    slots = np.maximum(64, 1 << np.floor(np.log2(1.4 * sizes)).astype(np.int64))
-    ends = np.cumsum(slots)
-    at = (ends - slots)[line] + (h & (slots[line] - 1).astype(np.uint64)).astype(np.int64)
-    bits = np.packbits((np.bincount(at, minlength=int(ends[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
-    return [n.to_bytes(8, "little") + bits[(e - m) // 8 : e // 8] for n, m, e in zip(sizes.tolist(), slots.tolist(), ends.tolist(), strict=True)]
-
-
-def may_be_similar(payloads: list[bytes], similar: float = SIMILAR) -> list[int]:
-    """Positions of the sketches that at least one other may be similar to; no similar pair is ever left out.
-
-    At a similarity s, sets differ in at most (1 - s) / (1 + s) of the sum of their sizes. Sizes are
-    let off by one, as two shingles of a line may share a hash.
-    """
-    made = sorted((int.from_bytes(p[:8], "little"), 8 * len(p) - 64, int.from_bytes(p[8:], "little"), i) for i, p in enumerate(payloads))
-    found, share = [False] * len(made), (1 - similar) / (1 + similar)
-    for i, (n, slots, bits, _) in enumerate(made):
-        for j in range(i + 1, len(made)):
-            more, width, x, _ = made[j]
-            if n + 1 < similar * more - 1e-9:
-                break
-            if found[i] and found[j]:
-                continue
-            while width > slots:
-                width >>= 1
-                x = (x ^ x >> width) & ((1 << width) - 1)
-            if (bits ^ x).bit_count() <= share * (n + more + 2) + 1e-9:
-                found[i] = found[j] = True
-    return sorted(made[i][3] for i, yes in enumerate(found) if yes)
-
-
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> np.ndarray:
-    """An array (lines, bands) of bucket keys from MinHash signatures of bands * rows hashes."""
-    if not lines:
-        return np.empty((0, bands), dtype=np.int64)
-    h, starts = shingles(lines, chars)
-    low = (h >> np.uint64(32)).astype(np.uint32)
+        return np.empty((0, bands), dtype=np.int64), np.empty(0, dtype=np.int64)
+    low, starts = shingles(lines, chars)
     made = np.random.default_rng(20240501)
     odd = made.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     more = made.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    keys, turned = np.zeros((len(lines), bands), dtype=np.uint64), np.empty_like(low)
+    keys, sketch, turned = np.zeros((len(lines), bands), dtype=np.uint64), np.zeros(len(lines), dtype=np.int64), np.empty_like(low)
     for i in range(bands * rows):
         np.bitwise_xor(low, more[i], out=turned)
         np.multiply(turned, odd[i], out=turned)
         value = np.minimum.reduceat(turned, starts)
         b = i // rows
         keys[:, b] = mix(keys[:, b] ^ value.astype(np.uint64)) + np.uint64(b + 1)
-    return keys.view(np.int64)
-
-
-def jaccard_linker(similar: float = SIMILAR, chars: int = CHARS):
-    """Payloads (normal lines) -> matrix of exact Jaccard similarity of shingle sets >= `similar`."""
-
-    def linked(payloads: list[bytes]) -> np.ndarray:
-        sets = [{t[i : i + chars] for i in range(max(1, len(t) - chars + 1))} for t in (p.decode("utf-8", "surrogatepass") for p in payloads)]
-        n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.float64)
-        if n <= FEW:
-            out = np.eye(n, dtype=bool)
-            for i, a in enumerate(sets):
-                for j, b in enumerate(sets[:i]):
-                    if min(len(a), len(b)) >= similar * max(len(a), len(b)) - 1e-9:
-                        both = len(a & b)
-                        out[i, j] = out[j, i] = both >= similar * (len(a) + len(b) - both) - 1e-9
-            return out
-        number: dict[str, int] = {}
-        of = [np.array([number.setdefault(x, len(number)) for x in s], dtype=np.int64) for s in sets]
-        columns, who = np.concatenate(of), np.repeat(np.arange(n), [len(x) for x in of])
-        shared = np.bincount(columns, minlength=len(number)) > 1
-        new = np.cumsum(shared) - 1
-        use = shared[columns]
-        columns, who = new[columns[use]], who[use]
-        order = np.argsort(columns, kind="stable")
-        columns, who = columns[order], who[order]
-        common = np.zeros((n, n))
-        for at in range(0, int(shared.sum()), 4096):
-            lo, hi = np.searchsorted(columns, [at, at + 4096])
-            block = np.zeros((n, min(4096, int(shared.sum()) - at)), dtype=np.float32)
-            block[who[lo:hi], columns[lo:hi] - at] = 1
-            common += block @ block.T
-        return common >= similar * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-
-    return linked
+        if i < SKETCH:
+            sketch |= (value >> np.uint32(8) & np.uint32(1)).astype(np.int64) << i
+    signed = keys.view(np.int64)
+    return signed // (2 * bands) * bands + np.arange(bands), sketch
+
+
+def most_apart(hashes: int, similar: float = SIMILAR) -> int:
+    """Bits that sketches of similar lines differ in at most, but for a share of MISS of them.
+
+    Each hash has the same minimum with a probability of the similarity, and else the same bit with
+    one of a half.
+    """
+    differ, tail, d = (1 - similar) / 2, 0.0, hashes
+    while d > 0 and (tail := tail + comb(hashes, d) * differ**d * (1 - differ) ** (hashes - d)) <= MISS:
+        d -= 1
+    return d
+
+
+def _bucket_of(items: np.ndarray) -> int:
+    """A number for a set of lines: buckets with the same members are one."""
+    return xxhash.xxh64_intdigest(np.sort(items).tobytes()) - (1 << 63)
+
+
+def candidates(batches: Iterator[pa.RecordBatch], bands: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, item, sketch, again) sorted by bucket and item -> (bucket, item): who may be similar to another.
+
+    A line stays in a bucket if its sketch differs in at most `most` bits from that of another
+    line there. Lines that occur more than once come out with a null bucket, from the first band.
+    Only the rows of one bucket are held, and of a bucket beyond SKETCHES lines one row: its lines
+    all stay.
+    """
+    empty = np.empty(0, dtype=np.int64)
+    held = (empty, empty, empty, np.empty(0, dtype=bool))
+    cut = None
+
+    def close(keys, items, sketches, again, last: bool):
+        """Output arrays of the whole buckets among the rows, and the rows that wait for the next batch."""
+        nonlocal cut
+        same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (items[1:] == items[:-1])])
+        first = np.flatnonzero(~same)
+        again = np.logical_or.reduceat(again, first) | (np.diff([*first.tolist(), len(keys)]) > 1)
+        keys, items, sketches = keys[first], items[first], sketches[first]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        ends = np.append(starts[1:], len(keys))
+        buckets, members = [], []
+        if not last and ends[-1] - starts[-1] <= SKETCHES:
+            wait, starts, ends = slice(starts[-1], None), starts[:-1], ends[:-1]
+        else:
+            wait = slice(len(keys) if last else len(keys) - 1, None)  # of a cut bucket the last row tells if the next repeats it
+        sizes = ends - starts
+        two = starts[sizes == 2]
+        two = two[(keys[two] != cut) & (np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= most)] if len(two) else two
+        if len(two):
+            pairs = np.sort(np.stack([items[two], items[two + 1]], axis=1), axis=1)
+            names = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in map(bytes, pairs.view(np.uint8))]
+            buckets.append(np.repeat(np.array(names, dtype=np.int64), 2))
+            members.append(pairs.ravel())
+        for s, e in zip(starts[(sizes > 2) | (keys[starts] == cut)].tolist(), ends[(sizes > 2) | (keys[starts] == cut)].tolist(), strict=True):
+            group, x = items[s:e], sketches[s:e]
+            if keys[s] == cut or e - s > SKETCHES:
+                cut = int(keys[s])
+                buckets.append(np.full(e - s, cut))
+                members.append(group)
+                continue
+            near = np.concatenate([(np.bitwise_count(x[i : i + 256, None] ^ x[None, :]) <= most).sum(axis=1) > 1 for i in range(0, len(x), 256)])
+            if near.any():
+                buckets.append(np.full(int(near.sum()), _bucket_of(group[near])))
+                members.append(group[near])
+        done = np.flatnonzero(again[: wait.start] & (keys[: wait.start] % bands == 0))
+        out = pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(np.concatenate([empty, *buckets])), pa.nulls(len(done), pa.int64())]), pa.array(np.concatenate([empty, *members, items[done]]))],
+            ["bucket", "item"],
+        )
+        return out, (keys[wait], items[wait], sketches[wait], again[wait])
+
+    for batch in batches:
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if not batch.num_rows:
+            continue
+        out, held = close(*(np.concatenate(x) for x in zip(held, rows, strict=True)), last=False)
+        yield out
+    if len(held[0]):
+        yield close(*held, last=True)[0]
+
+
+class Jaccard:
+    """[i]: which of some normal lines have an exact Jaccard similarity of shingle sets >= `similar` with line i."""
+
+    def __init__(self, lines: list[bytes], similar: float = SIMILAR, chars: int = CHARS):
+        texts = (x.decode("utf-8", "surrogatepass") for x in lines)
+        self.sets, self.similar = [{t[i : i + chars] for i in range(max(1, len(t) - chars + 1))} for t in texts], similar
+        self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        if len(lines) > FEW:
+            number: dict[str, int] = {}
+            self.numbers = np.array([number.setdefault(x, len(number)) for s in self.sets for x in s], dtype=np.int64)
+            self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+            self.marked = np.zeros(len(number), dtype=np.int64)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if len(self.sets) <= FEW:
+            mine = self.sets[i]
+            common = np.array([len(mine & s) for s in self.sets])
+        else:
+            mine = self.numbers[self.starts[i] : self.starts[i] + self.sizes[i]]
+            self.marked[mine] = 1
+            common = np.add.reduceat(self.marked[self.numbers], self.starts)
+            self.marked[mine] = 0
+        return common >= self.similar * (self.sizes + self.sizes[i] - common) - 1e-9
 
 
 def _text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(line, doc, body, number) for every line that is not blank: key of the line, doc_id, key of the text, line number."""
+def occurrences(docs: DataFrame, wanted: Membership | None = None) -> DataFrame:
+    """(line, doc, body, number) of lines that are not blank: key of the line, doc_id, key of the text, line number.
+
+    With `wanted`, only of lines that it may have.
+    """
 
     def rows(batch: pa.RecordBatch) -> dict:
         line, doc, body, number = [], [], [], []
@@ -174,81 +213,72 @@ def occurrences(docs: DataFrame) -> DataFrame:
             number += [n for n, _ in kept]
             doc += [NO_ID if i is None else i] * len(kept)
             body += [_text_key(text)] * len(kept)
-        return {"line": line, "doc": doc, "body": body, "number": number}
+        out = {k: np.array(v, dtype=t) for k, v, t in (("line", line, np.int64), ("doc", doc, np.int64), ("body", body, np.int64), ("number", number, np.int32))}
+        return {k: v[wanted.may_have(out["line"])] for k, v in out.items()} if wanted else out
 
     return map_rows(doc_texts(docs), "line long, doc long, body long, number int", rows)
 
 
 def _lines_by(docs: DataFrame, schema: str, emit) -> DataFrame:
-    """emit(lines, keys) -> columns over the different lines of each batch, in parts of bounded length."""
+    """emit(lines, keys, again) -> columns over the different lines of each batch, in parts of bounded length.
+
+    again: whether the line has come before in the batch.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    def made(part: dict[str, bool]) -> pa.RecordBatch:
+        columns = emit(list(part), np.array(list(map(line_key, part)), dtype=np.int64), np.array(list(part.values()), dtype=bool))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             part, points = {}, 0
-            for text in [*texts_of(batch.column("text")), None]:
-                for line in map(normal, text.split("\n")) if text is not None else ():
-                    if line and line not in part:
-                        part[line] = line_key(line)
+            for text in texts_of(batch.column("text")):
+                for line in map(normal, text.split("\n")):
+                    if line in part:
+                        part[line] = True
+                    elif line:
+                        part[line] = False
                         points += len(line)
-                if part and (text is None or points >= PART):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(emit(list(part), np.array(list(part.values()), dtype=np.int64)), arrow, strict=True)], schema=arrow)
+                if points >= PART:
+                    yield made(part)
                     part, points = {}, 0
+            if part:
+                yield made(part)
 
     return doc_texts(docs).select("text").mapInArrow(run, schema)
 
 
-def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
-    """(node, root) of the lines that are linked to another one: a union-find over all verified links.
+def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> tuple[DataFrame, DataFrame]:
+    """(links, repeated): (node, root) of the lines that are linked to another one, and (line) of those that occur more than once.
 
-    Different lines that share a band are one bucket, cut where the numbers of shingles lie too far
-    apart for any link; buckets with the same members are one. Sketches then leave out lines that
-    can't be similar to another of their bucket. Only the texts of the others are fetched, and
-    compared exactly, a bounded number in a task.
+    Lines that share a band are one bucket; rows are dealt and sorted by it and streamed, so no
+    bucket is held whole. Sketches leave out lines that are far from all others of their bucket;
+    buckets with the same members are one. Only the texts of the others are fetched, compared
+    exactly, a bounded number in a task, and joined by a union-find over all verified links.
     """
 
-    def banded(lines: list[str], keys: np.ndarray) -> list:
-        made, sizes = band_keys(lines, bands, rows, chars), shingle_sets(*shingles(lines, chars))[2]
-        return [made.ravel(), np.repeat(keys, bands), np.repeat(sizes, bands)]
-
-    band = _lines_by(docs, "bucket long, item long, size int", banded)
-    one = Window.partitionBy("bucket").orderBy("size", "item")
-    # Copies of a line in other batches repeat its rows; within the window they count once.
-    lines = band.withColumn("prior", F.lag("item").over(one)).where("prior is null or prior <> item")
-    near = lambda low, high: F.coalesce(low + 1 >= similar * high - 1e-9, F.lit(False))
-    seen = lines.withColumn("low", near(F.lag("size").over(one), F.col("size"))).withColumn("high", near(F.col("size"), F.lead("size").over(one))).where("low or high")
-    runs = seen.withColumn("run", F.sum(F.when(F.col("low"), 0).otherwise(1)).over(one.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("bucket", "run")
-    marks = runs.withColumn("n", F.count("*").over(run)).withColumn("x", F.bit_xor(F.xxhash64("item")).over(run))
-    met = settled(marks.select(F.xxhash64("n", "x").alias("bucket"), "item").distinct())
-    sketched = Membership(met.select("item"), "item")
-
-    def drawn(lines: list[str], keys: np.ndarray) -> list:
-        has = np.flatnonzero(sketched.may_have(keys))
-        return [keys[has], sketches([lines[i] for i in has], chars)]
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, _, cut, items, payloads in _groups(batches, SKETCHES):
-            if not cut:
-                items = np.sort(items[may_be_similar(payloads, similar)])
-                bucket = xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
-            if len(items):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), bucket, dtype=np.int64)), pa.array(items)], ["bucket", "item"])
-
-    drawings = _lines_by(docs, "item long, payload binary", drawn).groupBy("item").agg(F.min("payload").alias("payload"))
-    sorted_rows = met.join(drawings, "item").select("bucket", "item", "payload").repartition("bucket").sortWithinPartitions("bucket", "item")
-    members = settled(sorted_rows.mapInArrow(possible, "bucket long, item long").distinct())
+    def banded(lines: list[str], keys: np.ndarray, again: np.ndarray) -> list:
+        made, sketch = signatures(lines, bands, rows, chars)
+        return [made.ravel(), np.repeat(keys, bands), np.repeat(sketch, bands), np.repeat(again, bands)]
+
+    most = most_apart(min(SKETCH, bands * rows), similar)
+    band = _lines_by(docs, "bucket long, item long, sketch long, again boolean", banded)
+    met = band.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(lambda batches: candidates(batches, bands, most), "bucket long, item long")
+    found = settled(met.distinct())
+    members = found.where("bucket is not null")
     wanted = Membership(members.select("item"), "item")
 
-    def told(lines: list[str], keys: np.ndarray) -> list:
+    def told(lines: list[str], keys: np.ndarray, again: np.ndarray) -> list:
         has = np.flatnonzero(wanted.may_have(keys))
         return [keys[has], [lines[i].encode("utf-8", "surrogatepass") for i in has]]
 
     texts = _lines_by(docs, "item long, payload binary", told).groupBy("item").agg(F.min("payload").alias("payload"))
-    return components(bucket_links(members.join(texts, "item"), jaccard_linker(similar, chars), CHUNK))
+    links = components(bucket_links(members.join(texts, "item"), lambda lines: Jaccard(lines, similar, chars), CHUNK))
+    return links, found.where("bucket is null").select(F.col("item").alias("line"))
 
 
 def repeated_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
@@ -257,27 +287,25 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS
     Equal and similar lines are one component; the first line of it (least doc_id, then text key,
     then line number) stays.
     """
-    found = settled(occurrences(docs))
-    place = F.struct("doc", "body", "number")
-    firsts = found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    roots = similar_lines(docs, similar, bands, rows, chars).withColumnRenamed("node", "line")
-    held = firsts.join(roots, "line", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "line"))
-    kept = held.groupBy("root").agg(F.min("first").alias("kept"))
+    links, repeated = similar_lines(docs, similar, bands, rows, chars)
+    held = settled(repeated.join(links.withColumnRenamed("node", "line"), "line", "full").select("line", F.coalesce("root", "line").alias("root")))
+    found = settled(occurrences(docs, Membership(held, "line")))
+    firsts = found.groupBy("line").agg(F.min(F.struct("doc", "body", "number")).alias("first")).join(held, "line")
+    kept = firsts.groupBy("root").agg(F.min("first").alias("kept"))
     keepers = held.join(kept, "root").select("line", "kept")
     drops = found.join(keepers, "line").where((F.col("doc") != F.col("kept.doc")) | (F.col("body") != F.col("kept.body")) | (F.col("number") != F.col("kept.number")))
     return drops.groupBy("doc", "body").agg(F.collect_set("number").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = 8, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS, counts: bool = False) -> DataFrame:
     """`docs` with the lines taken out that repeat an earlier line of the table, exactly or nearly.
 
     Lines are similar at a Jaccard similarity of `similar` over their `chars`-character shingles,
     after lower-casing and joining white space; similarity is followed over chains. All rows and
     columns stay; a document of repeated lines only keeps an empty text, blank lines and null texts
     stay as they are. Rows with the same doc_id and text are one document. Null ids come last.
-    The default of `chars` is that of a test; op5 and the pipeline name CHARS.
-    With counts, columns n_lines and n_dropped follow. Only documents that may have such lines are
-    shuffled.
+    With counts, columns n_lines and n_dropped follow (_n_lines, _n_dropped where docs has such).
+    Only documents that may have such lines are shuffled.
     """
     drops = settled(repeated_lines(docs, similar, bands, rows, chars))
     hit = Membership(drops.select("body"), "body")
@@ -310,13 +338,13 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, r
     keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(body, body_of(text)).withColumn(flag, may(F.col(body)))
     joined = keyed.where(F.col(flag)).join(drops.select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("drops").alias(lines)), [doc, body], "left")
     gone = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines))
-    changed = joined.withColumn("text", cleaned(text, F.col(lines)))
+    changed, same = joined, keyed.where(~F.col(flag))
     every = [F.col(c) for c in docs.columns]
     if counts:
         total = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
-        changed = joined.withColumn("n_lines", total).withColumn("n_dropped", gone).withColumn("text", cleaned(text, F.col(lines)))
-        same = keyed.where(~F.col(flag)).withColumn("n_lines", total).withColumn("n_dropped", F.lit(0))
-        every += [F.col("n_lines"), F.col("n_dropped")]
-    else:
-        changed, same = joined.withColumn("text", cleaned(text, F.col(lines))), keyed.where(~F.col(flag))
+        n_lines, n_dropped = with_key(docs, "n_lines"), with_key(docs, "n_dropped")
+        changed = changed.withColumn(n_lines, total).withColumn(n_dropped, gone)
+        same = same.withColumn(n_lines, total).withColumn(n_dropped, F.lit(0))
+        every += [F.col(n_lines), F.col(n_dropped)]
+    changed = changed.withColumn("text", cleaned(text, F.col(lines)))
     return changed.select(*every).union(same.select(*every))

@@ -333,9 +333,9 @@ def test_line_dedup_against_brute_force(spark, docs, empty):
             lines.append(r.choice([" ".join(x), " ".join(x).upper(), "", "Les."]))
         made.append((i, "\n".join(lines)))
     table = spark.createDataFrame(made, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table, bands=40, rows=3).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table).collect()}
     lines = list(dict.fromkeys(n for _, t in made for x in t.split("\n") if (n := line_dedup.normal(x))))
-    grams = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    grams = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
     low = list(range(len(lines)))
 
     def find(a):
@@ -360,6 +360,8 @@ def test_line_dedup_against_brute_force(spark, docs, empty):
                 seen.add(root)
         expected[i] = "\n".join(kept)
     assert got == expected
+    clash = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit(7)), counts=True)
+    assert clash.columns[-3:] == ["n_lines", "_n_lines", "n_dropped"] and {r.n_lines for r in clash.collect()} == {7}
     odd = line_dedup.dedup_lines(docs)
     assert odd.columns == docs.columns and odd.count() == len(ROWS)
     by = {r.doc_id: r.text for r in odd.collect()}

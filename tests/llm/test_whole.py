@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from mortise.llm import line_dedup, simhash, toxicity
@@ -34,18 +37,57 @@ def test_lines_of_fifty_characters_with_one_edit_are_near(spark, tmp_path):
     assert all(got[1000 + i] == ("", 1) for i in range(len(made)))
 
 
-def test_sketches_never_part_similar_lines():
-    r = random.Random(22)
-    for _ in range(300):
-        a = line(r, r.choice([4, 9, 30, 90, 400])) if r.random() < 0.9 else "ab" * 40
+def near_pairs(r, n):
+    """Pairs of normal lines of many lengths whose exact similarity is at least 0.8."""
+    out = []
+    while len(out) < n:
+        a = line(r, r.choice([12, 30, 60, 120, 400]))
         b = list(a)
-        for _ in range(r.randint(0, 1 + len(a) // 40)):
+        for _ in range(r.randint(0, 1 + len(a) // 45)):
             b[r.randrange(len(b))] = r.choice("abc")
-        b = line_dedup.normal("".join(b)) or "x"
-        pair = [line_dedup.normal(a), b]
-        if line_dedup.jaccard_linker()([x.encode() for x in pair])[0, 1]:
-            assert line_dedup.may_be_similar(line_dedup.sketches([*pair, line(r, 200)]))[:2] == [0, 1]
-    assert line_dedup.may_be_similar(line_dedup.sketches([line(r, n) for n in (100, 101, 102, 300, 310)])) == []
+        a, b = line_dedup.normal(a), line_dedup.normal("".join(b))
+        if a != b and line_dedup.Jaccard([a.encode(), b.encode()])[0][1]:
+            out.append((a, b))
+    return out
+
+
+def test_recall_of_the_shipped_bands_and_sketches():
+    pairs = near_pairs(random.Random(22), 6000)
+    keys, sketch = line_dedup.signatures([x for p in pairs for x in p])
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    close = np.bitwise_count(sketch[::2] ^ sketch[1::2]) <= line_dedup.most_apart(line_dedup.SKETCH)
+    assert (met & close).mean() >= 0.995 and close.mean() >= 0.9995
+    far, other = line_dedup.signatures([line(random.Random(i), 200) for i in range(400)])
+    apart = np.bitwise_count(other[:200] ^ other[200:]) > line_dedup.most_apart(line_dedup.SKETCH)
+    assert apart.mean() > 0.9 and (keys % line_dedup.BANDS == np.arange(line_dedup.BANDS)).all()
+
+
+@pytest.mark.parametrize("at_once", [3, 4096])
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_candidates_are_those_of_whole_buckets(monkeypatch, at_once, size):
+    monkeypatch.setattr(line_dedup, "SKETCHES", at_once)
+    r, bands, most = random.Random(24), 2, 3
+    sketch = [r.choice([0, 0xFFFF, 0xFF00FF]) ^ (1 << r.randrange(20)) for _ in range(60)]
+    rows = sorted((r.randrange(12), i, sketch[i], r.random() < 0.1) for i in (r.randrange(60) for _ in range(400)))
+    table = pa.table({k: pa.array(v, t) for (k, t), v in zip((("bucket", pa.int64()), ("item", pa.int64()), ("sketch", pa.int64()), ("again", pa.bool_())), zip(*rows, strict=True), strict=True)})
+    out = [x for b in line_dedup.candidates(iter(table.to_batches(max_chunksize=size)), bands, most) for x in b.to_pylist()]
+    assert {x["item"] for x in out if x["bucket"] is None} == {i for n, i, _, f in rows if n % bands == 0 and (f or sum((n, i) == x[:2] for x in rows) > 1)}
+    expected = set()
+    for bucket in range(12):
+        items = sorted({i for n, i, *_ in rows if n == bucket})
+        if len(items) > at_once:
+            expected |= {(bucket, i) for i in items}
+        elif near := [i for i in items if any(i != j and (sketch[i] ^ sketch[j]).bit_count() <= most for j in items)]:
+            expected |= {(line_dedup._bucket_of(np.array(near, dtype=np.int64)), i) for i in near}
+    assert {(x["bucket"], x["item"]) for x in out if x["bucket"] is not None} == expected
+
+
+@pytest.mark.parametrize("few", [1, 24])
+def test_exact_similarity(monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    lines = [x for p in near_pairs(random.Random(25), 8) for x in p] + ["x", "ab" * 30, "ab" * 50]
+    rows, grams = line_dedup.Jaccard([x.encode() for x in lines]), [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    assert [rows[i].tolist() for i in range(len(lines))] == [[len(a & b) >= 0.8 * len(a | b) for b in grams] for a in grams]
 
 
 def test_one_of_each_keeps_a_row_of_every_component(spark):
