@@ -77,6 +77,35 @@ def test_piece_transducer_is_the_library(spark, docs, empty):
     assert sorted((r.doc_id, r.text) for r in piece_fst.decode(encoded, PIECES).collect()) == sorted((i, text_of(t)) for i, t, *_ in ROWS if i is not None and i < 8)
 
 
+def test_pairs_join_as_merging_says():
+    machine, r = piece_fst.transducer(PIECES), random.Random(3)
+    ids = list(machine.steps)
+    for a, b in ((r.choice(ids), r.choice(ids)) for _ in range(20_000)):
+        x, y = machine.pieces[a], machine.pieces[b]
+        assert machine._joins(a, b) == (machine.merge(x + y) == [x, y]), (x, y)
+
+
+def test_character_rules_are_the_librarys():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    r = random.Random(4)
+    for rule in ("nmt_nfkc", "nfkc_cf", "identity"):
+        proto = model.ModelProto()
+        proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True).serialized_model_proto())
+        spec = proto.normalizer_spec
+        pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("▁", -2.0, 1), *((c, -3.0 - i / 8, 1) for i, c in enumerate("aekfiltwoÅ1ß")), ("fi", -1.5, 1), ("▁a", -2.5, 1), *((f"<0x{i:02X}>", -9.0, 6) for i in range(256))]
+        whole = model.ModelProto(normalizer_spec=spec)
+        whole.trainer_spec.model_type, whole.trainer_spec.byte_fallback = 1, True
+        for p, s, t in pieces:
+            whole.pieces.add(piece=p, score=s, type=t)
+        library = sentencepiece.SentencePieceProcessor(model_proto=whole.SerializeToString())
+        machine = piece_fst.PieceTransducer.of(pieces, False, normaliser=spec)
+        for _ in range(1500):
+            t = "".join(r.choice(["ﬁ", "Å", "Å", "①", "  ", "　", "\t", "ａ", "k", "e", "é", "漢", "ß", "A", "²", "½", "🙂", "fi", "l"]) for _ in range(r.randint(0, 12)))
+            assert machine.encode(t).tolist() == library.encode(t), (rule, t)
+
+
 def test_unigram_transducer_takes_the_best_path():
     pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("▁a", -2.2, 1), ("ba", -9.0, 1)]
     machine = piece_fst.PieceTransducer.of(pieces, merges=False)
