@@ -8,7 +8,6 @@ of its own, so any size is handled exactly. What comes out is a spanning forest
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,30 +18,28 @@ from mortise.llm.common import settled
 
 CHUNK = 2048
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
-#: payloads -> rows of a boolean matrix of who links with whom, by index; only rows that are asked for need be made
-Linker = Callable[[list[bytes]], "np.ndarray | Indexed"]
+#: payloads -> near(i, others): those positions among `others` (an array) whose payloads link with payload i
+Near = Callable[[int, np.ndarray], np.ndarray]
+Linker = Callable[[list[bytes]], Near]
 
 
-class Indexed(Protocol):
-    def __getitem__(self, i: int) -> np.ndarray: ...
+def spanning(items: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """(least item, member) for every member of every component of the links.
 
-
-def spanning(items: np.ndarray, linked: np.ndarray | Indexed) -> list[tuple[int, int]]:
-    """(least item, member) for every member of every component of the matrix.
-
-    A row is read only while some item has not been reached, so a group of copies reads one.
+    Only items that have not been reached are compared with the next one, so a group of copies
+    costs one comparison a member.
     """
-    out, waiting = [], np.ones(len(items), dtype=bool)
-    for start in np.argsort(items, kind="stable").tolist():
-        if not waiting[start]:
-            continue
-        waiting[start] = False
+    order = np.argsort(items, kind="stable")
+    out, waiting = [], order
+    while len(waiting) > 1:
+        start, waiting = int(waiting[0]), waiting[1:]
         front = [start]
-        while front and waiting.any():
-            new = np.flatnonzero(linked[front.pop()] & waiting).tolist()
-            waiting[new] = False
-            front += new
-            out += [(int(items[start]), int(items[x])) for x in new]
+        while front and len(waiting):
+            new = near(front.pop(), waiting)
+            if len(new):
+                waiting = waiting[~np.isin(waiting, new)]
+                front += new.tolist()
+                out += [(int(items[start]), x) for x in items[new].tolist()]
     return out
 
 

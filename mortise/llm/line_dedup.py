@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +17,15 @@ from mortise.llm.graph import components
 from mortise.llm.membership import Membership
 from mortise.llm.minhash import mix
 
-#: Characters of a shingle, least similarity, bands and hashes a band (a pair at 0.8 is missed once in 550).
-CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
+#: Characters of a shingle, least similarity, bands and hashes a band (a pair at 0.8 is missed once in 575). Chance
+#: meetings grow with the square of the lines: larger corpora take more hashes a band, and bands by `bands_for`.
+CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
 #: Most hashes that give a bit to a line's sketch, and how seldom a similar pair's sketches may lie too far apart.
 SKETCH, MISS = 48, 1e-5
-#: Groups up to this size are compared set by set, larger ones by numbered shingles.
-FEW = 24
 #: Code points hashed at a time.
 PART = 1 << 17
 #: Lines of a bucket that are checked in one task.
-CHUNK = 512
+CHUNK = 1024
 #: Lines of a bucket whose sketches are compared at once; larger buckets go to the exact check as they are.
 SKETCHES = 4096
 #: Stands for a null doc_id, which comes last.
@@ -87,8 +86,13 @@ def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, chars: in
         keys[:, b] = mix(keys[:, b] ^ value.astype(np.uint64)) + np.uint64(b + 1)
         if i < SKETCH:
             sketch |= (value >> np.uint32(8) & np.uint32(1)).astype(np.int64) << i
-    signed = keys.view(np.int64)
-    return signed // (2 * bands) * bands + np.arange(bands), sketch
+    # 48 bits are enough to tell buckets apart, and are written shorter.
+    return (keys >> np.uint64(16)).astype(np.int64) // bands * bands + np.arange(bands), sketch
+
+
+def bands_for(rows: int, similar: float = SIMILAR, miss: float = 1 / 550) -> int:
+    """Bands of `rows` hashes that miss a pair at the least similarity not more often than `miss`."""
+    return ceil(log(miss) / log(1 - similar**rows))
 
 
 def most_apart(hashes: int, similar: float = SIMILAR) -> int:
@@ -103,96 +107,106 @@ def most_apart(hashes: int, similar: float = SIMILAR) -> int:
     return d
 
 
-def _bucket_of(items: np.ndarray) -> int:
-    """A number for a set of lines: buckets with the same members are one."""
-    return xxhash.xxh64_intdigest(np.sort(items).tobytes()) - (1 << 63)
+#: Bit of a sketch column that says that the line has come before in its batch.
+AGAIN = 62
 
 
 def candidates(batches: Iterator[pa.RecordBatch], bands: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, item, sketch, again) sorted by bucket and item -> (bucket, item): who may be similar to another.
+    """Rows (bucket, item, sketch) sorted by bucket and item -> (low, item): who may be similar to another.
 
     A line stays in a bucket if its sketch differs in at most `most` bits from that of another
-    line there. Lines that occur more than once come out with a null bucket, from the first band.
-    Only the rows of one bucket are held, and of a bucket beyond SKETCHES lines one row: its lines
-    all stay.
+    line there; `low` is the least of those that stay, so buckets that share it become one group.
+    Lines that occur more than once come out with a null `low`, from the first band. Only the rows
+    of one bucket are held, and of a bucket beyond SKETCHES lines one row: its lines all stay.
     """
     empty = np.empty(0, dtype=np.int64)
-    held = (empty, empty, empty, np.empty(0, dtype=bool))
-    cut = None
+    held = (empty, empty, empty)
+    cut, cut_low = None, 0
 
-    def close(keys, items, sketches, again, last: bool):
+    def close(keys, items, sketches, last: bool):
         """Output arrays of the whole buckets among the rows, and the rows that wait for the next batch."""
-        nonlocal cut
+        nonlocal cut, cut_low
         same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (items[1:] == items[:-1])])
         first = np.flatnonzero(~same)
-        again = np.logical_or.reduceat(again, first) | (np.diff([*first.tolist(), len(keys)]) > 1)
-        keys, items, sketches = keys[first], items[first], sketches[first]
+        more = np.diff(np.append(first, len(keys))) > 1
+        again = np.bitwise_or.reduceat(sketches, first) >> AGAIN & 1 == 1
+        keys, items, sketches = keys[first], items[first], sketches[first] & ((1 << SKETCH) - 1)
+        again |= more
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         ends = np.append(starts[1:], len(keys))
-        buckets, members = [], []
+        lows, members = [], []
         if not last and ends[-1] - starts[-1] <= SKETCHES:
-            wait, starts, ends = slice(starts[-1], None), starts[:-1], ends[:-1]
+            wait, starts, ends = int(starts[-1]), starts[:-1], ends[:-1]
         else:
-            wait = slice(len(keys) if last else len(keys) - 1, None)  # of a cut bucket the last row tells if the next repeats it
-        sizes = ends - starts
-        two = starts[sizes == 2]
-        two = two[(keys[two] != cut) & (np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= most)] if len(two) else two
-        if len(two):
-            pairs = np.sort(np.stack([items[two], items[two + 1]], axis=1), axis=1)
-            names = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in map(bytes, pairs.view(np.uint8))]
-            buckets.append(np.repeat(np.array(names, dtype=np.int64), 2))
-            members.append(pairs.ravel())
-        for s, e in zip(starts[(sizes > 2) | (keys[starts] == cut)].tolist(), ends[(sizes > 2) | (keys[starts] == cut)].tolist(), strict=True):
+            wait = len(keys) if last else len(keys) - 1  # of a cut bucket the last row tells if the next repeats it
+        sizes, going = ends - starts, keys[starts] == cut
+        two = starts[(sizes == 2) & ~going]
+        two = two[np.bitwise_count(sketches[two] ^ sketches[two + 1]) <= most] if len(two) else two
+        lows.append(np.repeat(items[two], 2))
+        members.append(np.stack([items[two], items[two + 1]], axis=1).ravel() if len(two) else empty)
+        for s, e in zip(starts[(sizes > 2) | going].tolist(), ends[(sizes > 2) | going].tolist(), strict=True):
             group, x = items[s:e], sketches[s:e]
             if keys[s] == cut or e - s > SKETCHES:
-                cut = int(keys[s])
-                buckets.append(np.full(e - s, cut))
-                members.append(group)
-                continue
-            near = np.concatenate([(np.bitwise_count(x[i : i + 256, None] ^ x[None, :]) <= most).sum(axis=1) > 1 for i in range(0, len(x), 256)])
-            if near.any():
-                buckets.append(np.full(int(near.sum()), _bucket_of(group[near])))
-                members.append(group[near])
-        done = np.flatnonzero(again[: wait.start] & (keys[: wait.start] % bands == 0))
-        out = pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(np.concatenate([empty, *buckets])), pa.nulls(len(done), pa.int64())]), pa.array(np.concatenate([empty, *members, items[done]]))],
-            ["bucket", "item"],
-        )
-        return out, (keys[wait], items[wait], sketches[wait], again[wait])
+                if keys[s] != cut:
+                    cut, cut_low = int(keys[s]), int(group[0])
+                lows.append(np.full(e - s, cut_low))
+            else:
+                near = np.concatenate([(np.bitwise_count(x[i : i + 256, None] ^ x[None, :]) <= most).sum(axis=1) > 1 for i in range(0, len(x), 256)])
+                group = group[near]
+                lows.append(np.full(len(group), group[0] if len(group) else 0))
+            members.append(group)
+        done = np.flatnonzero(again[:wait] & (keys[:wait] % bands == 0))
+        out = [pa.concat_arrays([pa.array(np.concatenate(lows)), pa.nulls(len(done), pa.int64())]), pa.array(np.concatenate([*members, items[done]]))]
+        rest = slice(wait, None)
+        return pa.RecordBatch.from_arrays(out, ["low", "item"]), (keys[rest], items[rest], sketches[rest] | again[rest].astype(np.int64) << AGAIN)
 
     for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if not batch.num_rows:
-            continue
-        out, held = close(*(np.concatenate(x) for x in zip(held, rows, strict=True)), last=False)
-        yield out
+        if batch.num_rows:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            out, held = close(*(np.concatenate(x) for x in zip(held, rows, strict=True)), last=False)
+            yield out
     if len(held[0]):
         yield close(*held, last=True)[0]
 
 
 class Jaccard:
-    """[i]: which of some normal lines have an exact Jaccard similarity of shingle sets >= `similar` with line i."""
+    """(i, others): those of some normal lines whose shingle sets have an exact Jaccard similarity >= `similar` with line i's.
+
+    A shingle is packed into one number, in which each character has its own bits, so sets of
+    numbers are sets of shingles; where the characters need too many bits, shingles are numbered.
+    Only lines with enough shingles for the similarity are compared.
+    """
 
     def __init__(self, lines: list[bytes], similar: float = SIMILAR, chars: int = CHARS):
-        texts = (x.decode("utf-8", "surrogatepass") for x in lines)
-        self.sets, self.similar = [{t[i : i + chars] for i in range(max(1, len(t) - chars + 1))} for t in texts], similar
-        self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
-        if len(lines) > FEW:
-            number: dict[str, int] = {}
-            self.numbers = np.array([number.setdefault(x, len(number)) for s in self.sets for x in s], dtype=np.int64)
-            self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-            self.marked = np.zeros(len(number), dtype=np.int64)
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        if len(self.sets) <= FEW:
-            mine = self.sets[i]
-            common = np.array([len(mine & s) for s in self.sets])
+        texts = [x.decode("utf-8", "surrogatepass") for x in lines]
+        texts = [x if len(x) >= chars else x + "\0" * (chars - len(x)) for x in texts]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        if int(points.max()).bit_length() * chars > 64:
+            points = np.unique(points, return_inverse=True)[1].astype(np.uint32)
+        bits, lengths = int(points.max()).bit_length(), np.array(list(map(len, texts)))
+        if bits * chars <= 64:
+            codes = np.zeros(len(points) - chars + 1, dtype=np.uint64)
+            for i in range(chars):
+                codes = codes << np.uint64(bits) | points[i : len(codes) + i]
         else:
-            mine = self.numbers[self.starts[i] : self.starts[i] + self.sizes[i]]
-            self.marked[mine] = 1
-            common = np.add.reduceat(self.marked[self.numbers], self.starts)
-            self.marked[mine] = 0
-        return common >= self.similar * (self.sizes + self.sizes[i] - common) - 1e-9
+            number: dict[str, int] = {}
+            joined = "".join(texts)
+            codes = np.array([number.setdefault(joined[i : i + chars], len(number)) for i in range(len(joined) - chars + 1)], dtype=np.uint64)
+        self.sets, self.similar = [], similar
+        for start, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True):
+            own = np.sort(codes[start : start + n - chars + 1])
+            self.sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        self.sizes = np.array(list(map(len, self.sets)))
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        mine, n, sizes = self.sets[i], self.sizes[i], self.sizes[others]
+        others = others[np.minimum(sizes, n) >= self.similar * np.maximum(sizes, n) - 1e-9]
+        common = np.empty(len(others))
+        for k, j in enumerate(others.tolist()):
+            both = np.concatenate([mine, self.sets[j]])
+            both.sort()
+            common[k] = np.count_nonzero(both[1:] == both[:-1])
+        return others[common >= self.similar * (n + self.sizes[others] - common) - 1e-9]
 
 
 def _text_key(text: str) -> int:
@@ -257,19 +271,12 @@ def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
 
     Lines that share a band are one bucket; rows are dealt and sorted by it and streamed, so no
     bucket is held whole. Sketches leave out lines that are far from all others of their bucket;
-    buckets with the same members are one. Only the texts of the others are fetched, compared
+    buckets with the same least line are one. Only the texts of the others are fetched, compared
     exactly, a bounded number in a task, and joined by a union-find over all verified links.
     """
 
-    def banded(lines: list[str], keys: np.ndarray, again: np.ndarray) -> list:
-        made, sketch = signatures(lines, bands, rows, chars)
-        return [made.ravel(), np.repeat(keys, bands), np.repeat(sketch, bands), np.repeat(again, bands)]
-
-    most = most_apart(min(SKETCH, bands * rows), similar)
-    band = _lines_by(docs, "bucket long, item long, sketch long, again boolean", banded)
-    met = band.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(lambda batches: candidates(batches, bands, most), "bucket long, item long")
-    found = settled(met.distinct())
-    members = found.where("bucket is not null")
+    found = settled(met_lines(docs, similar, bands, rows, chars).distinct())
+    members = found.where("low is not null").select(F.col("low").alias("bucket"), "item")
     wanted = Membership(members.select("item"), "item")
 
     def told(lines: list[str], keys: np.ndarray, again: np.ndarray) -> list:
@@ -278,7 +285,19 @@ def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
 
     texts = _lines_by(docs, "item long, payload binary", told).groupBy("item").agg(F.min("payload").alias("payload"))
     links = components(bucket_links(members.join(texts, "item"), lambda lines: Jaccard(lines, similar, chars), CHUNK))
-    return links, found.where("bucket is null").select(F.col("item").alias("line"))
+    return links, found.where("low is null").select(F.col("item").alias("line"))
+
+
+def met_lines(docs: DataFrame, similar: float, bands: int, rows: int, chars: int) -> DataFrame:
+    """(low, item): candidates() of the band rows, which are dealt and sorted by bucket."""
+
+    def banded(lines: list[str], keys: np.ndarray, again: np.ndarray) -> list:
+        made, sketch = signatures(lines, bands, rows, chars)
+        return [made.ravel(), np.repeat(keys, bands), np.repeat(sketch | again.astype(np.int64) << AGAIN, bands)]
+
+    most = most_apart(min(SKETCH, bands * rows), similar)
+    band = _lines_by(docs, "bucket long, item long, sketch long", banded)
+    return band.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(lambda batches: candidates(batches, bands, most), "low long, item long")
 
 
 def repeated_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> DataFrame:

@@ -53,14 +53,12 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - distance)]
 
 
-class Hamming:
-    """[i]: which of some fingerprints differ from fingerprint i in at most `distance` bits."""
+def hamming_linker(distance: int):
+    def linker(payloads: list[bytes]):
+        prints = np.frombuffer(b"".join(payloads), dtype=">u8").astype(np.uint64)
+        return lambda i, others: others[np.bitwise_count(prints[others] ^ prints[i]) <= distance]
 
-    def __init__(self, payloads: list[bytes], distance: int):
-        self.prints, self.distance = np.frombuffer(b"".join(payloads), dtype=">u8").astype(np.uint64), distance
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        return np.bitwise_count(self.prints ^ self.prints[i]) <= self.distance
+    return linker
 
 
 def fingerprint_roots(classes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
@@ -68,7 +66,7 @@ def fingerprint_roots(classes: DataFrame, distance: int = 3, blocks: int = 5) ->
     signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance, blocks)]
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
     rows = classes.select(F.explode(keys).alias("bucket"), F.col("fingerprint").alias("item"), F.unhex(F.lpad(F.hex("fingerprint"), 16, "0")).alias("payload"))
-    roots = components(bucket_links(rows, lambda prints: Hamming(prints, distance)))
+    roots = components(bucket_links(rows, hamming_linker(distance)))
     return classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
 
 

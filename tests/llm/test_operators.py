@@ -344,7 +344,7 @@ def test_components_of_chains_stars_and_nothing(spark):
 
 def test_bucket_links_are_a_star(spark):
     rows = spark.createDataFrame([(1, i, bytes([i // 10])) for i in range(30)] + [(2, 99, b"x")], "bucket long, item long, payload binary")
-    same = lambda p: np.array([[a == b for b in p] for a in p])
+    same = lambda p: lambda i, others: np.array([j for j in others if p[j] == p[i]], dtype=int)
     assert {(r.a, r.b) for r in bucket_links(rows, same).collect()} == {(i // 10 * 10, i) for i in range(30) if i % 10}
 
 

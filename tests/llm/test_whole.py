@@ -32,7 +32,8 @@ def test_lines_of_fifty_characters_with_one_edit_are_near(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(made)] + [(1000 + i, edited(t)) for i, t in enumerate(made)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {x.doc_id: (x.text, x.n_dropped) for x in op5_line_dedup(spark, str(tmp_path)).collect()}
-    assert (line_dedup.CHARS, line_dedup.BANDS, line_dedup.ROWS) == (5, 12, 4)
+    assert (line_dedup.CHARS, line_dedup.BANDS, line_dedup.ROWS) == (5, 16, 5)
+    assert line_dedup.bands_for(line_dedup.ROWS) == line_dedup.BANDS and line_dedup.bands_for(4) == 12
     assert all(got[i] == (t, 0) for i, t in enumerate(made))
     assert all(got[1000 + i] == ("", 1) for i in range(len(made)))
 
@@ -46,7 +47,7 @@ def near_pairs(r, n):
         for _ in range(r.randint(0, 1 + len(a) // 45)):
             b[r.randrange(len(b))] = r.choice("abc")
         a, b = line_dedup.normal(a), line_dedup.normal("".join(b))
-        if a != b and line_dedup.Jaccard([a.encode(), b.encode()])[0][1]:
+        if a != b and len(line_dedup.Jaccard([a.encode(), b.encode()])(0, np.array([1]))):
             out.append((a, b))
     return out
 
@@ -68,26 +69,24 @@ def test_candidates_are_those_of_whole_buckets(monkeypatch, at_once, size):
     monkeypatch.setattr(line_dedup, "SKETCHES", at_once)
     r, bands, most = random.Random(24), 2, 3
     sketch = [r.choice([0, 0xFFFF, 0xFF00FF]) ^ (1 << r.randrange(20)) for _ in range(60)]
-    rows = sorted((r.randrange(12), i, sketch[i], r.random() < 0.1) for i in (r.randrange(60) for _ in range(400)))
-    table = pa.table({k: pa.array(v, t) for (k, t), v in zip((("bucket", pa.int64()), ("item", pa.int64()), ("sketch", pa.int64()), ("again", pa.bool_())), zip(*rows, strict=True), strict=True)})
+    rows = sorted((r.randrange(12), i, sketch[i] | (r.random() < 0.1) << line_dedup.AGAIN) for i in (r.randrange(60) for _ in range(400)))
+    table = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("bucket", "item", "sketch"), zip(*rows, strict=True), strict=True)})
     out = [x for b in line_dedup.candidates(iter(table.to_batches(max_chunksize=size)), bands, most) for x in b.to_pylist()]
-    assert {x["item"] for x in out if x["bucket"] is None} == {i for n, i, _, f in rows if n % bands == 0 and (f or sum((n, i) == x[:2] for x in rows) > 1)}
+    assert {x["item"] for x in out if x["low"] is None} == {i for n, i, f in rows if n % bands == 0 and (f >> line_dedup.AGAIN or sum((n, i) == x[:2] for x in rows) > 1)}
     expected = set()
     for bucket in range(12):
-        items = sorted({i for n, i, *_ in rows if n == bucket})
-        if len(items) > at_once:
-            expected |= {(bucket, i) for i in items}
-        elif near := [i for i in items if any(i != j and (sketch[i] ^ sketch[j]).bit_count() <= most for j in items)]:
-            expected |= {(line_dedup._bucket_of(np.array(near, dtype=np.int64)), i) for i in near}
-    assert {(x["bucket"], x["item"]) for x in out if x["bucket"] is not None} == expected
-
-
-@pytest.mark.parametrize("few", [1, 24])
-def test_exact_similarity(monkeypatch, few):
-    monkeypatch.setattr(line_dedup, "FEW", few)
-    lines = [x for p in near_pairs(random.Random(25), 8) for x in p] + ["x", "ab" * 30, "ab" * 50]
+        items = sorted({i for n, i, _ in rows if n == bucket})
+        near = [i for i in items if len(items) > at_once or any(i != j and (sketch[i] ^ sketch[j]).bit_count() <= most for j in items)]
+        expected |= {(near[0], i) for i in near}
+    assert {(x["low"], x["item"]) for x in out if x["low"] is not None} == expected
+
+
+@pytest.mark.parametrize("more", ["", "漢字🙂", "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))])
+def test_exact_similarity(more):
+    lines = [x for p in near_pairs(random.Random(25), 8) for x in p] + ["x", "ab" * 30, "ab" * 50] + ([more] if more else [])
     rows, grams = line_dedup.Jaccard([x.encode() for x in lines]), [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
-    assert [rows[i].tolist() for i in range(len(lines))] == [[len(a & b) >= 0.8 * len(a | b) for b in grams] for a in grams]
+    every = np.arange(len(lines))
+    assert [rows(i, every).tolist() for i in range(len(lines))] == [[j for j, b in enumerate(grams) if len(a & b) >= 0.8 * len(a | b)] for a in grams]
 
 
 def test_one_of_each_keeps_a_row_of_every_component(spark):
