@@ -17,20 +17,21 @@ from pyspark.sql import functions as F
 from mortise.llm.common import settled
 
 CHUNK = 2048
+#: Bytes of payloads that are handed to a linker at once, so that small buckets share its start-up.
+BYTES = 1 << 18
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
 #: payloads -> near(i, others): those positions among `others` (an array) whose payloads link with payload i
 Near = Callable[[int, np.ndarray], np.ndarray]
 Linker = Callable[[list[bytes]], Near]
 
 
-def spanning(items: np.ndarray, near: Near) -> list[tuple[int, int]]:
-    """(least item, member) for every member of every component of the links.
+def spanning(items: np.ndarray, near: Near, at: int = 0) -> list[tuple[int, int]]:
+    """(least item, member) for every member of every component of the links; the items stand from `at` on in near's payloads.
 
     Only items that have not been reached are compared with the next one, so a group of copies
     costs one comparison a member.
     """
-    order = np.argsort(items, kind="stable")
-    out, waiting = [], order
+    out, waiting = [], np.argsort(items, kind="stable") + at
     while len(waiting) > 1:
         start, waiting = int(waiting[0]), waiting[1:]
         front = [start]
@@ -39,7 +40,7 @@ def spanning(items: np.ndarray, near: Near) -> list[tuple[int, int]]:
             if len(new):
                 waiting = waiting[~np.isin(waiting, new)]
                 front += new.tolist()
-                out += [(int(items[start]), x) for x in items[new].tolist()]
+                out += [(int(items[start - at]), x) for x in items[new - at].tolist()]
     return out
 
 
@@ -81,10 +82,29 @@ def bucket_links(rows: DataFrame, linker: Linker, chunk: int = CHUNK) -> DataFra
     """
     schema = "a long, b long, bucket long, chunk long, payload binary"
 
+    def linked(groups: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple[int, int]]]]:
+        """Each group with the star of its links."""
+        held, size = [], 0
+
+        def flush():
+            near, at = linker([p for *_, payloads in held for p in payloads]), 0
+            for group in held:
+                yield group, spanning(group[3], near, at)
+                at += len(group[4])
+
+        for group in groups:
+            held.append(group)
+            size += sum(map(len, group[4]))
+            if size >= BYTES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for bucket, number, cut, items, payloads in _groups(batches, chunk):
-            out += [(a, b, None, None, None) for a, b in spanning(items, linker(payloads))] if len(items) > 1 else []
+        for (bucket, number, cut, items, payloads), star in linked(_groups(batches, chunk)):
+            out += [(a, b, None, None, None) for a, b in star]
             if cut:
                 out += [(a, None, bucket, number, p) for a, p in zip(items.tolist(), payloads, strict=True)]
             if len(out) >= 4 * chunk:
@@ -93,8 +113,8 @@ def bucket_links(rows: DataFrame, linker: Linker, chunk: int = CHUNK) -> DataFra
         yield _table(out)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, items, payloads in _groups(batches, 2 * chunk):
-            yield _table([(a, b, None, None, None) for a, b in spanning(items, linker(payloads))])
+        for _, star in linked(_groups(batches, 2 * chunk)):
+            yield _table([(a, b, None, None, None) for a, b in star])
 
     found = settled(rows.select("bucket", "item", "payload").repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(inside, schema))
     links, cut = found.where("b is not null").select("a", "b"), found.where("b is null")

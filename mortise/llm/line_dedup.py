@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import ceil, comb, log
 
@@ -37,6 +38,21 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+#: White space other than single spaces between words; str.split() takes the same characters.
+_UNEVEN = re.compile(r"[^\S \n]|  | \n|\n | \Z|\A ")
+#: What of it an ASCII text can hold besides.
+_ASCII = ("\t", "  ", " \n", "\n ", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def normal_lines(text: str) -> list[str]:
+    """normal() of each line of a text; an evenly spaced text is lower-cased and cut as a whole."""
+    if text.isascii():
+        uneven = text[:1] == " " or text[-1:] == " " or any(x in text for x in _ASCII)
+    else:
+        uneven = _UNEVEN.search(text) is not None
+    return list(map(normal, text.split("\n"))) if uneven else text.lower().split("\n")
+
+
 def line_key(line: str) -> int:
     """Signed 64-bit hash of a normal line."""
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 1) - (1 << 63)
@@ -76,11 +92,9 @@ def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, chars: in
     low, starts = shingles(lines, chars)
     made = np.random.default_rng(20240501)
     odd = made.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    more = made.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
     keys, sketch, turned = np.zeros((len(lines), bands), dtype=np.uint64), np.zeros(len(lines), dtype=np.int64), np.empty_like(low)
     for i in range(bands * rows):
-        np.bitwise_xor(low, more[i], out=turned)
-        np.multiply(turned, odd[i], out=turned)
+        np.multiply(low, odd[i], out=turned)
         value = np.minimum.reduceat(turned, starts)
         b = i // rows
         keys[:, b] = mix(keys[:, b] ^ value.astype(np.uint64)) + np.uint64(b + 1)
@@ -222,7 +236,7 @@ def occurrences(docs: DataFrame, wanted: Membership | None = None) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
         line, doc, body, number = [], [], [], []
         for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-            kept = [(n, x) for n, x in enumerate(map(normal, text.split("\n"))) if x]
+            kept = [(n, x) for n, x in enumerate(normal_lines(text)) if x]
             line += [line_key(x) for _, x in kept]
             number += [n for n, _ in kept]
             doc += [NO_ID if i is None else i] * len(kept)
@@ -251,7 +265,7 @@ def _lines_by(docs: DataFrame, schema: str, emit) -> DataFrame:
         for batch in slices(batches):
             part, points = {}, 0
             for text in texts_of(batch.column("text")):
-                for line in map(normal, text.split("\n")):
+                for line in normal_lines(text):
                     if line in part:
                         part[line] = True
                     elif line:

@@ -63,6 +63,13 @@ def test_recall_of_the_shipped_bands_and_sketches():
     assert apart.mean() > 0.9 and (keys % line_dedup.BANDS == np.arange(line_dedup.BANDS)).all()
 
 
+def test_normal_lines_are_those_of_each_line():
+    r = random.Random(26)
+    for _ in range(4000):
+        t = "".join(r.choice([" ", "\n", "A", "b", "é", "\t", "\xa0", "\u2028", "Σ", "İ", "\x1c", "c"]) if r.random() < 0.4 else r.choice("Ab ") for _ in range(r.randint(0, 12)))
+        assert line_dedup.normal_lines(t) == list(map(line_dedup.normal, t.split("\n"))), repr(t)
+
+
 @pytest.mark.parametrize("at_once", [3, 4096])
 @pytest.mark.parametrize("size", [1, 7, 1000])
 def test_candidates_are_those_of_whole_buckets(monkeypatch, at_once, size):
