@@ -24,7 +24,7 @@ CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
 #: Most hashes that give a bit to a line's sketch, and how seldom a similar pair's sketches may lie too far apart.
 SKETCH, MISS = 48, 1e-5
 #: Code points hashed at a time.
-PART = 1 << 17
+PART = 1 << 16
 #: Lines of a bucket that are checked in one task.
 CHUNK = 1024
 #: Lines of a bucket whose sketches are compared at once; larger buckets go to the exact check as they are.
@@ -92,16 +92,20 @@ def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, chars: in
     low, starts = shingles(lines, chars)
     made = np.random.default_rng(20240501)
     odd = made.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    keys, sketch, turned = np.zeros((len(lines), bands), dtype=np.uint64), np.zeros(len(lines), dtype=np.int64), np.empty_like(low)
+    more = made.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    least, turned = np.empty((bands * rows, len(lines)), dtype=np.uint32), np.empty_like(low)
     for i in range(bands * rows):
-        np.multiply(low, odd[i], out=turned)
-        value = np.minimum.reduceat(turned, starts)
-        b = i // rows
-        keys[:, b] = mix(keys[:, b] ^ value.astype(np.uint64)) + np.uint64(b + 1)
-        if i < SKETCH:
-            sketch |= (value >> np.uint32(8) & np.uint32(1)).astype(np.int64) << i
+        np.bitwise_xor(low, more[i], out=turned)
+        np.multiply(turned, odd[i], out=turned)
+        np.minimum.reduceat(turned, starts, out=least[i])
+    bits = (least[:SKETCH] >> np.uint32(8) & np.uint32(1)).astype(np.int64)
+    sketch = np.bitwise_or.reduce(bits << np.arange(len(bits))[:, None], axis=0)
+    number = np.arange(bands)[:, None]
+    keys = np.zeros((bands, len(lines)), dtype=np.uint64)
+    for values in least.reshape(bands, rows, -1).transpose(1, 0, 2):
+        keys = mix(keys ^ values) + (number + 1).astype(np.uint64)
     # 48 bits are enough to tell buckets apart, and are written shorter.
-    return (keys >> np.uint64(16)).astype(np.int64) // bands * bands + np.arange(bands), sketch
+    return ((keys >> np.uint64(16)).astype(np.int64) // bands * bands + number).T, sketch
 
 
 def bands_for(rows: int, similar: float = SIMILAR, miss: float = 1 / 550) -> int:
@@ -206,20 +210,25 @@ class Jaccard:
             number: dict[str, int] = {}
             joined = "".join(texts)
             codes = np.array([number.setdefault(joined[i : i + chars], len(number)) for i in range(len(joined) - chars + 1)], dtype=np.uint64)
-        self.sets, self.similar = [], similar
-        for start, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True):
-            own = np.sort(codes[start : start + n - chars + 1])
-            self.sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
-        self.sizes = np.array(list(map(len, self.sets)))
+        self.similar = similar
+        starts = np.cumsum(lengths) - lengths
+        keep = np.ones(len(points), dtype=bool)
+        for start, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+            codes[start : start + n - chars + 1].sort()
+        keep[1 : len(codes)] = codes[1:] != codes[:-1]
+        keep[starts] = True
+        for i in range(1, chars):
+            keep[starts + lengths - i] = False
+        self.sizes = np.add.reduceat(keep.astype(np.int64), starts)
+        self.sets = np.split(codes[keep[: len(codes)]], np.cumsum(self.sizes)[:-1])
 
     def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
         mine, n, sizes = self.sets[i], self.sizes[i], self.sizes[others]
         others = others[np.minimum(sizes, n) >= self.similar * np.maximum(sizes, n) - 1e-9]
         common = np.empty(len(others))
         for k, j in enumerate(others.tolist()):
-            both = np.concatenate([mine, self.sets[j]])
-            both.sort()
-            common[k] = np.count_nonzero(both[1:] == both[:-1])
+            other = self.sets[j]
+            common[k] = np.count_nonzero(mine.take(mine.searchsorted(other), mode="clip") == other)
         return others[common >= self.similar * (n + self.sizes[others] - common) - 1e-9]
 
 
