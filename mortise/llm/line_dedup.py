@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import ceil, comb, log
 
@@ -39,17 +38,12 @@ def normal(line: str) -> str:
 
 
 #: White space other than single spaces between words; str.split() takes the same characters.
-_UNEVEN = re.compile(r"[^\S \n]|  | \n|\n | \Z|\A ")
-#: What of it an ASCII text can hold besides.
-_ASCII = ("\t", "  ", " \n", "\n ", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_UNEVEN = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
 
 def normal_lines(text: str) -> list[str]:
     """normal() of each line of a text; an evenly spaced text is lower-cased and cut as a whole."""
-    if text.isascii():
-        uneven = text[:1] == " " or text[-1:] == " " or any(x in text for x in _ASCII)
-    else:
-        uneven = _UNEVEN.search(text) is not None
+    uneven = text[:1] == " " or text[-1:] == " " or any(x in text for x in _UNEVEN)
     return list(map(normal, text.split("\n"))) if uneven else text.lower().split("\n")
 
 
