@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ MOST_BITS = 12
 EXTENSION, IMAGE, TRAILER, CONTROL = 0x21, 0x2C, 0x3B, 0xF9
 #: Samples to a row, rows to a frame, and time to a frame of stored byte payloads.
 ROW, ROWS, DELAY_MS = 64, 1024, 40
+#: Pixels of a canvas or an image beyond which a file counts as broken (a parameter of the readers).
+MOST_PIXELS = 1 << 24
 #: Histogram: two leading bits of red, green and blue.
 BINS = 64
 
@@ -121,15 +124,40 @@ def lzw_decode(data: bytes, least_bits: int, size: int) -> np.ndarray:
     return samples[:size]
 
 
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """A code stream of 8-bit samples in which each is its own code; clears keep the width at 9 bits."""
-    gap = (1 << 9) - 258
-    clears = -(-len(samples) // gap)
-    codes = np.full(len(samples) + clears + 1, 256, dtype=np.uint16)
-    n = np.arange(len(samples))
-    codes[n + n // gap + 1] = samples
-    codes[-1] = 257
-    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
+def lzw_encode(samples: bytes) -> bytes:
+    """A code stream of 8-bit samples with a growing table of strings, cleared when its 4096 codes are taken."""
+    clear, first, full = 256, 258, 1 << MOST_BITS
+    codes: list[int] = [clear]
+    if samples:
+        table: dict[int, int] = {}
+        known, put, free, string = table.get, codes.append, first, samples[0]
+        for b in samples[1:]:
+            key = string << 8 | b
+            longer = known(key)
+            if longer is not None:
+                string = longer
+                continue
+            put(string)
+            string = b
+            if free < full:
+                table[key] = free
+                free += 1
+            else:
+                put(clear)
+                table.clear()
+                free = first
+        put(string)
+    codes.append(clear + 1)
+    made = np.array(codes, dtype=np.int64)
+    # The width of a code follows from how many came since the last clear, as the decoder has it.
+    n = np.arange(len(made))
+    since = np.concatenate([[0], n[1:] - np.maximum.accumulate(np.where(made == clear, n, 0))[:-1] - 1])
+    widths = np.minimum(np.floor(np.log2(first + np.maximum(since - 1, 0))).astype(np.int64) + 1, MOST_BITS)
+    ends = np.cumsum(widths)
+    bits = np.zeros(int(ends[-1]), dtype=np.uint8)
+    for i in range(MOST_BITS):
+        wide = widths > i
+        bits[(ends - widths)[wide] + i] = made[wide] >> i & 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -144,14 +172,14 @@ def _blocks(data: bytes) -> bytes:
 
 
 def store_bytes(payload: bytes) -> bytes:
-    """A GIF whose samples are `payload` (a positive multiple of 64 bytes): grey palette, frames of up to 64 KiB."""
+    """A GIF whose samples are `payload` (a positive multiple of 64 bytes), LZW-coded: grey palette, frames of up to 64 KiB."""
     samples = np.frombuffer(payload, dtype=np.uint8)
     height = min(ROWS, len(samples) // ROW)
     grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
     out = [b"GIF89a", struct.pack("<HHBBB", ROW, height, 0xF7, 0, 0), grey]
     for at in range(0, len(samples), ROW * ROWS):
         part = samples[at : at + ROW * ROWS]
-        out += [struct.pack("<BBBBHBB", EXTENSION, CONTROL, 4, 1 << 2, DELAY_MS // 10, 0, 0), struct.pack("<BHHHHB", IMAGE, 0, 0, ROW, len(part) // ROW, 0), b"\x08", _blocks(lzw_literals(part))]
+        out += [struct.pack("<BBBBHBB", EXTENSION, CONTROL, 4, 1 << 2, DELAY_MS // 10, 0, 0), struct.pack("<BHHHHB", IMAGE, 0, 0, ROW, len(part) // ROW, 0), b"\x08", _blocks(lzw_encode(part.tobytes()))]
     return b"".join(out) + bytes([TRAILER])
 
 
@@ -165,23 +193,30 @@ class Frame:
     samples: np.ndarray
 
 
-def decode_gif(data: bytes) -> list[Frame]:
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> list[Frame]:
     """Frames of a GIF with disposal and transparency applied. Broken files raise ValueError."""
+    return list(each_frame(data, most_pixels))
+
+
+def each_frame(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """decode_gif() one frame at a time, so that one canvas is held; a file that breaks later has given its frames so far."""
     try:
-        return _decode(data)
+        yield from _decode(data, most_pixels)
     except (IndexError, struct.error) as e:
         raise ValueError("the file ends early") from e
 
 
-def _decode(data: bytes) -> list[Frame]:
+def _decode(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most_pixels:
+        raise ValueError("the canvas is too large")
     at, shared = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
-        shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
-    canvas, frames, time = np.zeros((height, width, 4), dtype=np.uint8), [], 0
+        shared, at = _palette(data, at, n), at + 3 * n
+    canvas, time = np.zeros((height, width, 4), dtype=np.uint8), 0
     disposal, delay, clear = 0, 0, None
 
     def blocks(at: int) -> tuple[bytes, int]:
@@ -205,10 +240,14 @@ def _decode(data: bytes) -> list[Frame]:
         at, palette = at + 10, shared
         if local & 0x80:
             n = 2 << (local & 7)
-            palette, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
+            palette, at = _palette(data, at, n), at + 3 * n
         if palette is None:
             raise ValueError("no palette")
         least, (stream, at) = data[at], blocks(at + 1)
+        if not 1 < least < MOST_BITS - 3:
+            raise ValueError("a code size that the format does not have")
+        if w * h > most_pixels:
+            raise ValueError("an image is too large")
         samples = lzw_decode(stream, least, w * h)
         if samples.size and samples.max() >= len(palette):
             raise ValueError("a sample is not in the palette")
@@ -226,14 +265,19 @@ def _decode(data: bytes) -> list[Frame]:
         else:
             seen = rows != clear
             area[seen] = colours[rows[seen]]
-        frames.append(Frame(time, delay, canvas.copy(), samples))
+        yield Frame(time, delay, canvas.copy(), samples)
         time += delay
         if disposal == 2:
             area[...] = 0
         elif disposal == 3:
             canvas = before
         disposal, delay, clear = 0, 0, None
-    return frames
+
+
+def _palette(data: bytes, at: int, n: int) -> np.ndarray:
+    if at + 3 * n > len(data):
+        raise ValueError("the file ends early")
+    return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
 
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
@@ -243,35 +287,46 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount((seen[:, 0] >> 6 << 4) | (seen[:, 1] >> 6 << 2) | (seen[:, 2] >> 6), minlength=BINS)
 
 
-def frames_of(media: DataFrame, column: str = "media", *keys: str) -> DataFrame:
+def frames_of(media: DataFrame, column: str = "media", *keys: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """A row for each frame of each GIF in `column`: keys, frame, start_ms, duration_ms, width, height, pixels (RGBA), histogram, broken.
 
-    A null or broken file gives one row with broken = its fault and null frame columns; none is
-    dropped. Frames of one file are made in one task, one batch of files at a time.
+    A null or broken file gives a row with broken = its fault and null frame columns, after the
+    frames before the fault; canvases and images over `most_pixels` are faults. None is dropped,
+    repeated rows each give theirs, an empty table gives none. One frame is held at a time.
     """
-    kept = media.select(*keys, column)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in media.select(*keys).schema) + ", " if keys else ""
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in (*keys, "frame", "start_ms", "duration_ms", "width", "height", "pixels", "histogram", "broken")}
-        held = [batch.column(k).to_pylist() for k in keys]
-        for i, data in enumerate(batch.column(column).to_pylist()):
-            try:
-                if data is None:
-                    raise ValueError("no file")
-                found = [(n, f.start_ms, f.duration_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), histogram(f.rgba).tolist(), None) for n, f in enumerate(decode_gif(data))]
-            except ValueError as e:
-                found = [(None,) * 7 + (str(e),)]
-            for row in found:
-                for k, v in zip(out, (*(h[i] for h in held), *row), strict=True):
-                    out[k].append(v)
-        return out
-
-    return map_rows(kept, fields + "frame int, start_ms long, duration_ms long, width int, height int, pixels binary, histogram array<long>, broken string", rows)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*keys).schema) + ", " if keys else ""
+    ddl = fields + "frame int, start_ms long, duration_ms long, width int, height int, pixels binary, histogram array<long>, broken string"
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def found(data: bytes | None) -> Iterator[tuple]:
+        try:
+            if data is None:
+                raise ValueError("no file")
+            for n, f in enumerate(each_frame(data, most_pixels)):
+                yield n, f.start_ms, f.duration_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), histogram(f.rgba).tolist(), None
+        except ValueError as e:
+            yield *((None,) * 7), str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                own = [row.column(j) for j in range(len(keys))]
+                for values in found(row.column(len(keys))[0].as_py()):
+                    made = [pa.array([v], f.type) for v, f in zip(values, list(schema)[len(keys) :], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, schema, strict=False)), *made], schema=schema)
+
+    return media.select(*keys, column).mapInArrow(run, ddl)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a GIF."""
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a GIF.
+
+    Null texts are empty, null ids and repeated rows stay, an empty table gives no rows.
+    """
 
     def rows(batch: pa.RecordBatch) -> dict:
         raw = [t.encode() for t in texts_of(batch.column("text"))]
@@ -290,11 +345,14 @@ def media_digests(media: DataFrame) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
         out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for data in batch.column("media").to_pylist():
-            frames = decode_gif(data)
-            payload = np.concatenate([f.samples for f in frames]).tobytes()
-            # The last frame may show less than the canvas; what it does not cover is left as it was.
-            counts = sum(histogram(f.rgba) for f in frames)
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, counts.tolist())))
+            digest, size, tail, counts = hashlib.sha256(), 0, b"", np.zeros(BINS, dtype=np.int64)
+            for f in each_frame(data):
+                part = f.samples.tobytes()
+                digest.update(part)
+                size, tail = size + len(part), part[-ROW:]
+                # The last frame may show less than the canvas; what it does not cover is left as it was.
+                counts += histogram(f.rgba)
+            values = (size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, counts.tolist())))
             for k, v in zip(out, values, strict=True):
                 out[k].append(v)
         return {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")} | out

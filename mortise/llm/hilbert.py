@@ -113,22 +113,34 @@ def shards(docs: DataFrame, count: int = 16, bits: int = BITS) -> DataFrame:
     cut between shards like any other run. Repeated rows each get a slot, an empty table gives none,
     other columns are not read. Two passes over the text column, one shuffle without texts.
     """
+    placed = _placed(docs.select(*_measures(docs)), count, bits)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def _measures(docs: DataFrame) -> list[Column]:
     text = F.col("text").cast("string")
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), "source", "lang")
+    return [F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.col("source"), F.col("lang")]
+
+
+def _placed(rows: DataFrame, count: int, bits: int) -> DataFrame:
+    """Rows of _measures() and further columns, with curve, shard and slot."""
     at = document_dimensions()
-    placed = hilbert_index(cells(kept, at, bits).drop("source", "lang"), list(at), "curve", bits)
+    placed = hilbert_index(cells(rows, at, bits).drop("source", "lang"), list(at), "curve", bits)
     mixed = placed.withColumn("_mix", F.xxhash64("doc_id"))
-    rows = ranked(mixed, ["curve", "_mix", "doc_id", "text_crc32", "size"], "_rank", "_total")
-    numbered = rows.withColumn("shard", F.floor(F.expr(f"_rank * {count} div _total")).cast("int"))
+    ordered = ranked(mixed, ["curve", "_mix", "doc_id", "text_crc32", "size"], "_rank", "_total")
+    numbered = ordered.withColumn("shard", F.floor(F.expr(f"_rank * {count} div _total")).cast("int"))
     # The first rank r of shard s is the least with r * count >= s * total.
     slot = F.col("_rank") - F.expr(f"(shard * _total + {count - 1}) div {count}")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return numbered.withColumn("slot", slot.cast("long"))
 
 
 def write_shards(docs: DataFrame, path: str, count: int = 16, bits: int = BITS) -> None:
-    """Writes docs as Parquet under path/shard=N, rows in curve order; doc_id must be unique."""
-    placed = shards(docs, count, bits).select("doc_id", "shard", "slot")
+    """Writes docs as Parquet under path/shard=N (_shard=N if docs has a column shard), rows in curve order.
+
+    Every row is written once, with all its columns; null and repeated doc_ids are like any other.
+    Whole rows travel along the curve, so nothing is joined back.
+    """
+    placed = _placed(docs.select(*_measures(docs), F.struct(*docs.columns).alias("_row")), count, bits)
     shard, slot = with_key(docs, "shard"), with_key(docs, "_slot")
-    placed = placed.withColumnsRenamed({"shard": shard, "slot": slot})
-    joined = docs.join(placed, "doc_id")
-    joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
+    out = placed.select("_row.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
