@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mortise.operators.loops import MOST_ROUNDS, Truncated, grow, settled
+from mortise.operators.loops import grow, rounds, settled
 
 
-def labels(premises: DataFrame, just: DataFrame, defeated: DataFrame | None = None, most: int = MOST_ROUNDS) -> DataFrame:
+def labels(premises: DataFrame, just: DataFrame, defeated: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(sid, s) of all that is believed: the least fixpoint of max over supports of the weakest ground.
 
     A justification counts when all its antecedents are believed. Classes only rise, so a round that
@@ -21,7 +21,7 @@ def labels(premises: DataFrame, just: DataFrame, defeated: DataFrame | None = No
     base = settled(keep(premises.groupBy("sid").agg(F.max("s").alias("s"))))
     links = settled(just.select("jid", "conseq", "s", F.size("ante").alias("n"), F.explode_outer("ante").alias("a")))
     now = base
-    for _ in range(most):
+    for _ in rounds(most):
         strengths = now.select(F.col("sid").alias("a"), F.col("s").alias("g"))
         held = links.join(strengths, "a", "left").groupBy("jid", "conseq", "s", "n").agg(F.count("g").alias("c"), F.min("g").alias("g")).where("c = n")
         given = held.select(F.col("conseq").alias("sid"), F.least("s", "g").alias("s"))
@@ -29,7 +29,6 @@ def labels(premises: DataFrame, just: DataFrame, defeated: DataFrame | None = No
         if new.join(now, ["sid", "s"], "left_anti").isEmpty():
             return new
         now = new
-    raise Truncated(f"no fixpoint after {most} rounds")
 
 
 def clashes(facts: DataFrame, belief: DataFrame) -> DataFrame:
@@ -48,14 +47,14 @@ def decide(nogoods: DataFrame, belief: DataFrame) -> DataFrame:
     return tied.select("nid", verdict.alias("verdict"), F.when(F.col("n") == 1, F.col("sid")).alias("sid"))
 
 
-def resolve(premises: DataFrame, just: DataFrame, facts: DataFrame, more: DataFrame | None = None, most: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve(premises: DataFrame, just: DataFrame, facts: DataFrame, more: DataFrame | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(belief, defeated, open clashes): relabel until no clash has one weakest member.
 
     Clashes are opposite facts and, if given, further nogoods `more` (nid, sid).
     """
     spark = premises.sparkSession
     defeated = spark.createDataFrame([], premises.select("sid").schema)
-    for _ in range(most):
+    for _ in rounds(most):
         belief = labels(premises, just, defeated)
         pairs = clashes(facts, belief).select(F.concat_ws("|", "pos", "neg").alias("nid"), F.explode(F.array("pos", "neg")).alias("sid"))
         if more is not None:
@@ -67,16 +66,15 @@ def resolve(premises: DataFrame, just: DataFrame, facts: DataFrame, more: DataFr
         if fresh.isEmpty():
             return belief, defeated, verdicts.where("verdict <> 'defeat'").select("nid", "verdict")
         defeated = settled(defeated.union(fresh))
-    raise Truncated(f"no fixpoint after {most} rounds")
 
 
-def why(just: DataFrame, belief: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
-    """(jid, conseq, ante): the edges of all proofs of `roots` (sid) by believed antecedents, up to a depth."""
+def why(just: DataFrame, belief: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(jid, conseq, ante): the edges of all proofs of `roots` (sid) by believed antecedents, whole or down to `depth` steps."""
     held = belief.select(F.col("sid").alias("a"))
     links = just.select("jid", "conseq", "ante", F.size("ante").alias("n"), F.explode("ante").alias("a"))
     sound = settled(links.join(held, "a").groupBy("jid", "conseq", "n").agg(F.collect_set("a").alias("as")).where("size(as) = n").select("jid", "conseq", F.explode("as").alias("ante")))
     seed = sound.join(roots.select(F.col("sid").alias("conseq")), "conseq", "left_semi").select("jid", "conseq", "ante")
-    return grow(seed, lambda delta, _: sound.join(delta.select(F.col("ante").alias("conseq")).distinct(), "conseq", "left_semi").select("jid", "conseq", "ante"), depth)
+    return grow(seed, lambda delta, _: sound.join(delta.select(F.col("ante").alias("conseq")).distinct(), "conseq", "left_semi").select("jid", "conseq", "ante"), depth=None if depth is None else depth - 1)
 
 
 def why_not(asked: DataFrame, facts: DataFrame, belief: DataFrame, defeated: DataFrame, excepted: DataFrame, superseded: DataFrame) -> DataFrame:

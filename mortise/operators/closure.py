@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mortise.operators.loops import MOST_ROUNDS, Truncated, grow, settled
+from mortise.operators.loops import rounds, settled
 
 
-def transitive(edges: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
-    """(a, b) for every path of one edge or more; (a, a) only on a cycle."""
-    edges = settled(edges.select("a", "b").distinct())
-    return grow(edges, lambda delta, _: delta.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), most)
+def transitive(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b) for every path of one edge or more; (a, a) only on a cycle.
+
+    Each round joins the new paths with all that are known, on both sides, so lengths double and a
+    chain of n edges takes about log2(n) rounds.
+    """
+    known = delta = settled(edges.select("a", "b").distinct())
+    for _ in rounds(most):
+        if delta.isEmpty():
+            return known
+        ahead = delta.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        behind = known.join(delta.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+        delta = settled(ahead.union(behind).distinct().join(known, ["a", "b"], "left_anti"))
+        known = known.union(delta)
 
 
-def reflexive(edges: DataFrame, nodes: DataFrame | None = None, most: int = MOST_ROUNDS) -> DataFrame:
+def reflexive(edges: DataFrame, nodes: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(a, b): b is a or above it; nodes (a) adds nodes without an edge."""
     ends = edges.select("a").union(edges.select("b"))
     ends = ends.union(nodes.select("a")) if nodes is not None else ends
@@ -31,14 +41,14 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, preferred: DataFrame | None = None, most: int = MOST_ROUNDS) -> DataFrame:
+def components(edges: DataFrame, preferred: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(term, rep) of the equality classes of edges (a, b): the preferred name of a class (least of several), else its least term.
 
     Large-star and small-star rounds; hubs are aggregated before they are joined.
     """
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
-    for _ in range(most):
+    for _ in rounds(most):
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen[0] == 0 or seen == mark:
             break
@@ -48,8 +58,6 @@ def components(edges: DataFrame, preferred: DataFrame | None = None, most: int =
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         now = settled(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct())
-    else:
-        raise Truncated(f"no fixpoint after {most} rounds")
     classes = now.select(F.col("u").alias("term"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
     if preferred is None:
         return classes.withColumnRenamed("root", "rep")
@@ -63,19 +71,18 @@ def cycles(up: DataFrame) -> DataFrame:
     return up.join(back, ["a", "b"]).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("name"))
 
 
-def widest(edges: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+def widest(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(a, b, s): the strongest route between two nodes, a route being as strong as its weakest edge; edges (a, b, s)."""
-    edges = settled(edges.groupBy("a", "b").agg(F.max("s").alias("s")))
-    step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("s").alias("s2"))
-    best = delta = edges
-    for _ in range(most):
+    best = delta = settled(edges.groupBy("a", "b").agg(F.max("s").alias("s")))
+    for _ in rounds(most):
         if delta.isEmpty():
             return best
-        found = delta.join(step, "b").select("a", F.col("c").alias("b"), F.least("s", "s2").alias("s")).groupBy("a", "b").agg(F.max("s").alias("s"))
+        longer = best.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("s").alias("s2"))
+        found = delta.join(longer, "b").select("a", F.col("c").alias("b"), F.least("s", "s2").alias("s"))
+        found = found.union(best.join(delta.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("s").alias("s2")), "b").select("a", F.col("c").alias("b"), F.least("s", "s2").alias("s"))).groupBy("a", "b").agg(F.max("s").alias("s"))
         old = best.withColumnRenamed("s", "old")
         delta = settled(found.join(old, ["a", "b"], "left").where("old is null or s > old").select("a", "b", "s"))
         best = settled(best.union(delta).groupBy("a", "b").agg(F.max("s").alias("s")))
-    raise Truncated(f"no fixpoint after {most} rounds")
 
 
 def separated(declared: DataFrame, up: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:

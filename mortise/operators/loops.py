@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rounds after which a loop stops and says so.
-MOST_ROUNDS = 64
-
 
 class Truncated(RuntimeError):
-    """A loop reached its cap of rounds before a fixpoint."""
+    """A loop reached the rounds that its caller allowed before a fixpoint."""
+
+
+def rounds(most: int | None = None) -> Iterator[int]:
+    """0, 1, 2, ... without end, as closures over finite tables end by themselves; `most` rounds at most if it is given."""
+    for i in count():
+        if most is not None and i >= most:
+            raise Truncated(f"no fixpoint after {most} rounds")
+        yield i
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -34,18 +40,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most: int = MOST_ROUNDS) -> DataFrame:
+def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most: int | None = None, depth: int | None = None) -> DataFrame:
     """Least set that holds `seed` and is closed under step(delta, all): semi-naive rounds.
 
-    Each round anti-joins what is new against what is known, so cycles end; rows are a set.
+    Each round anti-joins what is new against what is known, so cycles end; rows are a set. `depth`
+    stops after so many steps with what is known by then; `most` raises instead.
     """
     known = delta = settled(seed.distinct())
     columns = seed.columns
-    for _ in range(most):
-        if delta.isEmpty():
+    for i in rounds(most):
+        if i == depth or delta.isEmpty():
             return known
         delta = settled(step(delta, known).select(*columns).distinct().join(known, columns, "left_anti"))
         known = known.union(delta)
-    if delta.isEmpty():
-        return known
-    raise Truncated(f"no fixpoint after {most} rounds")

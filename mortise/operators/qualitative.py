@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mortise.operators.loops import MOST_ROUNDS, Truncated, settled
+from mortise.operators.loops import rounds, settled
 
 #: The base relations of each calculus, in the order of their bits.
 ALLEN = ("before", "meets", "overlaps", "starts", "during", "finishes", "intervalEqual", "finishedBy", "contains", "startedBy", "overlappedBy", "metBy", "after")
@@ -180,26 +180,31 @@ def network(stated: DataFrame, of: Calculus) -> DataFrame:
     return both.groupBy("ctx", "a", "b").agg(F.bit_and("mask").alias("mask"))
 
 
-def path_consistent(stated: DataFrame, of: Calculus, most: int = MOST_ROUNDS) -> DataFrame:
+def path_consistent(stated: DataFrame, of: Calculus, most: int | None = None) -> DataFrame:
     """The network with every edge cut to what all two-step routes allow; a mask 0 makes its context inconsistent.
 
-    Each round joins the edge table to itself on the middle node and the composition table; an edge
-    between nodes of a context that nothing relates stays out (anything is possible).
+    Each round joins the edges that the last one changed to all edges on the middle node, on both
+    sides, and to the composition table; an edge between nodes of a context that nothing relates
+    stays out (anything is possible).
     """
     spark = stated.sparkSession
     table = F.broadcast(of.table(spark))
     bits = F.array(*(F.lit(1 << i) for i in range(len(of.names))))
-    now = settled(network(stated, of))
-    for _ in range(most):
-        split = now.withColumn("r", F.explode(F.filter(bits, lambda b: F.col("mask").bitwiseAND(b) != 0)))
-        one = split.select("ctx", "a", F.col("b").alias("j"), F.col("r").alias("r1"))
-        two = split.select("ctx", F.col("a").alias("j"), "b", F.col("r").alias("r2"))
-        routes = one.join(two, ["ctx", "j"]).where("a <> b").join(table, ["r1", "r2"]).groupBy("ctx", "a", "j", "b").agg(F.bit_or("mask").alias("mask"))
-        new = settled(now.union(routes.select("ctx", "a", "b", "mask")).groupBy("ctx", "a", "b").agg(F.bit_and("mask").alias("mask")).where(F.col("mask") != of.full))
-        if new.join(now, ["ctx", "a", "b", "mask"], "left_anti").isEmpty():
+    split = lambda df: df.withColumn("r", F.explode(F.filter(bits, lambda b: F.col("mask").bitwiseAND(b) != 0)))
+
+    def routes(first: DataFrame, second: DataFrame) -> DataFrame:
+        one = split(first).select("ctx", "a", F.col("b").alias("j"), F.col("r").alias("r1"))
+        two = split(second).select("ctx", F.col("a").alias("j"), "b", F.col("r").alias("r2"))
+        return one.join(two, ["ctx", "j"]).where("a <> b").join(table, ["r1", "r2"]).groupBy("ctx", "a", "j", "b").agg(F.bit_or("mask").alias("mask")).select("ctx", "a", "b", "mask")
+
+    now = changed = settled(network(stated, of))
+    for _ in rounds(most):
+        found = now.union(routes(changed, now)).union(routes(now, changed))
+        new = settled(found.groupBy("ctx", "a", "b").agg(F.bit_and("mask").alias("mask")).where(F.col("mask") != of.full))
+        changed = settled(new.join(now, ["ctx", "a", "b", "mask"], "left_anti"))
+        if changed.isEmpty():
             return new
         now = new
-    raise Truncated(f"no fixpoint after {most} rounds")
 
 
 def entailed(tight: DataFrame, of: Calculus, *names: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mortise.functions.scalar import evaluate
-from mortise.plans.lang import AGGREGATES, COMPARE, SPECIAL, Rule, is_var, variables
+from mortise.plans.lang import AGGREGATES, COMPARE, SPECIAL, Rule, is_var, plain, predicates, variables
 
 Facts = Mapping[str, DataFrame]
 
@@ -61,7 +61,9 @@ def _aggregate(rows: DataFrame, lit: tuple, facts: Facts, rep: DataFrame | None)
     """A reduction over the distinct values of a body, grouped by the variables bound outside it.
 
     Counts and sums of nothing are 0, other reductions of nothing give no row. Values are counted by
-    their equality representative. Sums run over sorted values, so no plan changes their digits.
+    their equality representative. Sums are partial sums before the shuffle, so a group of any size
+    is never held whole; sums of whole numbers are exact, the last digits of other doubles may
+    follow the order of addition.
     """
     kind, result, value, body = lit
     inner = conjunction(facts, body, rep)
@@ -70,8 +72,8 @@ def _aggregate(rows: DataFrame, lit: tuple, facts: Facts, rep: DataFrame | None)
     if rep is not None and dict(inner.dtypes)[v] == "string":
         inner = inner.join(rep.select(F.col("term").alias(v), "rep"), v, "left").withColumn(v, F.coalesce("rep", v)).drop("rep")
     distinct = inner.select(*bound, v).distinct()
-    ordered = F.sort_array(F.collect_list(v))
-    total = F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    whole = dict(inner.dtypes)[v] in ("int", "bigint", "smallint", "tinyint")
+    total = (F.sum(F.col(v).cast("decimal(38,0)")) if whole else F.sum(F.col(v).try_cast("double"))).cast("double")
     made = {"agg/count": F.count(v), "agg/sum": total, "agg/min": F.min(v), "agg/max": F.max(v), "agg/avg": total / F.count(v)}[kind]
     grouped = distinct.groupBy(*bound).agg(made.alias("_agg"))
     keep = kind in ("agg/count", "agg/sum")
@@ -120,21 +122,76 @@ def _ready(lit: tuple, bound: set[str]) -> bool:
     return set(variables(lit[1:])) <= bound
 
 
-def conjunction(facts: Facts, body: tuple | list, rep: DataFrame | None = None) -> DataFrame:
+def _nothing(facts: Facts, lit: tuple) -> DataFrame:
+    """No bindings of a literal whose predicate has no facts."""
+    spark = next(iter(facts.values())).sparkSession
+    return spark.range(0).select(*(F.lit(None).cast("string").alias(column(v)) for v in dict.fromkeys(variables(lit[1:]))) or [F.lit(True).alias("v_")])
+
+
+def statistics(facts: Facts, body: tuple | list) -> dict[str, tuple[int, list[int]]]:
+    """predicate -> (rows, approximate number of values of each argument), one aggregation a predicate of the body."""
+    out = {}
+    for p in dict.fromkeys(p for p, _ in predicates(plain(list(body))) if p in facts):
+        names = [c for c in facts[p].columns if c.startswith("a") and c[1:].isdigit()]
+        got = facts[p].agg(F.count("*"), *(F.approx_count_distinct(c) for c in names)).first()
+        out[p] = (got[0], list(got[1:]))
+    return out
+
+
+def estimated(lit: tuple, stats: dict[str, tuple[int, list[int]]], bound: set[str]) -> float:
+    """Rows that a literal is expected to give for one binding of the variables in `bound`."""
+    n, values = stats.get(lit[0], (0, []))
+    seen: set[str] = set()
+    out = float(n)
+    for x, k in zip(lit[1:], values, strict=False):
+        if not is_var(x) or x in bound or x in seen:
+            out /= max(1, k)
+        seen |= {x} if is_var(x) else set()
+    return out
+
+
+def planned(body: tuple | list, stats: dict[str, tuple[int, list[int]]]) -> list[tuple[tuple, float]]:
+    """(literal, expected rows so far) of the positive literals in the order in which they are to be joined.
+
+    Greedy: of the literals that share a variable with what is bound (or of all where none does),
+    the one that gives the fewest rows.
+    """
+    waiting, bound, rows, out = [x for x in plain(list(body)) if x[0] not in SPECIAL], set(), 1.0, []
+    while waiting:
+        near = [x for x in waiting if set(variables(x[1:])) & bound] or waiting
+        lit = min(near, key=lambda x: estimated(x, stats, bound))
+        rows *= estimated(lit, stats, bound)
+        waiting.remove(lit)
+        bound |= set(variables(lit[1:]))
+        out.append((lit, rows))
+    return out
+
+
+def query_plan(facts: Facts, body: tuple | list) -> DataFrame:
+    """(step, literal, rows): the planned join order of a goal and the rows that are expected after each step."""
+    stats = statistics(facts, body)
+    rows = [(i, " ".join(map(str, lit)), est) for i, (lit, est) in enumerate(planned(body, stats))]
+    return next(iter(facts.values())).sparkSession.createDataFrame(rows, "step int, literal string, rows double")
+
+
+def conjunction(facts: Facts, body: tuple | list, rep: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
     """Distinct bindings of a conjunction as columns v_<name>.
 
     Positive literals join on shared variables, connected ones first, so a product only comes
-    where the goal has disconnected blocks. Comparisons, evaluations and closed literals follow as
-    soon as their inputs are bound; aggregates and unknown come after all positive literals.
+    where the goal has disconnected blocks; with `stats` in their planned order. Comparisons,
+    evaluations and closed literals follow as soon as their inputs are bound; aggregates and unknown
+    come after all positive literals. A predicate without facts has none: the goal has no answer,
+    and what is `unknown` of it holds.
     """
+    body = plain(list(body))
     waiting, late = [x for x in body if x[0] not in SPECIAL], [x for x in body if x[0] in SPECIAL]
+    if stats is not None:
+        waiting = [x for x, _ in planned(waiting, stats)]
     rows, bound = None, set()
     while waiting:
         lit = next((x for x in waiting if rows is not None and set(variables(x[1:])) & bound), waiting[0])
         waiting.remove(lit)
-        if lit[0] not in facts:
-            raise ValueError(f"no table for {lit[0]}")
-        found = match(facts[lit[0]], lit[1:])
+        found = match(facts[lit[0]], lit[1:]) if lit[0] in facts else _nothing(facts, lit)
         if rows is None:
             rows = found
         else:
@@ -144,9 +201,9 @@ def conjunction(facts: Facts, body: tuple | list, rep: DataFrame | None = None)
         for x in [x for x in late if x[0] in (*COMPARE, "different", "evaluate") and _ready(x, bound)]:
             rows, late = _apply(rows, x, facts, rep), [y for y in late if y is not x]
             bound |= set(variables(x[1])) if x[0] == "evaluate" else set()
-    if rows is None and late and late[0][0] in AGGREGATES:
-        inner = conjunction(facts, late[0][3], rep)
-        rows = inner.sparkSession.range(1).select(F.lit(True).alias("v_"))
+    if rows is None:
+        # Only special literals: they start from one row without bindings.
+        rows = next(iter(facts.values())).sparkSession.range(1).select(F.lit(True).alias("v_"))
     while late:
         lit = next((x for x in late if _ready(x, bound)), None)
         if lit is None:
@@ -164,6 +221,28 @@ def answer(facts: Facts, goal: tuple | list, names: list[str] | None = None, rep
     return rows.select(*(F.col(f"v_{n}").alias(n) for n in names)).distinct()
 
 
+def subsumed(facts: Facts, below: DataFrame | list[tuple[str, str]]) -> dict[str, DataFrame]:
+    """Facts in which a predicate also has the facts of those below it: below (special, general), closed here.
+
+    Predicate declarations are vocabulary, not data: they are read to the driver.
+    """
+    pairs = {(str(a), str(b)) for a, b in (below if isinstance(below, list) else below.collect())}
+    while more := {(a, d) for a, b in pairs for c, d in pairs if b == c} - pairs:
+        pairs |= more
+    out = dict(facts)
+    for general in {b for _, b in pairs}:
+        parts = [facts[p] for p in sorted({general, *(a for a, b in pairs if b == general)}) if p in facts]
+        widths = {len(df.columns) for df in parts}
+        if len(widths) > 1:
+            raise ValueError(f"predicates below {general} have different numbers of arguments")
+        if parts:
+            merged = parts[0]
+            for df in parts[1:]:
+                merged = merged.unionByName(df)
+            out[general] = merged.distinct()
+    return out
+
+
 def conclusions(rule: Rule, facts: Facts, rep: DataFrame | None = None) -> DataFrame:
     """What a rule concludes, as (a1, a2, ...) rows: its body, without bindings for which an exception holds."""
     rows = conjunction(facts, list(rule.body), rep)

@@ -4,6 +4,7 @@ A literal is a tuple (predicate, argument, ...); strings that start with "?" are
 literals: ("unknown", [literals]), ("thereExists", [variables], [literals]), ("lessThan", a, b, ...),
 ("greaterThan", ...), ("different", a, b), ("evaluate", "?r", expression), and
 ("agg/count" | "agg/sum" | "agg/min" | "agg/max" | "agg/avg", "?n", "?v", [literals]).
+("not", literal) is a negative fact, which has the table "not predicate"; it is no absence.
 """
 
 from __future__ import annotations
@@ -29,6 +30,16 @@ def variables(x: object) -> list[str]:
     return []
 
 
+def plain(x: object) -> object:
+    """Literals and literal lists with ("not", (p, ...)) as ("not p", ...); two negations cancel."""
+    if isinstance(x, tuple) and x and x[0] == "not" and len(x) == 2 and isinstance(x[1], tuple):
+        inner = plain(x[1])
+        return (inner[0][4:], *inner[1:]) if inner[0].startswith("not ") else (f"not {inner[0]}", *inner[1:])
+    if isinstance(x, tuple | list):
+        return type(x)(map(plain, x))
+    return x
+
+
 def predicates(body: Iterable[tuple], closed: bool = False) -> Iterator[tuple[str, bool]]:
     """(predicate, whether it is read as a whole: under unknown or an aggregate) of a body."""
     for lit in body:
@@ -52,7 +63,14 @@ class Rule:
     name: str = ""
     exceptions: tuple = field(default=())
 
+    #: forward rules are closed over, backward ones only expand goals, both do either, inert ones neither.
+    direction: str = "both"
+
     def __post_init__(self):
+        for name in ("head", "body", "exceptions"):
+            object.__setattr__(self, name, plain(getattr(self, name)))
+        if self.direction not in ("forward", "backward", "both", "inert"):
+            raise ValueError(f"{self.direction} is no direction")
         bound = set()
         for lit in self.body:
             if lit[0] not in SPECIAL:
@@ -73,6 +91,43 @@ def split_heads(heads: Iterable[tuple], body: tuple, **more) -> list[Rule]:
     return [Rule(h, body, **more) for h in heads]
 
 
+def canonical(literals: Iterable[tuple], symmetric: Iterable[str] = ()) -> tuple:
+    """One form for all spellings of a conjunction: equal up to variable names and order give equal results.
+
+    Arguments of symmetric predicates are sorted, greaterThan becomes lessThan, literals are sorted
+    by their text without variable names, repeated ones are one, and variables are numbered in the
+    order in which they then stand. Literals that look alike but for their variables keep the order
+    that gives the least numbering among the first sorted one.
+    """
+    symmetric = set(symmetric)
+
+    def turned(lit: tuple) -> tuple:
+        if lit[0] == "greaterThan":
+            return ("lessThan", *reversed(lit[1:]))
+        if lit[0] in symmetric or lit[0] == "different":
+            return (lit[0], *sorted(lit[1:], key=lambda x: (is_var(x), str(x))))
+        return lit
+
+    def blank(x: object) -> str:
+        return "?" if is_var(x) else f"({' '.join(map(blank, x))})" if isinstance(x, tuple | list) else f"{type(x).__name__} {x}"
+
+    def named(x: object, names: dict) -> object:
+        if is_var(x):
+            return names.setdefault(x, f"?{len(names)}")
+        return tuple(named(y, names) for y in x) if isinstance(x, tuple | list) else x
+
+    literals = sorted({turned(plain(x)) for x in literals}, key=lambda x: (blank(x), str(x)))
+    names: dict = {}
+    out = []
+    while literals:
+        # Of those with the least text, the one whose variables are numbered already goes first.
+        least = blank(literals[0])
+        lit = min((x for x in literals if blank(x) == least), key=lambda x: tuple(names.get(v, "~") for v in variables(x)))
+        literals.remove(lit)
+        out.append(named(lit, names))
+    return tuple(dict.fromkeys(out))
+
+
 def strata(rules: Iterable[Rule]) -> list[list[Rule]]:
     """Rules in groups to be closed one after another; a cycle through unknown, an aggregate or an exception raises."""
     rules = list(rules)

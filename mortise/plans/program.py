@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mortise.operators.loops import MOST_ROUNDS, Truncated, settled
-from mortise.plans.compile import Facts, conclusions, conjunction, _value
-from mortise.plans.lang import SPECIAL, Rule, strata
+from mortise.operators.context import placement
+from mortise.operators.loops import rounds, settled
+from mortise.plans.compile import Facts, _value, column, conclusions, conjunction
+from mortise.plans.lang import SPECIAL, Rule, is_var, plain, predicates, strata
 
 DELTA = "*"
+Conclude = Callable[[Rule, Facts, DataFrame | None], DataFrame]
 
 
 def _swapped(rule: Rule, at: int) -> Rule:
@@ -20,15 +24,38 @@ def _swapped(rule: Rule, at: int) -> Rule:
     return Rule(rule.head, body, rule.default, rule.name, rule.exceptions)
 
 
-def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, most: int = MOST_ROUNDS) -> dict[str, DataFrame]:
+def _functor(rule: Rule) -> str:
+    """What a rule concludes about; a head ("ist", context, literal) is placed in that context."""
+    return plain(rule.head[2])[0] if rule.head[0] == "ist" else rule.head[0]
+
+
+def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, most: int | None = None, conclude: Conclude = conclusions) -> dict[str, DataFrame]:
     """All facts with what the rules conclude, as predicate -> (a1, a2, ...).
 
-    In a stratum a rule runs in full once, then once a round for each literal whose predicate grew,
-    over that growth only; what is known is anti-joined, so cycles end. No new row ends the loop.
+    Strata without a cycle are plain plans, written only where several rules read them. In a cyclic
+    stratum a rule runs in full once, then once a round for each literal whose predicate grew, over
+    that growth only; what is known is anti-joined, so cycles end. No new row ends the loop. A rule
+    over a predicate without facts is idle. Rules that make new numbers may never end: `most` bounds
+    their rounds and raises. Backward and inert rules don't take part.
     """
     known = dict(facts)
+    rules = [r for r in rules if r.direction in ("forward", "both")]
+    readers = Counter(p for r in rules for p, _ in predicates(r.body))
     for group in strata(rules):
-        heads = {r.head[0] for r in group}
+        heads = {_functor(r) for r in group}
+        # Inside a stratum, what no rule of it is read by comes first, as plain plans.
+        waiting = list(group)
+        while ready := [r for r in waiting if not {p for p, _ in predicates(r.body)} & {_functor(x) for x in waiting}]:
+            waiting = [r for r in waiting if not any(r is x for x in ready)]
+            for p in dict.fromkeys(map(_functor, ready)):
+                parts = [conclude(r, known, rep) for r in ready if _functor(r) == p]
+                new = known[p] if p in known else parts.pop(0)
+                for x in parts:
+                    new = new.unionByName(x)
+                new = new.distinct()
+                known[p] = settled(new) if readers[p] > 1 else new
+        if not waiting:
+            continue
         delta: dict[str, DataFrame] = {}
 
         def absorb(found: dict[str, list[DataFrame]]) -> None:
@@ -45,39 +72,60 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
                     delta[p] = new
                 known[p] = known[p].unionByName(new) if p in known else new
 
-        start = [r for r in group if all(x[0] in known for x in r.body if x[0] not in SPECIAL)]
-        if not start:
-            raise ValueError(f"no rule can start for {', '.join(sorted(heads))}")
         found: dict[str, list[DataFrame]] = {}
-        for r in start:
-            found.setdefault(r.head[0], []).append(conclusions(r, known, rep))
+        for r in waiting:
+            found.setdefault(_functor(r), []).append(conclude(r, known, rep))
         absorb(found)
-        ran = set(map(id, start))
-        able = lambda r: all(x[0] in known for x in r.body if x[0] not in SPECIAL)
-        for _ in range(most):
-            if not delta and not any(id(r) not in ran and able(r) for r in group):
-                break
+        for _ in rounds(most):
             seen = known | {p + DELTA: d for p, d in delta.items()}
             found = {}
-            for r in group:
-                if id(r) not in ran:
-                    if able(r):
-                        ran.add(id(r))
-                        found.setdefault(r.head[0], []).append(conclusions(r, known, rep))
-                    continue
+            for r in waiting:
                 for i, lit in enumerate(r.body):
                     if lit[0] in delta and lit[0] in heads:
-                        found.setdefault(r.head[0], []).append(conclusions(_swapped(r, i), seen, rep))
+                        found.setdefault(_functor(r), []).append(conclude(_swapped(r, i), seen, rep))
             if not found:
                 break
             absorb(found)
-        else:
-            raise Truncated(f"no fixpoint after {most} rounds")
-        if missing := heads - set(known):
-            raise ValueError(f"no rule can start for {', '.join(sorted(missing))}")
     return known
 
 
+def placed(up: DataFrame) -> Conclude:
+    """How rules conclude in contexts: facts are (context, arguments ...), up (a, b) says a sees b, reflexive.
+
+    A firing's conclusion is put into the most general contexts that see all its grounds; grounds
+    that no context sees together conclude nothing. A head ("ist", context, literal) goes to that
+    context. Literals under unknown and aggregates read the facts of all contexts; their first
+    argument is the context there.
+    """
+
+    def conclude(rule: Rule, facts: Facts, rep: DataFrame | None = None) -> DataFrame:
+        grounds, body = [], []
+        for lit in rule.body:
+            if lit[0] in SPECIAL:
+                body.append(lit)
+            else:
+                grounds.append(f"?ctx{len(grounds)}_")
+                body.append((lit[0], grounds[-1], *lit[1:]))
+        rows = conjunction(facts, body, rep)
+        for e in rule.exceptions:
+            rows = rows.join(conjunction(facts, list(e), rep), [column(v) for v in dict.fromkeys(v for x in e for v in _vars(x)) if column(v) in rows.columns], "left_anti")
+        directed = rule.head[0] == "ist"
+        head = plain(rule.head[2]) if directed else rule.head
+        values = [_value(x).alias(f"a{i}") for i, x in enumerate(head[1:], 2)]
+        if directed:
+            return rows.select(_value(rule.head[1]).alias("a1"), *values).distinct()
+        fired = rows.select(F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("firing"), F.array(*(F.col(column(c)) for c in grounds)).alias("ctxs"), *values)
+        places = placement(fired.select("firing", F.explode("ctxs").alias("ctx")), up)
+        return fired.join(places, "firing").select(F.col("ctx").alias("a1"), *(f"a{i}" for i in range(2, len(head) + 1))).distinct()
+
+    return conclude
+
+
+def forward_in(facts: Facts, rules: Iterable[Rule], up: DataFrame, most: int | None = None) -> dict[str, DataFrame]:
+    """forward() over facts (context, arguments ...) with visibility and placement by `up`."""
+    return forward(facts, rules, None, most, placed(settled(up)))
+
+
 def sid(predicate: str, args: list) -> F.Column:
     """The content key of a fact: SHA-256 of its text."""
     return F.sha2(F.concat_ws(" ", F.lit(predicate), *(x.cast("string") for x in args)), 256)
@@ -92,34 +140,50 @@ def firings(rule: Rule, facts: Facts, rep: DataFrame | None = None) -> DataFrame
     return made.select(F.sha2(F.concat_ws("|", F.lit(name), "conseq", F.concat_ws(",", "ante")), 256).alias("jid"), F.lit(name).alias("rule"), "conseq", "ante", F.lit(1 if rule.default else 2).alias("s")).distinct()
 
 
-def unfold(goal: tuple, rules: Iterable[Rule], depth: int) -> list[list[tuple]]:
-    """The conjunctions that a goal literal stands for when rules are expanded up to `depth` times: the goal itself first."""
-    rules, out, front, fresh = list(rules), [[goal]], [[goal]], 0
-    for _ in range(depth):
-        nxt = []
-        for body in front:
-            for i, lit in enumerate(body):
-                for r in rules:
-                    if r.head[0] != lit[0] or len(r.head) != len(lit):
-                        continue
-                    fresh += 1
-                    named = {v: f"{v}_{fresh}" for x in (r.head, *r.body) for v in _vars(x)}
-                    back = {}
-                    for h, a in zip(r.head[1:], lit[1:], strict=True):
-                        if isinstance(h, str) and h.startswith("?"):
-                            if named[h] in back and back[named[h]] != a:
-                                back = None
-                                break
-                            back[named[h]] = a
-                        elif h != a and not (isinstance(a, str) and a.startswith("?")):
-                            back = None
-                            break
-                    if back is None:
-                        continue
-                    nxt.append([*body[:i], *(_renamed(_renamed(x, named), back) for x in r.body), *body[i + 1 :]])
-        out += nxt
-        front = nxt
-    return out
+def unfold(goal: tuple | list, rules: Iterable[Rule], depth: int, stored: Iterable[str] | None = None) -> list[list[tuple]]:
+    """The conjunctions that a goal (a literal or several) stands for when each literal is expanded by rules up to `depth` deep.
+
+    The goal itself comes first. A goal variable that meets a constant or another variable in a
+    head is bound by an `evaluate`; exceptions become `unknown`. With `stored`, the predicates that
+    have facts, conjunctions that read others are left out, as they have no answers.
+    """
+    rules = [r for r in rules if r.direction in ("backward", "both")]
+    stored = None if stored is None else set(stored)
+    fresh = [0]
+
+    def bodies(lit: tuple, left: int) -> list[list[tuple]]:
+        if lit[0] in SPECIAL:
+            return [[lit]]
+        out = [[lit]] if stored is None or lit[0] in stored else []
+        for r in rules if left else ():
+            if r.head[0] != lit[0] or len(r.head) != len(lit):
+                continue
+            fresh[0] += 1
+            named = {v: f"{v}_{fresh[0]}" for x in (r.head, *r.body, *r.exceptions) for v in _vars(x)}
+            by, ties = {}, []
+            for h, a in zip(r.head[1:], lit[1:], strict=True):
+                h = named.get(h, h) if is_var(h) else h
+                if is_var(h) and h not in by:
+                    by[h] = a
+                    continue
+                h = by.get(h, h)
+                if h == a:
+                    continue
+                if is_var(a):
+                    ties.append(("evaluate", a, h))
+                elif is_var(h):
+                    ties.append(("evaluate", h, a))
+                else:
+                    break
+            else:
+                put = lambda x: _renamed(_renamed(x, named), by)  # noqa: E731, B023
+                parts = [bodies(put(x), left - 1) for x in r.body]
+                more = [*ties, *(("unknown", [put(x) for x in e]) for e in r.exceptions)]
+                out += [[*(x for p in chosen for x in p), *more] for chosen in product(*parts)]
+        return out
+
+    literals = [goal] if isinstance(goal, tuple) and isinstance(goal[0], str) else list(goal)
+    return [[x for p in chosen for x in p] for chosen in product(*(bodies(x, depth) for x in plain(literals)))]
 
 
 def _vars(x: object) -> list[str]:

@@ -6,9 +6,12 @@ import json
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mortise.operators.loops import settled
+
 VERSION = 1
 #: Kind -> reader of foreign data: (spark, path) -> {predicate: table}.
 READERS: dict[str, Callable[[SparkSession, str], dict[str, DataFrame]]] = {}
@@ -36,10 +39,11 @@ def fork(base: DataFrame, tombs: DataFrame, added: DataFrame, key: str = "sid")
 
 
 def parse(text: str) -> list:
-    """Nested lists of symbols, numbers and strings of an s-expression text; ; starts a comment."""
-    tokens = re.findall(r'"(?:\\.|[^"\\])*"|[()]|[^\s()]+', re.sub(r";[^\n]*", "", text))
+    """Nested lists of symbols, numbers and strings of an s-expression text; ; starts a comment, but not inside a string."""
     stack: list[list] = [[]]
-    for t in tokens:
+    for t in re.findall(r'"(?:\\.|[^"\\])*"|;[^\n]*|[()]|[^\s()";]+|.', text):
+        if t.isspace() or t.startswith(";"):
+            continue
         if t == "(":
             stack.append([])
         elif t == ")":
@@ -48,6 +52,8 @@ def parse(text: str) -> list:
             done = stack.pop()
             stack[-1].append(done)
         elif t.startswith('"'):
+            if len(t) < 2 or not t.endswith('"'):
+                raise ValueError("a string has no end")
             stack[-1].append(json.loads(t))
         else:
             stack[-1].append(int(t) if re.fullmatch(r"[+-]?\d+", t) else float(t) if re.fullmatch(r"[+-]?\d*\.\d+(?:[eE][+-]?\d+)?", t) else t)
@@ -56,15 +62,55 @@ def parse(text: str) -> list:
     return stack[0]
 
 
-def read_facts(spark: SparkSession, path: str, context: str) -> dict[str, DataFrame]:
-    """Ground facts of a text file, one (predicate argument ...) a line, as predicate -> (ctx, a1, a2, ...) of strings.
+def text_of(term: object) -> str:
+    """A parsed term as text again; nested terms keep their brackets."""
+    return f"({' '.join(map(text_of, term))})" if isinstance(term, list) else str(term)
+
+
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """(predicate, args array<string>, reason) for every sentence of fact text files: (predicate argument ...), over lines at will.
+
+    A negative fact (not (p ...)) has the predicate "not p"; nested arguments are their text. What is
+    no ground fact comes with the reason why it is refused and its text as only argument; a file
+    with unbalanced brackets is one such row. Files are parsed where they are read, one at a time.
+    """
+
+    @F.arrow_udf("array<struct<predicate:string,args:array<string>,reason:string>>")
+    def sentences(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("predicate", pa.string()), ("args", pa.list_(pa.string())), ("reason", pa.string())]))
+
+        def one(x: object) -> dict:
+            said, negative = x, False
+            while isinstance(said, list) and len(said) == 2 and said[0] == "not" and isinstance(said[1], list):
+                said, negative = said[1], not negative
+            shown = text_of(x)
+            if not isinstance(said, list) or not said or not isinstance(said[0], str):
+                return {"predicate": None, "args": [shown], "reason": "no sentence"}
+            if re.search(r"(^|[\s(])\?", shown):
+                return {"predicate": None, "args": [shown], "reason": "not ground"}
+            return {"predicate": f"not {said[0]}" if negative else said[0], "args": [text_of(a) for a in said[1:]], "reason": None}
+
+        def whole(text: str | None) -> list:
+            try:
+                return [one(x) for x in parse(text or "")]
+            except ValueError as e:
+                return [{"predicate": None, "args": [text], "reason": str(e)}]
+
+        return pa.array([whole(t) for t in texts.to_pylist()], kind)
+
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.explode(sentences("value")).alias("s")).select("s.*")
+
+
+def read_facts(spark: SparkSession, path: str, context: str) -> dict[tuple[str, int], DataFrame]:
+    """(predicate, number of arguments) -> (ctx, a1, a2, ...) of strings, for the facts of read_sentences().
 
-    Lines are parsed where they are read; order doesn't matter and repeated facts count once.
+    A predicate with several numbers of arguments has a table for each; repeated facts count once
+    and order doesn't matter. What read_sentences() refuses is only there, with its reason.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", ";.*", "")).alias("v")).where("v <> ''")
-    flat = lines.where(r"v rlike '^\\([^()]+\\)$'").select(F.split(F.regexp_replace("v", r"^\(|\)$", ""), r"\s+").alias("w"))
-    shapes = flat.select(F.element_at("w", 1).alias("p"), (F.size("w") - 1).alias("n")).distinct().collect()
-    return {r.p: flat.where((F.element_at("w", 1) == r.p) & (F.size("w") == r.n + 1)).select(F.lit(context).alias("ctx"), *(F.element_at("w", i + 2).alias(f"a{i + 1}") for i in range(r.n))).distinct() for r in shapes}
+    facts = settled(read_sentences(spark, path).where("reason is null").distinct())
+    shapes = facts.select("predicate", F.size("args").alias("n")).distinct().collect()
+    return {(r.predicate, r.n): facts.where((F.col("predicate") == r.predicate) & (F.size("args") == r.n)).select(F.lit(context).alias("ctx"), *(F.element_at("args", i).alias(f"a{i}") for i in range(1, r.n + 1))) for r in sorted(shapes)}
 
 
 def generated(spark: SparkSession, types: int, facts: int, seed: int = 0) -> dict[str, DataFrame]:

@@ -160,9 +160,13 @@ def test_dump_round_trip_and_text(spark, tmp_path):
     kb = KB(spark).tell("e", [(1, 2), (2, 3)])
     kb.export(str(tmp_path / "kb"))
     assert rows(KB.load(spark, str(tmp_path / "kb")).facts["e"].toPandas()) == rows(kb.facts["e"].toPandas())
-    (tmp_path / "f.txt").write_text("; a comment\n(parentOf Tom Ann)\n(parentOf Ann Bob) ; more\n(dog Rex)\n(parentOf Tom Ann)\n")
+    (tmp_path / "f.txt").write_text("; a comment\n(parentOf Tom Ann)\n(parentOf Ann Bob) ; more\n(dog Rex)\n(parentOf Tom Ann)\n(parentOf Sue) (not (dog Tom))\n(owns Tom\n  (sonOf Ann))\n(says Tom \"a;b (c\")\n(likes ?x Tom)")
+    (tmp_path / "g.txt").write_text("(broken")
+    read = store.read_sentences(spark, [str(tmp_path / "f.txt"), str(tmp_path / "g.txt")])
+    assert {tuple(x) for x in read.where("reason is not null").select("reason").collect()} == {("not ground",), ("a bracket is missing",)}
     facts = store.read_facts(spark, str(tmp_path / "f.txt"), "CxTest")
-    assert {tuple(x) for x in facts["parentOf"].collect()} == {("CxTest", "Tom", "Ann"), ("CxTest", "Ann", "Bob")} and facts["dog"].count() == 1
+    assert {tuple(x) for x in facts["parentOf", 2].collect()} == {("CxTest", "Tom", "Ann"), ("CxTest", "Ann", "Bob")} and facts["dog", 1].count() == 1
+    assert {k: [tuple(x)[1:] for x in facts[k].collect()] for k in facts if k[0] in ("owns", "says", "not dog") or k[1] == 1 and k[0] == "parentOf"} == {("owns", 2): [("Tom", "(sonOf Ann)")], ("says", 2): [("Tom", "a;b (c")], ("not dog", 1): [("Tom",)], ("parentOf", 1): [("Sue",)]}
     assert store.parse('(a (b 1) "c d") ; x') == [["a", ["b", 1], "c d"]]
     assert store.generated(spark, 5, 10)["genl"].count() == 4
 
