@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,11 @@ MOST_PIXELS = 1 << 24
 BINS = 64
 
 
-def _unpack(bits: np.ndarray, starts: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
-    """Codes of the given widths at the given bit positions (least bit first); bits past the end are 0."""
-    most = int(np.max(widths)) if not isinstance(widths, int) else widths
-    out = np.zeros(len(starts), dtype=np.int64)
-    for i in range(most):
-        at = starts + i
-        out += np.where((i < widths) & (at < len(bits)), bits[np.minimum(at, len(bits) - 1)], 0).astype(np.int64) << i
-    return out
+def _unpack(data: np.ndarray, starts: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
+    """Codes of up to 12 bits of the given widths at the given bit positions (least bit first); data ends in two spare bytes."""
+    at = starts >> 3
+    window = data[at] | data[at + 1].astype(np.int64) << 8 | data[at + 2].astype(np.int64) << 16
+    return window >> (starts & 7) & ((1 << widths) - 1)
 
 
 def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
@@ -65,6 +63,14 @@ def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
+def _places(clear: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths and bit positions of the codes after a clear, as long as no other comes."""
+    entries = clear + 2 + np.maximum(np.arange(most) - 1, 0)
+    widths = np.minimum(np.floor(np.log2(entries)).astype(np.int64) + 1, MOST_BITS)
+    return widths, np.cumsum(widths) - widths
+
+
 def lzw_decode(data: bytes, least_bits: int, size: int) -> np.ndarray:
     """`size` samples of a GIF code stream (least_bits: its minimum code size).
 
@@ -72,13 +78,16 @@ def lzw_decode(data: bytes, least_bits: int, size: int) -> np.ndarray:
     bulk: stretches with clears so near that the width never grows at once, others clear by clear.
     """
     clear, width = 1 << least_bits, least_bits + 1
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little")
+    raw, end = np.frombuffer(data + b"\0\0", dtype=np.uint8), 8 * len(data)
     # Entries are made from the second code on; when they fill a width, the next code is wider.
     short = (1 << width) - (clear + 2)
     out, at, made = [], 0, 0
-    while at + width <= len(bits) and made < size:
-        whole = (len(bits) - at) // width
-        codes = bits[at : at + whole * width].reshape(whole, width) @ (1 << np.arange(width))
+    while at + width <= end and made < size:
+        whole = (end - at) // width
+        # Only where a clear comes before the width grows is the rest cut at one width.
+        codes = _unpack(raw, at + width * np.arange(min(whole, short + 1)), width)
+        if whole > len(codes) and ((codes == clear) | (codes == clear + 1)).any():
+            codes = _unpack(raw, at + width * np.arange(whole), width)
         marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
         gaps = np.diff(np.concatenate([[-1], marks])) - 1
         ok = len(gaps) if (gaps <= short).all() else int(np.argmin(gaps <= short))
@@ -101,14 +110,16 @@ def lzw_decode(data: bytes, least_bits: int, size: int) -> np.ndarray:
                 break
             continue
         # A stretch in which the width grows.
-        most = min((len(bits) - at) // width + 1, size - made + 2)
-        entries = clear + 2 + np.maximum(np.arange(most) - 1, 0)
-        widths = np.minimum(np.floor(np.log2(entries)).astype(np.int64) + 1, MOST_BITS)
-        starts = at + np.concatenate([[0], np.cumsum(widths)[:-1]])
-        keep = starts + widths <= len(bits)
-        starts, widths = starts[keep], widths[keep]
-        codes = _unpack(bits, starts, widths)
-        marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        every = min((end - at) // width + 1, size - made + 2)
+        for most in (min(every, (1 << MOST_BITS) + 8), every):  # few streams put a clear off once the table is full
+            widths, starts = (x[:most] for x in _places(clear, 1 << max(13, most.bit_length())))
+            starts = starts + at
+            keep = starts + widths <= end
+            starts, widths = starts[keep], widths[keep]
+            codes = _unpack(raw, starts, widths)
+            marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
+            if len(marks):
+                break
         upto = int(marks[0]) if len(marks) else len(codes)
         if not upto:
             break

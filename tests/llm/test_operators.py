@@ -306,7 +306,8 @@ def test_shards_are_even(spark, docs, empty, tmp_path):
         assert max(counts) - min(counts) <= 1
     assert hilbert.shards(empty).count() == 0
     hilbert.write_shards(docs, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.where("doc_id <> 3 and doc_id <> 9").count()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted([*docs.columns, "_shard"]) and Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
 
 
 def brute_simhash(text):
@@ -499,6 +500,9 @@ def test_quotations_link_replies(spark):
     assert len(rows) == len(mail)
     assert got[1, 1] == ("Yes, at ten.", 0, 0) and got[1, 2] == ("Then let us book it.", 0, 0) and got[1, 3] == ("Fine with me.", 1, 0)
     assert got[1, 4] == ("Something else.", None, 4) and got[2, 0][1:] == (None, 0) and got[2, 1] == ("", None, 1)
+    far = quotes.link_quotations(spark.createDataFrame([*mail, (3, 0, "user", "He wrote:\n> The room is free\n> all day. The\n> rest was cut\nGood."), (3, 1, "user", "> Good.\nYes.")], "conv_id long, turn long, role string, text string"), elsewhere_words=5).collect()
+    away = {(r.conv_id, r.turn): (r.reply_conv, r.reply_to, r.thread_conv, r.thread) for r in far}
+    assert away[3, 0] == (1, 0, 1, 0) and away[3, 1] == (3, 0, 1, 0) and away[2, 0] == (1, 0, 1, 0) and away[1, 3] == (1, 1, 1, 0)
     ordered = quotes.conversations(quotes.link_quotations(spark.createDataFrame(mail[:5], "conv_id long, turn long, role string, text string"))).collect()
     assert [r.turn for r in ordered] == [0, 1, 2, 3, 4]
     assert quotes.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
