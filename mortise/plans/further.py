@@ -12,6 +12,7 @@ from mortise.plans.kb import KB
 from mortise.plans.lang import Rule
 from mortise.plans.program import definition, forward, rule_report, stamped
 from mortise.plans.registry import OPINIONS, SUPPLY, TYPE_EDGES, context_facts, contexts, opinions, query, read, rel, supply, trade, type_edges
+from mortise.streaming.feed import Feed
 
 # --- scans and doors
 
@@ -39,10 +40,10 @@ def a15(spark, sf):
 )
 def b5(spark, sf):
     """A goal of the super-predicate reads the facts of all predicates below it."""
-    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    facts = read(spark, sf, "orders").select(F.lit("ordered").alias("p"), tag("c", "o_custkey").alias("x"), tag("o", "o_orderkey").alias("y")).union(read(spark, sf, "lineitem").select(F.lit("contains"), tag("o", "l_orderkey"), tag("p", "l_partkey")))
-    below = closure.reflexive(spark.createDataFrame([("ordered", "relatedTo"), ("contains", "relatedTo")], "a string, b string"))
-    return facts.join(F.broadcast(below.where("b = 'relatedTo'").select(F.col("a").alias("p"))), "p", "left_semi").select("x", "y").distinct()
+    tag = lambda p, c, a: F.concat(F.lit(p), F.col(c).cast("string")).alias(a)
+    kb = KB(spark).tell("ordered", read(spark, sf, "orders").select(tag("c", "o_custkey", "a1"), tag("o", "o_orderkey", "a2")))
+    kb = kb.tell("contains", read(spark, sf, "lineitem").select(tag("o", "l_orderkey", "a1"), tag("p", "l_partkey", "a2")))
+    return kb.below("ordered", "relatedTo").below("contains", "relatedTo").query(("relatedTo", "?x", "?y"))
 
 
 @query("c1_query_depth", "SELECT DISTINCT l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = 3")
@@ -198,7 +199,7 @@ def h8(spark, sf):
     return context.readers(context_facts(spark, sf), contexts(spark, sf)).groupBy("view").agg(F.countDistinct("sid").alias("n"))
 
 
-@query("i5_measure_comparison", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_size * 60.0 - b.p_size * CASE WHEN b.p_partkey % 2 = 0 THEN 60.0 ELSE 3600.0 END) <= 1e-9 WHERE a.p_partkey % 2 = 0")
+@query("i5_measure_comparison", "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_size * CASE WHEN a.p_partkey % 2 = 0 THEN 60.0 ELSE 3600.0 END - b.p_size * CASE WHEN b.p_partkey % 2 = 0 THEN 60.0 ELSE 3600.0 END) <= 1e-9")
 def i5(spark, sf):
     """Equal quantities of one brand in minutes and hours; the equality joins on the base unit's value."""
     units = spark.createDataFrame([("Minute", "Second", 60.0), ("Hour", "Second", 3600.0)], "unit string, base string, factor double")
@@ -206,7 +207,7 @@ def i5(spark, sf):
     size = F.col("p_size").cast("double")
     rows = measures.normalised(part.select("p_partkey", "p_brand", size.alias("lo"), size.alias("hi"), F.when(F.col("p_partkey") % 2 == 0, "Minute").otherwise("Hour").alias("unit")), units)
     other = rows.select("p_brand", F.col("p_partkey").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.round("lo").alias("at"))
-    same = rows.where("p_partkey % 2 = 0").withColumn("at", F.round("lo")).join(other, ["p_brand", "at"])
+    same = rows.withColumn("at", F.round("lo")).join(other, ["p_brand", "at"])
     return same.where(measures.same_quantity(F.col("lo"), F.col("hi"), F.col("lo2"), F.col("hi2"))).select(F.col("p_partkey").alias("x"), "y")
 
 
@@ -327,12 +328,16 @@ def k10(spark, sf):
     return scenarios.culprits(stated, "allen")
 
 
-@query("m2_standing_query", "SELECT user_id, 'added' AS change FROM events WHERE user_id % 5 = 0 GROUP BY user_id HAVING min(ts) >= TIMESTAMP '2024-01-02'")
+@query("m2_standing_query", "SELECT user_id, 'click' AS event_type, 'added' AS change FROM events WHERE event_type = 'click' GROUP BY user_id HAVING min(ts) >= TIMESTAMP '2024-01-02'")
 def m2(spark, sf):
-    """A watcher's condition filters the change from the first day to all."""
-    events = read(spark, sf, "events")
-    early = events.where("ts < timestamp_ntz'2024-01-02'").select("user_id").distinct()
-    return belief.difference(early, events.select("user_id").distinct()).where("user_id % 5 = 0")
+    """A watcher's condition filters the change that the events after the first day make."""
+    events = read(spark, sf, "events").select("user_id", "event_type", "ts")
+    seen = []
+    feed = Feed(lambda stated: stated.select("user_id", "event_type").distinct())
+    feed.watch("clicks", lambda changes, _: seen.append(changes), "event_type = 'click'")
+    for n, part in enumerate(("ts < timestamp_ntz'2024-01-02'", "ts >= timestamp_ntz'2024-01-02'")):
+        feed.apply(events.where(part).withColumn("op", F.lit("assert")), n)
+    return seen[-1]
 
 
 @query("n9_vocabulary_audit", "SELECT 'customer' AS term, 'used' AS state UNION ALL SELECT 'order', 'inert'")

@@ -12,7 +12,7 @@ from mortise.operators import belief, closure, constraints, context, metric_time
 from mortise.plans.compile import answer
 from mortise.plans.kb import KB
 from mortise.plans.lang import Rule
-from mortise.plans.program import firings, forward, unfold
+from mortise.plans.program import firings, forward, forward_in, unfold
 from mortise.sources import store
 
 FLAGSHIP = "d1_conjunctive_join"
@@ -75,7 +75,8 @@ def a2(spark, sf):
 
 @query("a5_term_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7 OR o_custkey = 7")
 def a5(spark, sf):
-    return read(spark, sf, "orders").where("o_orderkey = 7 or o_custkey = 7").select("o_orderkey", "o_custkey")
+    kb = KB(spark).tell("orderOf", rel(spark, sf, "orders", "o_orderkey", "o_custkey"))
+    return kb.mentions(7).select(F.col("args")[0].cast("long").alias("o_orderkey"), F.col("args")[1].cast("long").alias("o_custkey"))
 
 
 @query("a6_vocabulary", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w")
@@ -156,9 +157,9 @@ def d4(spark, sf):
     return answer(trade(spark, sf), [("customer", "?c"), ("thereExists", ["?o"], [("ordered", "?c", "?o")])], ["c"])
 
 
-@query("d5_unknown", "SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("d5_unknown", "SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def d5(spark, sf):
-    return answer(trade(spark, sf), [("customer", "?c"), ("unknown", [("ordered", "?c", "?o")])], ["c"])
+    return answer(trade(spark, sf), [("customer", "?c"), ("unknown", [("ordered", "?c", "?o"), ("price", "?o", "?p"), ("lessThan", 400000, "?p")])], ["c"])
 
 
 @query(
@@ -323,16 +324,22 @@ def e1(spark, sf):
     return answer(forward(trade(spark, sf), rules), ("reach", "?x", "?y"))
 
 
-@query(
-    "e18_stratified",
-    "SELECT DISTINCT s_suppkey AS s FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 49)",
-)
+@query("e18_stratified", "SELECT s_suppkey AS s FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
 def e18(spark, sf):
     rules = [
-        Rule(("sellsBig", "?s"), (("supplies", "?s", "?p"), ("size", "?p", "?z"), ("lessThan", 49, "?z"))),
-        Rule(("small", "?s"), (("supplier", "?s"), ("unknown", [("sellsBig", "?s")]))),
+        Rule(("inZero", "?s"), (("inNation", "?s", "?n"), ("inRegion", "?n", 0))),
+        Rule(("elsewhere", "?s"), (("supplier", "?s"), ("unknown", [("inZero", "?s")]))),
     ]
-    return answer(forward(trade(spark, sf), rules), ("small", "?s"))
+    return answer(forward(trade(spark, sf), rules), ("elsewhere", "?s"))
+
+
+@query("e5_placed", "SELECT 'n' || s_nationkey AS ctx, s_suppkey AS s FROM supplier")
+def e5(spark, sf):
+    """Suppliers are stated in their nation, openness in each region: only the nation sees both."""
+    sells = read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("a1"), F.col("s_suppkey").alias("a2"))
+    opened = read(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("a1"), F.lit("open").alias("a2"))
+    out = forward_in({"sells": sells, "state": opened}, [Rule(("active", "?s"), (("sells", "?s"), ("state", "open")))], contexts(spark, sf))
+    return out["active"].select(F.col("a1").alias("ctx"), F.col("a2").alias("s"))
 
 
 @query("e14_evaluate", "SELECT DISTINCT o_orderkey AS o, o_totalprice * 2 + 1 AS r FROM orders WHERE o_totalprice * 2 + 1 > 500000")
@@ -474,8 +481,9 @@ def c14(spark, sf):
 @query("g13_preview", "SELECT o_custkey AS x, 'removed' AS change FROM orders GROUP BY o_custkey HAVING max(o_orderdate) < TIMESTAMP '1997-01-01'")
 def g13(spark, sf):
     orders = read(spark, sf, "orders")
-    active = lambda df: df.select(F.col("o_custkey").alias("x")).distinct()
-    return belief.difference(active(orders), active(orders.where("o_orderdate >= timestamp_ntz'1997-01-01'")))
+    active = Rule(("active", "?x"), (("ordered", "?x", "?o"),))
+    now, then = (KB(spark).tell("ordered", df.select(F.col("o_custkey").alias("a1"), F.col("o_orderkey").alias("a2"))).rule(active) for df in (orders, orders.where("o_orderdate >= timestamp_ntz'1997-01-01'")))
+    return now.preview(then, "active").withColumnRenamed("a1", "x")
 
 
 # --- constraints
@@ -525,15 +533,18 @@ def j1(spark, sf):
     return constraints.arg_type(values, member, "widget")
 
 
-@query("j5_arity", "SELECT p_partkey AS sid, len(string_split(p_name, ' ')) AS words FROM part WHERE len(string_split(p_name, ' ')) <> 2")
+@query("j5_arity", "SELECT p_partkey AS sid, (p_size % 4)::BIGINT AS words FROM part WHERE p_size % 4 <> 2")
 def j5(spark, sf):
-    facts = read(spark, sf, "part").select(F.col("p_partkey").alias("sid"), F.lit("name").alias("pred"), F.split("p_name", " ").alias("args"))
+    args = F.slice(F.array(*[F.lit("x")] * 3), 1, (F.col("p_size") % 4).cast("int"))
+    facts = read(spark, sf, "part").select(F.col("p_partkey").alias("sid"), F.lit("name").alias("pred"), args.alias("args"))
     return constraints.arity(facts, spark.createDataFrame([("name", 2)], "pred string, n int")).select("sid", F.size("args").cast("long").alias("words"))
 
 
-@query("j4_literal_kind", "SELECT event_id, event_type FROM events WHERE NOT regexp_matches(event_type, '^[A-Za-z][A-Za-z0-9_]*$')")
+@query("j4_literal_kind", "SELECT p_partkey, p_name AS w FROM part WHERE p_size <= 25 AND NOT regexp_matches(p_name, '^[A-Za-z][A-Za-z0-9_]*$')")
 def j4(spark, sf):
-    return constraints.literal_kind(read(spark, sf, "events").select("event_id", "event_type"), "event_type", "Symbol")
+    """Names of two words are no symbols, their nouns are."""
+    word = F.when(F.col("p_size") > 25, F.element_at(F.split("p_name", " "), -1)).otherwise(F.col("p_name"))
+    return constraints.literal_kind(read(spark, sf, "part").select("p_partkey", word.alias("w")), "w", "Symbol")
 
 
 # --- reasoners
@@ -603,12 +614,12 @@ def i15(spark, sf):
     return read(spark, sf, "events").select(F.concat(F.lit("CxAgent"), "user_id").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("n"))
 
 
-@query("l4_classify", "SELECT p_brand AS head, CASE WHEN count(DISTINCT p_size) = (SELECT count(DISTINCT p_size) FROM part) THEN 'forced' WHEN count(DISTINCT p_size) = 0 THEN 'excluded' ELSE 'supportable' END AS verdict FROM part GROUP BY p_brand")
+@query("l4_classify", "SELECT p_brand AS head, CASE WHEN count(DISTINCT p_size) = (SELECT count(DISTINCT p_size) FROM part) THEN 'forced' ELSE 'supportable' END AS verdict FROM part GROUP BY p_brand UNION ALL SELECT 'Brand#none', 'excluded'")
 def l4(spark, sf):
     """Each part size is a stored labelling; a brand is forced if it is in all of them."""
-    part = read(spark, sf, "part")
-    total = part.agg(F.countDistinct("p_size")).first()[0]
-    return part.groupBy(F.col("p_brand").alias("head")).agg(F.countDistinct("p_size").alias("n")).select("head", F.when(F.col("n") == total, "forced").when(F.col("n") == 0, "excluded").otherwise("supportable").alias("verdict"))
+    stored = read(spark, sf, "part").select(F.col("p_size").alias("labeling"), F.col("p_brand").alias("atom"))
+    heads = stored.select("atom").distinct().union(spark.createDataFrame([("Brand#none",)], "atom string"))
+    return solve.classify(stored, heads).select(F.col("atom").alias("head"), "verdict")
 
 
 @query("m1_belief_diff", "SELECT user_id, 'added' AS change FROM (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02') UNION ALL SELECT user_id, 'removed' FROM (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29')")
@@ -628,8 +639,9 @@ def n8(spark, sf):
 
 @query("b7_negative_literal", f"SELECT doc_id AS d FROM {OPINIONS} WHERE toxic = 1")
 def b7(spark, sf):
-    facts = read(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", (F.col("toxic") == 0).alias("truth"))
-    return facts.where("not truth").select(F.col("doc_id").alias("d"))
+    known = read(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    kb = KB(spark).tell("good", known.where("toxic = 0").select(F.col("doc_id").alias("a1"))).tell("not good", known.where("toxic = 1").select(F.col("doc_id").alias("a1")))
+    return kb.query(("not", ("good", "?d")))
 
 
 @query("c8_budget", "SELECT o_orderkey AS o FROM orders ORDER BY o_orderkey LIMIT 20")
