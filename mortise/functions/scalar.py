@@ -18,12 +18,34 @@ def _truncated(a: Column, b: Column) -> Column:
     return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q))
 
 
+def _gcd(a: Column, b: Column) -> Column:
+    """Euclid's algorithm; 92 steps are enough for all 64-bit numbers."""
+    start = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
+    step = lambda s, _: F.when(s.y == 0, s).otherwise(F.struct(s.y.alias("x"), (s.x % F.when(s.y != 0, s.y)).alias("y")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s.x)
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    """The exact quotient of whole numbers as text in lowest terms: "3/4", or "2" where it is whole."""
+    a, b = a.cast("long"), b.cast("long")
+    g = F.when(b < 0, -_gcd(a, b)).when(b > 0, _gcd(a, b))
+    whole = lambda x: F.call_function("div", x, g)
+    top, bottom = whole(a), whole(b)
+    return F.when(b == 0, None).when(bottom == 1, top.cast("string")).otherwise(F.concat_ws("/", top.cast("string"), bottom.cast("string")))
+
+
+def _minted(function: Column, *args: Column) -> Column:
+    return F.concat(F.lit("nat/"), F.sha2(F.concat_ws(" ", function, *(a.cast("string") for a in args)), 256))
+
+
 #: Name -> function of the argument columns.
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "+": lambda *x: reduce(lambda a, b: a + b, x),
     "-": lambda *x: -x[0] if len(x) == 1 else reduce(lambda a, b: a - b, x),
     "*": lambda *x: reduce(lambda a, b: a * b, x),
     "/": lambda a, b: F.try_divide(a, b),
+    "ratio": _ratio,
+    "minted": _minted,
     "mod": _floor_mod,
     "quot": _truncated,
     "rem": lambda a, b: F.when(b != 0, a - b * _truncated(a, b)),

@@ -118,3 +118,17 @@ def following(metas: DataFrame, gone: DataFrame) -> DataFrame:
     """(sid): facts about facts, metas (sid, target), that go with their targets `gone` (sid), and those about them in turn."""
     seed = metas.join(gone.select(F.col("sid").alias("target")), "target", "left_semi").select("sid")
     return grow(seed, lambda delta, _: metas.join(delta.select(F.col("sid").alias("target")), "target", "left_semi").select("sid"))
+
+
+def sweep(facts: DataFrame, premises: DataFrame, just: DataFrame) -> DataFrame:
+    """Facts (sid, ...) that still have a ground, defeated or not; what lost its last support is swept.
+
+    Belief is computed from what is stated, so a swept fact is there again when its support is.
+    """
+    return facts.join(labels(premises, just).select("sid"), "sid", "left_semi")
+
+
+def contradictions(verdicts: DataFrame, nogoods: DataFrame) -> DataFrame:
+    """(nid, verdict, sids): open clashes of resolve() with their members in order."""
+    members = nogoods.groupBy("nid").agg(F.array_sort(F.collect_set("sid")).alias("sids"))
+    return verdicts.join(members, "nid").select("nid", "verdict", "sids")

@@ -98,3 +98,15 @@ def separated(declared: DataFrame, up: DataFrame, exceptions: DataFrame | None =
 def clique(group: DataFrame) -> DataFrame:
     """(a, b) of different members of the same group, for groups (g, a) of declared types, which are few."""
     return group.join(group.select("g", F.col("a").alias("b")), "g").where("a <> b").select("a", "b").distinct()
+
+
+def partners(apart: DataFrame, of: str) -> DataFrame:
+    """(y): the types that are separated from one; apart (x, y) in both orders."""
+    return apart.where(F.col("x") == of).select("y").distinct()
+
+
+def witnesses(declared: DataFrame, up: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, y, a, b): the declared disjoint pairs (a, b) that separate each of pairs (x, y)."""
+    lo = up.select(F.col("a").alias("x"), F.col("b").alias("a"))
+    hi = up.select(F.col("a").alias("y"), F.col("b").alias("b"))
+    return pairs.select("x", "y").join(lo, "x").join(hi, "y").join(mirrored(declared), ["a", "b"]).select("x", "y", "a", "b").distinct()

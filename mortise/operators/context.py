@@ -46,3 +46,24 @@ def placement(grounds: DataFrame, up: DataFrame) -> DataFrame:
 def lifted(facts: DataFrame, where: str) -> DataFrame:
     """Facts of a decontextualised predicate, stated in one context for all readers."""
     return facts.withColumn("ctx", F.lit(where)).distinct()
+
+
+def exactly(facts: DataFrame, ctx: str, mirror: tuple[str, str] | None = None) -> DataFrame:
+    """Facts stated in one context itself, nothing inherited; `mirror` names the columns of a symmetric predicate, which hold both ways."""
+    own = facts.where(F.col("ctx") == ctx)
+    if mirror is None:
+        return own
+    a, b = mirror
+    return own.union(own.select(*(F.col({a: b, b: a}.get(c, c)).alias(c) for c in own.columns))).distinct()
+
+
+def function_edges(terms: DataFrame, up: DataFrame) -> DataFrame:
+    """(a, b): contexts named by functional terms (ctx, function, arg) see those of the same function whose argument is above theirs; up (a, b) is reflexive."""
+    low = terms.select(F.col("ctx").alias("low"), "function", F.col("arg").alias("a"))
+    high = terms.select(F.col("ctx").alias("high"), "function", F.col("arg").alias("b"))
+    return low.join(up, "a").join(high, ["function", "b"]).where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+
+
+def projected(attitudes: DataFrame, prefix: str = "CxAgent") -> DataFrame:
+    """What an agent holds (agent, ...) as facts of the agent's own context: (ctx, ...)."""
+    return attitudes.select(F.concat(F.lit(prefix), F.col("agent").cast("string")).alias("ctx"), *(c for c in attitudes.columns if c != "agent")).distinct()

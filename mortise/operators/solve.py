@@ -72,3 +72,20 @@ def classify(labelings: DataFrame, heads: DataFrame) -> DataFrame:
     held = labelings.groupBy("atom").agg(F.countDistinct("labeling").alias("k"))
     rows = heads.join(held, "atom", "left").join(F.broadcast(total), F.lit(True))
     return rows.select("atom", F.when(F.col("k").isNull(), "excluded").when(F.col("k") == F.col("n"), "forced").otherwise("supportable").alias("verdict"))
+
+
+def settled_dilemmas(nogoods: DataFrame) -> DataFrame:
+    """(sid): facts to give up so that no open nogood (nid, sid) holds whole, as few as can be in each independent part.
+
+    Of several least sets the first in the order of their sorted members is committed.
+    """
+    needs = nogoods.groupBy("nid").agg(F.array_sort(F.collect_set("sid")).alias("atoms")).select("atoms")
+    atoms = nogoods.select(F.col("sid").alias("atom")).distinct()
+    none = needs.limit(0)
+    cost = atoms.select(F.array("atom").alias("atoms"), F.lit(1.0).alias("cost"))
+    return label(atoms, needs, none, cost).where("labeling = 0").select(F.col("atom").alias("sid"))
+
+
+def optima(labelings: DataFrame) -> DataFrame:
+    """(component, n): how many optimal labelings each independent part has."""
+    return labelings.groupBy("component").agg((F.max("labeling") + 1).alias("n"))

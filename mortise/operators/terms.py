@@ -51,3 +51,25 @@ def preserved(claims: DataFrame, up: DataFrame) -> DataFrame:
     displaced = carried.where("s = 1").join(over, "node").join(lower, ["x", "z", "lower", "truth"], "left_semi").select("x", "z", "node", "truth", "s").distinct()
     left = carried.join(displaced, ["x", "z", "node", "truth", "s"], "left_anti")
     return left.groupBy("x", "z").agg(F.bool_and("truth").alias("truth"), F.bool_or("truth").alias("any")).where("truth = any").select("x", "z", "truth")
+
+
+def merged(facts: DataFrame, rep: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(restated, retired): a merge restates facts with a retired spelling under its representative, and retires the old rows.
+
+    What is quoted is left alone: name only the columns that may be rewritten.
+    """
+    old = superseded(facts, rep, *columns)
+    return rewritten(old, rep, *columns).join(facts, facts.columns, "left_anti"), old
+
+
+def orphans(made: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """Minted constants (term, ...) that stand in no fact table (a1, a2, ...)."""
+    for df in facts.values():
+        for c in df.columns:
+            made = made.join(df.select(F.col(c).cast("string").alias("term")), "term", "left_anti")
+    return made
+
+
+def result_types(made: DataFrame, declared: DataFrame) -> DataFrame:
+    """(term, t): the types that a function's declarations (function, t) give its minted constants (term, function, ...)."""
+    return made.select("term", "function").join(declared, "function").select("term", "t").distinct()

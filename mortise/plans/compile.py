@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mortise.functions.scalar import evaluate
+from mortise.operators.terms import minted
 from mortise.plans.lang import AGGREGATES, COMPARE, SPECIAL, Rule, is_var, plain, predicates, variables
 
 Facts = Mapping[str, DataFrame]
@@ -18,6 +19,9 @@ def column(var: str) -> str:
 
 
 def _value(x: object) -> Column:
+    """A variable's column, a constant, or the minted constant of a functional term (function, argument, ...)."""
+    if isinstance(x, tuple):
+        return minted(x[0], *map(_value, x[1:]))
     return F.col(column(x)) if is_var(x) else F.lit(x)
 
 

@@ -17,12 +17,6 @@ from mortise.streaming.feed import Feed
 # --- scans and doors
 
 
-@query("a3_functor_scan", "SELECT 'clickedBy' AS functor, event_id AS a1, user_id AS a2 FROM events WHERE event_type = 'click' UNION ALL SELECT 'inRegion', n_nationkey, n_regionkey FROM nation")
-def a3(spark, sf):
-    clicked = read(spark, sf, "events").where("event_type = 'click'").select(F.lit("clickedBy").alias("functor"), F.col("event_id").alias("a1"), F.col("user_id").alias("a2"))
-    return clicked.union(read(spark, sf, "nation").select(F.lit("inRegion"), F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long")))
-
-
 @query("a4_argument_scan", "SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_partkey = 5")
 def a4(spark, sf):
     return answer({"supplies": trade(spark, sf)["supplies"]}, ("supplies", "?s", 5))
@@ -71,11 +65,6 @@ def c16(spark, sf):
     return belief.dependents(just, premises.where("sid like 'toxic %'"))
 
 
-@query("c17_ist", "SELECT s_suppkey AS sid FROM supplier WHERE s_nationkey = 3 UNION SELECT 100000 + n_regionkey FROM nation WHERE n_nationkey = 3")
-def c17(spark, sf):
-    return context.visible(context_facts(spark, sf), contexts(spark, sf), "n3").select("sid").distinct()
-
-
 @query("c18_contexts_of", "SELECT s_suppkey AS sid, 'n' || s_nationkey AS ctx FROM supplier WHERE s_suppkey = 5")
 def c18(spark, sf):
     return context_facts(spark, sf).where("sid = 5")
@@ -219,20 +208,6 @@ def i8(spark, sf):
     return rewrite.normalised(read(spark, sf, "part").select(F.col("p_partkey").alias("p"), made.alias("term")), "term", equations)
 
 
-@query("i16_inferred_types", "SELECT DISTINCT l_suppkey AS x, 'supplier' AS t FROM lineitem UNION SELECT DISTINCT l_partkey, 'part' FROM lineitem")
-def i16(spark, sf):
-    """(arg supplies 1 supplier) and (arg supplies 2 part) type what stands there."""
-    declared = spark.createDataFrame([(1, "supplier"), (2, "part")], "n int, t string")
-    args = rel(spark, sf, "lineitem", "l_suppkey", "l_partkey").select(F.posexplode(F.array("a1", "a2")).alias("i", "x")).distinct()
-    return args.join(F.broadcast(declared), F.col("i") + 1 == F.col("n")).select("x", "t").distinct()
-
-
-@query("i18_gloss", "SELECT s_suppkey AS s, s_name || ' is a supplier in ' || n_name || '.' AS gloss FROM supplier JOIN nation ON n_nationkey = s_nationkey")
-def i18(spark, sf):
-    rows = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.select(F.col("s_suppkey").alias("s"), F.format_string("%s is a supplier in %s.", "s_name", "n_name").alias("gloss"))
-
-
 @query("j6_variable_arity", "SELECT event_id AS sid FROM events WHERE event_type = 'click' AND event_id % 3 <> 2")
 def j6(spark, sf):
     """Clicks should have two arguments; views may have any number."""
@@ -259,15 +234,6 @@ def j15(spark, sf):
     return up.join(F.broadcast(marks), "b").select(F.col("a").alias("p"), "mark").distinct()
 
 
-@query("j20_dry_run", "SELECT 'functional' AS kind, user_id::VARCHAR AS witness FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1 UNION ALL SELECT 'irreflexive', a::VARCHAR FROM " + SUPPLY + " WHERE a = b")
-def j20(spark, sf):
-    kinds = {
-        "functional": constraints.functional(read(spark, sf, "events").select(F.col("user_id").alias("a"), F.col("event_type").alias("b")).distinct()),
-        "irreflexive": constraints.irreflexive(supply(spark, sf)),
-    }
-    return constraints.report(kinds, {"functional": F.col("a"), "irreflexive": F.col("a")})
-
-
 @query("j21_exposed_clashes", "SELECT DISTINCT doc_id AS x, 'junk' AS t1, 'good' AS t2 FROM labels WHERE false UNION ALL SELECT DISTINCT doc_id, 'good', 'toxic' FROM labels WHERE quality = 1 AND toxic = 1")
 def j21(spark, sf):
     labels = read(spark, sf, "labels")

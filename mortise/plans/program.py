@@ -29,6 +29,59 @@ def _functor(rule: Rule) -> str:
     return plain(rule.head[2])[0] if rule.head[0] == "ist" else rule.head[0]
 
 
+def absorbed(known: dict[str, DataFrame], found: dict[str, list[DataFrame]]) -> dict[str, DataFrame]:
+    """predicate -> its new rows among those `found`; `known` grows by them."""
+    delta = {}
+    for p, parts in found.items():
+        new = parts[0]
+        for x in parts[1:]:
+            new = new.unionByName(x)
+        new = new.distinct()
+        if p in known:
+            new = new.join(known[p], new.columns, "left_anti")
+        new = settled(new)
+        if not new.isEmpty():
+            delta[p] = new
+        known[p] = known[p].unionByName(new) if p in known else new
+    return delta
+
+
+def _close(known: dict[str, DataFrame], delta: dict[str, DataFrame], rules: list[Rule], rep: DataFrame | None, most: int | None, conclude: Conclude) -> None:
+    """Closes `known` under rules, given what has just been added to it: a round reads each literal's growth once."""
+    for _ in rounds(most):
+        seen = known | {p + DELTA: d for p, d in delta.items()}
+        found: dict[str, list[DataFrame]] = {}
+        for r in rules:
+            for i, lit in enumerate(r.body):
+                if lit[0] in delta:
+                    found.setdefault(_functor(r), []).append(conclude(_swapped(r, i), seen, rep))
+        if not found:
+            return
+        delta = absorbed(known, found)
+
+
+def extended(closed: Facts, rules: Iterable[Rule], added: Facts | None = None, new_rules: Iterable[Rule] = (), rep: DataFrame | None = None, most: int | None = None) -> dict[str, DataFrame]:
+    """Closed facts after more facts (predicate -> rows) and more rules, joining only what they reach.
+
+    A new rule is joined in full once, everything else over growth. More facts can't take a
+    conclusion away unless a rule reads a predicate as a whole (unknown, aggregates, exceptions):
+    then this refuses, and forward() over all that is stated is the way.
+    """
+    active = [r for r in (*rules, *new_rules) if r.direction in ("forward", "both")]
+    if any(r.exceptions or any(whole for _, whole in predicates(r.body)) or any(x[0] == "thereExists" for x in r.body) for r in active):
+        raise ValueError("a rule reads a predicate as a whole: close all stated facts anew")
+    known = dict(closed)
+    delta = absorbed(known, {p: [df] for p, df in (added or {}).items()})
+    found: dict[str, list[DataFrame]] = {}
+    for r in new_rules:
+        if r.direction in ("forward", "both"):
+            found.setdefault(_functor(r), []).append(conclusions(r, known, rep))
+    for p, new in absorbed(known, found).items():
+        delta[p] = delta[p].unionByName(new) if p in delta else new
+    _close(known, delta, active, rep, most, conclusions)
+    return known
+
+
 def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, most: int | None = None, conclude: Conclude = conclusions) -> dict[str, DataFrame]:
     """All facts with what the rules conclude, as predicate -> (a1, a2, ...).
 
@@ -42,7 +95,6 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
     rules = [r for r in rules if r.direction in ("forward", "both")]
     readers = Counter(p for r in rules for p, _ in predicates(r.body))
     for group in strata(rules):
-        heads = {_functor(r) for r in group}
         # Inside a stratum, what no rule of it is read by comes first, as plain plans.
         waiting = list(group)
         while ready := [r for r in waiting if not {p for p, _ in predicates(r.body)} & {_functor(x) for x in waiting}]:
@@ -56,36 +108,10 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
                 known[p] = settled(new) if readers[p] > 1 else new
         if not waiting:
             continue
-        delta: dict[str, DataFrame] = {}
-
-        def absorb(found: dict[str, list[DataFrame]]) -> None:
-            delta.clear()
-            for p, parts in found.items():
-                new = parts[0]
-                for x in parts[1:]:
-                    new = new.unionByName(x)
-                new = new.distinct()
-                if p in known:
-                    new = new.join(known[p], new.columns, "left_anti")
-                new = settled(new)
-                if not new.isEmpty():
-                    delta[p] = new
-                known[p] = known[p].unionByName(new) if p in known else new
-
         found: dict[str, list[DataFrame]] = {}
         for r in waiting:
             found.setdefault(_functor(r), []).append(conclude(r, known, rep))
-        absorb(found)
-        for _ in rounds(most):
-            seen = known | {p + DELTA: d for p, d in delta.items()}
-            found = {}
-            for r in waiting:
-                for i, lit in enumerate(r.body):
-                    if lit[0] in delta and lit[0] in heads:
-                        found.setdefault(_functor(r), []).append(conclude(_swapped(r, i), seen, rep))
-            if not found:
-                break
-            absorb(found)
+        _close(known, absorbed(known, found), waiting, rep, most, conclude)
     return known
 
 
@@ -160,8 +186,11 @@ def unfold(goal: tuple | list, rules: Iterable[Rule], depth: int, stored: Iterab
                 continue
             fresh[0] += 1
             named = {v: f"{v}_{fresh[0]}" for x in (r.head, *r.body, *r.exceptions) for v in _vars(x)}
-            by, ties = {}, []
+            by, ties, terms = {}, [], []
             for h, a in zip(r.head[1:], lit[1:], strict=True):
+                if isinstance(h, tuple):
+                    terms.append((a, h))
+                    continue
                 h = named.get(h, h) if is_var(h) else h
                 if is_var(h) and h not in by:
                     by[h] = a
@@ -178,7 +207,7 @@ def unfold(goal: tuple | list, rules: Iterable[Rule], depth: int, stored: Iterab
             else:
                 put = lambda x: _renamed(_renamed(x, named), by)  # noqa: E731, B023
                 parts = [bodies(put(x), left - 1) for x in r.body]
-                more = [*ties, *(("unknown", [put(x) for x in e]) for e in r.exceptions)]
+                more = [*ties, *(("evaluate", a, _made(put(h))) for a, h in terms), *(("unknown", [put(x) for x in e]) for e in r.exceptions)]
                 out += [[*(x for p in chosen for x in p), *more] for chosen in product(*parts)]
         return out
 
@@ -192,6 +221,11 @@ def _vars(x: object) -> list[str]:
     return [v for y in x for v in _vars(y)] if isinstance(x, tuple | list) else []
 
 
+def _made(x: object) -> object:
+    """A functional term of a head as an expression for `evaluate`."""
+    return ("minted", x[0], *map(_made, x[1:])) if isinstance(x, tuple) else x
+
+
 def _renamed(x: object, names: dict) -> object:
     if isinstance(x, str):
         return names.get(x, x)

@@ -79,11 +79,6 @@ def a5(spark, sf):
     return kb.mentions(7).select(F.col("args")[0].cast("long").alias("o_orderkey"), F.col("args")[1].cast("long").alias("o_custkey"))
 
 
-@query("a6_vocabulary", "SELECT w AS term, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w")
-def a6(spark, sf):
-    return read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
 @query(
     "a7_counts",
     "SELECT 'supplies' AS predicate, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) "
@@ -267,13 +262,6 @@ def h7(spark, sf):
 # --- recursion and graphs
 
 
-@query("e7_conjunctive_heads", "SELECT DISTINCT s_suppkey AS x, 'seller' AS t FROM supplier UNION SELECT DISTINCT s_suppkey, 'firm' FROM supplier")
-def e7(spark, sf):
-    rules = [Rule((h, "?x"), (("supplier", "?x"),)) for h in ("seller", "firm")]
-    out = forward(trade(spark, sf), rules)
-    return out["seller"].select(F.col("a1").alias("x"), F.lit("seller").alias("t")).union(out["firm"].select("a1", F.lit("firm")))
-
-
 TYPE_EDGES = (
     "SELECT DISTINCT p_name AS a, string_split(p_name, ' ')[-1] AS b FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[-1], 'thing' FROM part"
 )
@@ -388,26 +376,6 @@ def c5(spark, sf):
     return KB(spark, trade(spark, sf), rules).query(("partRegion", "?p", "?r"), depth=2)
 
 
-@query(
-    "c7_levels",
-    "SELECT 0 AS level, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey = 1) UNION ALL SELECT 1, count(*) FROM (SELECT DISTINCT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey = 1)",
-)
-def c7(spark, sf):
-    t = trade(spark, sf)
-    a = answer(t, ("supplies", 1, "?p")).agg(F.count("*").alias("n")).select(F.lit(0).alias("level"), "n")
-    return a.union(answer(t, ("inNation", 1, "?n")).agg(F.count("*")).select(F.lit(1), "count(1)"))
-
-
-@query(
-    "c10_abduction",
-    "SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_nationkey IN (SELECT s_nationkey FROM supplier)",
-)
-def c10(spark, sf):
-    """Customers for whom an order is the one missing fact of "buys at home"."""
-    t = trade(spark, sf)
-    return answer(t, [("customerIn", "?c", "?n"), ("thereExists", ["?s"], [("inNation", "?s", "?n")]), ("unknown", [("ordered", "?c", "?o")])], ["c"])
-
-
 # --- belief
 
 
@@ -609,11 +577,6 @@ def i7(spark, sf):
     return read(spark, sf, "orders").where(measures.subinterval(day, F.lit("1996-03"))).select(F.col("o_orderkey").alias("o"))
 
 
-@query("i15_modal", "SELECT 'CxAgent' || user_id AS ctx, count(*) AS n FROM events GROUP BY user_id")
-def i15(spark, sf):
-    return read(spark, sf, "events").select(F.concat(F.lit("CxAgent"), "user_id").alias("ctx")).groupBy("ctx").agg(F.count("*").alias("n"))
-
-
 @query("l4_classify", "SELECT p_brand AS head, CASE WHEN count(DISTINCT p_size) = (SELECT count(DISTINCT p_size) FROM part) THEN 'forced' ELSE 'supportable' END AS verdict FROM part GROUP BY p_brand UNION ALL SELECT 'Brand#none', 'excluded'")
 def l4(spark, sf):
     """Each part size is a stored labelling; a brand is forced if it is in all of them."""
@@ -629,11 +592,6 @@ def m1(spark, sf):
     return belief.difference(early.select("user_id").distinct(), late.select("user_id").distinct())
 
 
-@query("n8_census", "SELECT event_type AS predicate, count(*) AS n, count(DISTINCT user_id) AS subjects FROM events GROUP BY event_type")
-def n8(spark, sf):
-    return read(spark, sf, "events").groupBy(F.col("event_type").alias("predicate")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("subjects"))
-
-
 # --- terms, preserved arguments, further literals
 
 
