@@ -1,4 +1,4 @@
-"""Choice and constraint solving: components split in Spark, each searched in one bounded task."""
+"""Choice and constraint solving: components split in Spark, each searched in one task."""
 
 from __future__ import annotations
 
@@ -10,31 +10,46 @@ from pyspark.sql import functions as F
 
 from mortise.operators.closure import components
 
-#: Choices to a component that are searched; a larger one is refused.
-MOST = 24
-
-
 def _search(atoms: list[str], needs: list[set[str]], hard: list[set[str]], soft: list[tuple[set[str], float]]) -> tuple[float, list[frozenset[str]]]:
-    """(least cost, all choices with it): branch and bound over the atoms in order."""
-    best, found = float("inf"), []
-
-    def go(i: int, chosen: frozenset[str]) -> None:
-        nonlocal best, found
-        decided = set(atoms[:i])
-        if any(h <= chosen for h in hard) or any(n <= decided and not n & chosen for n in needs):
-            return
+    """(least cost, all choices with it): branch and bound over the atoms in order; costs are 0 or more.
+
+    A branch ends when what it must still pay exceeds the best: unmet needs without a common atom
+    each cost their cheapest atom at least.
+    """
+    single: dict[str, float] = {}
+    for s, c in soft:
+        if len(s) == 1:
+            single[min(s)] = single.get(min(s), 0.0) + c
+    needs = sorted(needs, key=len)
+
+    def still(chosen: frozenset[str], decided: set[str]) -> float:
+        used, total = set(), 0.0
+        for n in needs:
+            if n & chosen:
+                continue
+            free = n - decided
+            if not free:
+                return float("inf")
+            if not free & used:
+                used |= free
+                total += min(single.get(a, 0.0) for a in free)
+        return total
+
+    best, found, waiting = float("inf"), [], [(0, frozenset())]
+    while waiting:
+        i, chosen = waiting.pop()
+        if any(h <= chosen for h in hard):
+            continue
         cost = sum(c for s, c in soft if s <= chosen)
-        if cost > best + 1e-9:
-            return
+        must = still(chosen, set(atoms[:i]))
+        if must == float("inf") or cost + must > best + 1e-9:
+            continue
         if i == len(atoms):
             if cost < best - 1e-9:
                 best, found = cost, []
             found.append(chosen)
-            return
-        go(i + 1, chosen | {atoms[i]})
-        go(i + 1, chosen)
-
-    go(0, frozenset())
+            continue
+        waiting += [(i + 1, chosen), (i + 1, chosen | {atoms[i]})]
     return best, found
 
 
@@ -43,8 +58,9 @@ def label(choices: DataFrame, needs: DataFrame, hard: DataFrame, soft: DataFrame
 
     choices (atom string); needs (atoms array): at least one is chosen; hard (atoms array): not all
     are chosen; soft (atoms array, cost): all chosen costs so much. Atoms that a constraint joins
-    are one component, named by its least atom. A component over MOST atoms raises; one without a
-    solution gives no rows. Optima are numbered in the order of their sorted atoms.
+    are one component, named by its least atom; one without a solution gives no rows. A component of
+    any size is searched in one task, and its time may double with each atom that bounds don't
+    settle. Costs below 0 raise. Optima are numbered in the order of their sorted atoms.
     """
     rows = needs.select("atoms", F.lit("need").alias("kind"), F.lit(0.0).alias("cost")).union(hard.select("atoms", F.lit("hard"), F.lit(0.0))).union(soft.select("atoms", F.lit("soft"), "cost"))
     links = rows.select(F.element_at("atoms", 1).alias("a"), F.explode("atoms").alias("b"))
@@ -57,8 +73,8 @@ def label(choices: DataFrame, needs: DataFrame, hard: DataFrame, soft: DataFrame
         items = [json.loads(x) for x in pdf["item"]]
         by = lambda k: [x for x in items if x["kind"] == k]
         atoms = sorted(x["atoms"][0] for x in by("atom"))
-        if len(atoms) > MOST:
-            raise ValueError(f"a component of {len(atoms)} choices is too large to search")
+        if any(x["cost"] < 0 for x in items):
+            raise ValueError("a cost is below 0")
         _, found = _search(atoms, [set(x["atoms"]) for x in by("need")], [set(x["atoms"]) for x in by("hard")], [(set(x["atoms"]), x["cost"]) for x in by("soft")])
         out = [(pdf["component"].iloc[0], n, a) for n, c in enumerate(sorted(map(sorted, found))) for a in c]
         return pd.DataFrame(out, columns=["component", "labeling", "atom"])
