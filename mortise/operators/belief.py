@@ -5,30 +5,52 @@ Tables: premises (sid, s), just (jid, conseq, ante array<sid>, s); s is 2 for mo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mortise.operators.loops import grow, rounds, settled
 
 
-def labels(premises: DataFrame, just: DataFrame, defeated: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(sid, s) of all that is believed: the least fixpoint of max over supports of the weakest ground.
+def _links(just: DataFrame) -> DataFrame:
+    """Justifications, a row for each antecedent; one without any has a single row with none."""
+    return settled(just.select("jid", "conseq", "s", F.size("ante").alias("n"), F.explode_outer("ante").alias("a")))
+
 
-    A justification counts when all its antecedents are believed. Classes only rise, so a round that
-    changes nothing ends the loop. `defeated` (sid) is kept out.
+def _risen(base: DataFrame, links: DataFrame, keep: Callable[[DataFrame], DataFrame], most: int | None) -> DataFrame:
+    """The least fixpoint over `base` (sid, s).
+
+    Facts only join and classes only rise, so equal numbers and sums of classes end the loop.
     """
-    keep = (lambda df: df.join(defeated.select("sid"), "sid", "left_anti")) if defeated is not None else (lambda df: df)
-    base = settled(keep(premises.groupBy("sid").agg(F.max("s").alias("s"))))
-    links = settled(just.select("jid", "conseq", "s", F.size("ante").alias("n"), F.explode_outer("ante").alias("a")))
-    now = base
+    size = lambda df: tuple(df.agg(F.count("*"), F.sum("s")).first())
+    now, was = base, size(base)
     for _ in rounds(most):
         strengths = now.select(F.col("sid").alias("a"), F.col("s").alias("g"))
         held = links.join(strengths, "a", "left").groupBy("jid", "conseq", "s", "n").agg(F.count("g").alias("c"), F.min("g").alias("g")).where("c = n")
         given = held.select(F.col("conseq").alias("sid"), F.least("s", "g").alias("s"))
         new = settled(keep(base.union(given)).groupBy("sid").agg(F.max("s").alias("s")))
-        if new.join(now, ["sid", "s"], "left_anti").isEmpty():
+        if (is_ := size(new)) == was:
             return new
-        now = new
+        now, was = new, is_
+
+
+def labels(premises: DataFrame, just: DataFrame, defeated: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(sid, s) of all that is believed: the least fixpoint of max over supports of the weakest ground.
+
+    A justification counts when all its antecedents are believed. `defeated` (sid) is kept out.
+    """
+    keep = (lambda df: df.join(defeated.select("sid"), "sid", "left_anti")) if defeated is not None else (lambda df: df)
+    return _risen(settled(keep(premises.groupBy("sid").agg(F.max("s").alias("s")))), _links(just), keep, most)
+
+
+def relabelled(belief: DataFrame, premises: DataFrame, links: DataFrame, fresh: DataFrame, defeated: DataFrame, most: int | None = None) -> DataFrame:
+    """Belief after more facts `fresh` (sid) are defeated: only what rests on them is labelled anew."""
+    rests = grow(fresh.select("sid"), lambda delta, _: links.join(delta.select(F.col("sid").alias("a")), "a", "left_semi").select(F.col("conseq").alias("sid")))
+    open_ = settled(rests.join(defeated.select("sid"), "sid", "left_anti"))
+    stated = premises.join(open_, "sid", "left_semi").groupBy("sid").agg(F.max("s").alias("s"))
+    base = settled(belief.join(rests, "sid", "left_anti").select("sid", "s").union(stated))
+    return _risen(base, settled(links.join(open_.select(F.col("sid").alias("conseq")), "conseq", "left_semi").select(*links.columns)), lambda df: df, most)
 
 
 def clashes(facts: DataFrame, belief: DataFrame) -> DataFrame:
@@ -54,8 +76,9 @@ def resolve(premises: DataFrame, just: DataFrame, facts: DataFrame, more: DataFr
     """
     spark = premises.sparkSession
     defeated = spark.createDataFrame([], premises.select("sid").schema)
+    links = _links(just)
+    belief = _risen(settled(premises.groupBy("sid").agg(F.max("s").alias("s"))), links, lambda df: df, most)
     for _ in rounds(most):
-        belief = labels(premises, just, defeated)
         pairs = clashes(facts, belief).select(F.concat_ws("|", "pos", "neg").alias("nid"), F.explode(F.array("pos", "neg")).alias("sid"))
         if more is not None:
             whole = more.join(belief.select("sid"), "sid", "left").groupBy("nid").agg(F.count("*").alias("n"))
@@ -66,6 +89,7 @@ def resolve(premises: DataFrame, just: DataFrame, facts: DataFrame, more: DataFr
         if fresh.isEmpty():
             return belief, defeated, verdicts.where("verdict <> 'defeat'").select("nid", "verdict")
         defeated = settled(defeated.union(fresh))
+        belief = relabelled(belief, premises, links, fresh, defeated, most)
 
 
 def why(just: DataFrame, belief: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:

@@ -148,3 +148,36 @@ def test_dilemmas_give_up_the_fewest(spark):
 def test_gloss(spark):
     facts = {"likes": spark.createDataFrame([("Ann {1}", "Bob")], "a1 string, a2 string"), "odd": spark.createDataFrame([(3,)], "a1 long")}
     assert ("odd", "odd of 3") in rows(census.glossed(facts, {"likes": "{1} likes {2}."}))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_resolve_against_relabelling_from_scratch(spark, seed):
+    r = random.Random(seed)
+    names = [f"f{i}" for i in range(14)]
+    just = [(f"j{i}", r.choice(names), r.sample(names, r.randrange(3)), r.choice([1, 2])) for i in range(16)]
+    stated = [(n, r.choice([1, 2])) for n in r.sample(names, 6)]
+    facts = [(n, f"b{i // 2}", i % 2 == 0) for i, n in enumerate(names)]
+
+    def labelled(out):
+        s = {}
+        while True:
+            new = {n: k for n, k in stated if n not in out}
+            for _, c, ante, k in just:
+                if c not in out and all(a in s for a in ante):
+                    new[c] = max(new.get(c, 0), min([k, *(s[a] for a in ante)]))
+            if new == s:
+                return s
+            s = new
+
+    out = set()
+    while True:
+        s = labelled(out)
+        pairs = [(a, b) for a, b in zip(names[::2], names[1::2], strict=True) if a in s and b in s and s[a] != s[b]]
+        weak = {min(p, key=s.get) for p in pairs}
+        if not weak:
+            break
+        out |= weak
+    held, defeated, _ = belief.resolve(
+        spark.createDataFrame(stated, "sid string, s int"), spark.createDataFrame(just, "jid string, conseq string, ante array<string>, s int"), spark.createDataFrame(facts, "sid string, body string, truth boolean")
+    )
+    assert rows(held) == set(s.items()) and rows(defeated) == {(n,) for n in out}
