@@ -12,6 +12,7 @@ import json
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -119,40 +120,45 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int
     """The pieces of every document: full windows, then the rest.
 
     Rows: doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers),
-    doc_tokens, and with keep_ids the ids themselves as bytes.
+    doc_tokens, repeat (how many equal pieces came before in the same batch of rows), and with
+    keep_ids the ids themselves as bytes.
     """
 
     def rows(batch: pa.RecordBatch) -> dict:
-        bpe, out = byte_bpe(tokenizer), {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-        end = np.array([end_id], dtype="<u4")
+        bpe, out = byte_bpe(tokenizer), {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "repeat", "ids")}
+        end, seen = np.array([end_id], dtype="<u4"), Counter()
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
             ids = np.concatenate([bpe.ids(text), end])
             for start in range(0, len(ids), window):
                 piece = ids[start : start + window].tobytes()
-                for k, v in (("doc_id", doc), ("start", start), ("length", len(piece) // 4), ("ids_crc32", zlib.crc32(piece)), ("doc_tokens", len(ids))):
+                same = doc, start, zlib.crc32(piece)
+                for k, v in (("doc_id", doc), ("start", start), ("length", len(piece) // 4), ("ids_crc32", same[2]), ("doc_tokens", len(ids)), ("repeat", seen[same])):
                     out[k].append(v)
+                seen[same] += 1
                 if keep_ids:
                     out["ids"].append(piece)
         return out
 
-    return map_rows(doc_texts(docs), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids, rows)
+    return map_rows(doc_texts(docs), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, repeat long" + ", ids binary" * keep_ids, rows)
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, keep_ids: bool = False, group_docs: int = GROUP_DOCS) -> DataFrame:
     """cut_pieces() with sequence_id and offset: which window a piece lies in and from where.
 
     Pieces are dealt by a hash of their content to about one group for `group_docs` documents, and
-    come in the order of that hash; so the same table gives the same windows however it is stored.
-    sequence_id is group * 2^32 + number within the group. A null text is empty (only the end id),
-    a null doc_id stays null, equal rows are packed each on their own, an empty table gives no row.
+    come in the order of that hash; so the same table gives the same windows however it is stored
+    (repeated rows are told apart by their place in their batch, so that they spread over groups,
+    too: tables with such may give other windows when stored otherwise). sequence_id is
+    group * 2^32 + number within the group. A null text is empty (only the end id), a null doc_id
+    stays null, equal rows are packed each on their own, an empty table gives no row.
     One count of the rows and one shuffle of the piece table (without texts).
     """
     groups = max(1, math.ceil(docs.count() / group_docs))
     pieces = cut_pieces(docs, tokenizer, window, end_id, keep_ids)
-    mixed = pieces.withColumn("_order", F.xxhash64("doc_id", "start", "ids_crc32"))
+    mixed = pieces.withColumn("_order", F.xxhash64("doc_id", "start", "ids_crc32", "repeat"))
     dealt = mixed.withColumn("_group", F.pmod(F.col("_order"), F.lit(groups)))
     ordered = dealt.repartition("_group").sortWithinPartitions("_group", "_order", "doc_id", "start", "ids_crc32")
-    names = [*pieces.columns]
+    names = [c for c in pieces.columns if c != "repeat"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer = None, SumOfSquares(window)
@@ -166,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, k
             sequence, offset = zip(*where, strict=True) if where else ((), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*names).schema)
     return ordered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
