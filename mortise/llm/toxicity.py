@@ -30,6 +30,8 @@ SEARCH = {"window_log": 15, "chain_log": 15, "hash_log": 14, "search_log": 5, "m
 GRAM, SHARE, TIMES = 5, 0.02, 8
 #: Labelled rows of each class that the model is fitted on, at most (least hash of doc_id first).
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
+#: Bytes of a text beyond which it is not learned from (scoring has no such bound).
+TEXT_BYTES = 1 << 18
 #: Min-hashes that tell near copies among them.
 MARKS = 16
 
@@ -179,17 +181,20 @@ def learns(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, text_bytes: int = TEXT_BYTES) -> Toxicity:
     """A model from labelled rows whose fold learns.
 
     At most toxic_rows and ordinary_rows of them, by the least hash of doc_id: ids are chosen from
-    the label table first, so only that many ids are broadcast and that many texts collected.
+    the label table first, so only that many ids are broadcast and that many texts collected. Of
+    the texts of a repeated id the least is learned from, and none of over text_bytes bytes. An id
+    with both labels is toxic; null ids, null labels and labels without a document teach nothing.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learns() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, ordinary_rows))]
     ids = F.broadcast(chosen[0].union(chosen[1]))
-    rows = doc_texts(docs).join(ids, "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    short = doc_texts(docs).where(F.octet_length("text") <= text_bytes)
+    rows = short.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
 
 
