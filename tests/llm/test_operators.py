@@ -281,6 +281,15 @@ def test_text_media_round_trip(docs, empty):
         full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         expected[i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == expected
+    # Grey values show as one histogram bin for each quarter of the range; the stored form is what a second storing gives.
+    for i, t, *_ in ROWS:
+        full = gif.padded(text_of(t).encode())
+        counts, media = [0] * gif.BINS, gif.store_bytes(full)
+        for v in full:
+            counts[21 * (v >> 6)] += 1
+        x = next(r for r in rows if r.payload_sha256 == hashlib.sha256(full).hexdigest() and r.n_bytes == len(text_of(t).encode()))
+        assert (x.media_bytes, x.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert len(full) > gif.ROW * gif.ROWS or x.feature == ",".join(map(str, counts))
     assert gif.media_features(empty).count() == 0
 
 

@@ -139,3 +139,87 @@ def test_texts_that_share_a_passage_are_apart():
     texts = [f"{shared} {line(r, 600)}" for _ in range(60)]
     assert toxicity.apart(texts) == texts
     assert toxicity.apart([texts[0], texts[0] + " more", texts[0], texts[1]]) == texts[:2]
+
+
+@pytest.mark.parametrize("parts", ["1", "6"])
+def test_rows_of_one_hot_id_are_cut_by_their_texts(spark, parts):
+    import hashlib
+
+    from mortise.llm import minhash, neighbours
+
+    r = random.Random(27)
+    rows = [(None, line(r, r.randint(0, 90))) for _ in range(150)] + [(7, r.choice("abcdé🙂") * r.randint(0, 5)) for _ in range(150)] + [(i, line(r, 40)) for i in range(-60, 60)] + [(None, "same")] * 30
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        texts = docs.select("text", F.coalesce("doc_id", F.lit(neighbours.NO_ID)).alias("_key"), F.substring("text", 1, neighbours.HEAD).alias("_head"))
+        cut = neighbours.cut_ranges(texts, neighbours.RANGES * int(parts))
+        got = sorted((x.doc_id is None, x.doc_id or 0, x.n_chars, x.edited_sha256) for x in minhash.edit_fingerprints(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(cut.heads[neighbours.NO_ID]) > 2 and len(cut.heads[7]) > 2
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    expected = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        expected.append((i is None, i or 0, len(t), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()))
+    assert got == sorted(expected)
+
+
+def test_sketches_are_those_of_a_plain_version():
+    from mortise.llm import minhash
+
+    def plain(hashes, bins, bits):
+        least = {}
+        for h in map(int, hashes):
+            at = h >> 64 - (bins.bit_length() - 1)
+            least[at] = min(least.get(at, h), h)
+        out = 0
+        for i in range(bins):
+            # An empty bin probes the others in an order of its own until one is filled.
+            probes = [i] if i in least else sorted(range(bins), key=lambda j: (minhash.donor_order(bins)[i, j], j))
+            low = least[next(j for j in probes if j in least)] & (1 << bits) - 1
+            for b in range(bits):
+                out = out << 1 | low >> b & 1
+        return out.to_bytes(bins * bits // 8, "big")
+
+    r = random.Random(28)
+    for n in (1, 2, 5, 40, 700):
+        h = minhash.shingle_hashes(" ".join(str(r.randrange(10**6)) for _ in range(n + 4)))
+        assert len(h) == n and minhash.sketch(h) == plain(h, minhash.BINS, minhash.BITS)
+
+
+def test_repeated_rows_are_packed_in_many_groups(spark):
+    from mortise.llm import packing
+    from mortise.llm.queries import BYTES
+
+    docs = spark.createDataFrame([(1, "one text")] * 400 + [(None, None)] * 200, "doc_id long, text string")
+    rows = packing.pack(docs.coalesce(1), BYTES, group_docs=20).collect()
+    groups = {}
+    for x in rows:
+        groups[x.sequence_id >> 32] = groups.get(x.sequence_id >> 32, 0) + 1
+    assert len(rows) == 600 and len(groups) > 20 and max(groups.values()) < 60
+    assert len({(x.sequence_id, x.offset) for x in rows}) == 600
+
+
+def test_learning_takes_one_bounded_text_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary: seen.append((list(toxic), list(ordinary))))
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * 50), (3, "c"), (3, "c"), (None, "d"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    learned = {r.doc_id for r in docs.where(toxicity.learns()).select("doc_id").distinct().collect()}
+    toxicity.fit(docs, labels, text_bytes=20)
+    toxic, ordinary = seen[0]
+    assert toxic == (["a"] if 1 in learned else []) and ordinary == [t for i, t in ((3, "c"), (4, "")) if i in learned] and len(learned & {1, 3, 4}) >= 2
+
+
+def test_shards_prune_files(spark, tmp_path):
+    from mortise.llm import hilbert
+
+    docs = spark.range(4096).selectExpr("(id * 7919) % 4096 as doc_id", "repeat('x', cast((id * 131) % 500 as int)) as text", "concat('s', id % 8) as source", "concat('l', (id div 8) % 4) as lang")
+    hilbert.write_shards(docs, str(tmp_path / "out"), count=64)
+    ends = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").agg(*(f(c).alias(f"{n}_{c}") for c in ("source", "lang", "doc_id") for n, f in (("low", F.min), ("high", F.max)))).collect()
+    read = {c: np.mean([sum(e[f"low_{c}"] <= v <= e[f"high_{c}"] for e in ends) / len(ends) for v in values]) for c, values in (("source", [f"s{i}" for i in range(8)]), ("lang", [f"l{i}" for i in range(4)]), ("doc_id", range(0, 4096, 97)))}
+    assert len(ends) == 64 and max(read.values()) < 0.7
