@@ -126,7 +126,7 @@ def _ready(lit: tuple, bound: set[str]) -> bool:
     return set(variables(lit[1:])) <= bound
 
 
-def _nothing(facts: Facts, lit: tuple) -> DataFrame:
+def nothing(facts: Facts, lit: tuple) -> DataFrame:
     """No bindings of a literal whose predicate has no facts."""
     spark = next(iter(facts.values())).sparkSession
     return spark.range(0).select(*(F.lit(None).cast("string").alias(column(v)) for v in dict.fromkeys(variables(lit[1:]))) or [F.lit(True).alias("v_")])
@@ -195,7 +195,7 @@ def conjunction(facts: Facts, body: tuple | list, rep: DataFrame | None = None,
     while waiting:
         lit = next((x for x in waiting if rows is not None and set(variables(x[1:])) & bound), waiting[0])
         waiting.remove(lit)
-        found = match(facts[lit[0]], lit[1:]) if lit[0] in facts else _nothing(facts, lit)
+        found = match(facts[lit[0]], lit[1:]) if lit[0] in facts else nothing(facts, lit)
         if rows is None:
             rows = found
         else:

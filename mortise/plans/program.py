@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mortise.operators.context import placement
 from mortise.operators.loops import rounds, settled
-from mortise.plans.compile import Facts, _value, column, conclusions, conjunction
+from mortise.plans.compile import Facts, _value, column, conclusions, conjunction, match, nothing
 from mortise.plans.lang import SPECIAL, Rule, is_var, plain, predicates, strata
 
 DELTA = "*"
@@ -266,11 +266,43 @@ def stamped(facts: Facts, condition: tuple, head: tuple, body: tuple, default: b
     return [Rule(put(head, by), put(body, by), default, " ".join([name, *map(str, by.values())]).strip()) for by in made]
 
 
+def tally(rule: Rule, facts: Facts) -> DataFrame | None:
+    """One row (firings, conclusions) of a rule without its firings: sums of products along its join tree.
+
+    A literal whose shared variables all stand in another one is counted by them and multiplied into
+    it, until only the literal that has the head's variables is left. None where that can't be said:
+    a predicate that is read twice (swapped grounds are one firing), special literals, a cycle, or a
+    head over several literals.
+    """
+    body = [x for x in rule.body if x[0] not in SPECIAL]
+    if not body or len(body) < len(rule.body) or len({x[0] for x in body}) < len(body):
+        return None
+    trees = [(match(facts[x[0]], x[1:]) if x[0] in facts else nothing(facts, x)).distinct().withColumn("_n", F.lit(1).cast("long")) for x in body]
+    has = [set(t.columns) - {"_n", "v_"} for t in trees]
+    root = next((i for i, c in enumerate(has) if {column(v) for v in _vars(rule.head[1:])} <= c), None)
+    if root is None:
+        return None
+    left = list(range(len(body)))
+    while len(left) > 1:
+        ear = next(((i, j, on) for i in left if i != root for j in left if j != i and (on := has[i] & set().union(*(has[k] for k in left if k != i))) <= has[j]), None)
+        if ear is None:
+            return None
+        i, j, on = ear
+        few = trees[i].groupBy(*sorted(on)).agg(F.sum("_n").alias("_m")).where("_m is not null")
+        trees[j] = (trees[j].join(few, sorted(on)) if on else trees[j].crossJoin(few)).withColumn("_n", F.col("_n") * F.col("_m")).drop("_m")
+        left.remove(i)
+    heads = trees[root].select(*(_value(x).alias(f"a{i}") for i, x in enumerate(rule.head[1:], 1)), "_n")
+    by = heads.groupBy(*heads.columns[:-1]).agg(F.sum("_n").alias("_n")).where("_n is not null")
+    return by.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("firings"), F.count("*").alias("conclusions"))
+
+
 def rule_report(rules: Iterable[Rule], facts: Facts) -> DataFrame:
     """(rule, firings, conclusions) of each rule over closed facts; an idle one has zeros."""
     out = None
     for r in rules:
-        rows = firings(r, facts).agg(F.count("*").alias("firings"), F.countDistinct("conseq").alias("conclusions"))
+        rows = tally(r, facts)
+        if rows is None:
+            rows = firings(r, facts).groupBy("conseq").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("firings"), F.count("*").alias("conclusions"))
         rows = rows.select(F.lit(r.name or r.head[0]).alias("rule"), "firings", "conclusions")
         out = rows if out is None else out.union(rows)
     return out

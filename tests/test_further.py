@@ -7,7 +7,7 @@ import pytest
 
 from mortise.operators import belief, qualitative, rewrite, scenarios
 from mortise.plans.lang import Rule
-from mortise.plans.program import definition, forward, rule_report, stamped
+from mortise.plans.program import definition, firings, forward, rule_report, stamped
 
 
 def rows(df):
@@ -38,6 +38,32 @@ def test_rule_report(spark):
     assert rows(rule_report(rules, facts)) == {("q", 2, 1), ("none", 0, 0)}
 
 
+def test_rule_report_without_firings(spark):
+    """Firings are counted along the join tree, as many as are listed; large products need no list."""
+    r = random.Random(5)
+    table = lambda n, m: spark.createDataFrame(sorted({(r.randrange(m), r.randrange(m)) for _ in range(n)}), "a1 long, a2 long")
+    facts = {"p": table(30, 8), "q": table(30, 8), "s": table(20, 8), "t": spark.createDataFrame([(1,), (None,), (2,)], "a1 long")}
+    bodies = [
+        (("q", "?x"), (("p", "?x", "?y"), ("q", "?z", "?y"), ("s", "?z", "?w"))),
+        (("h", "?y", "?z"), (("p", "?x", "?y"), ("q", "?z", "?y"), ("s", "?z", 3))),
+        (("h", "?x"), (("p", "?x", "?y"), ("t", "?z"))),
+        (("h", "?x", "?z"), (("p", "?x", "?y"), ("p", "?z", "?y"))),
+        (("h", "?x"), (("p", "?x", "?y"), ("q", "?y", "?z"), ("s", "?z", "?x"))),
+        (("h", "?x", "?w"), (("p", "?x", "?y"), ("q", "?y", "?w"))),
+        (("h", "?x"), (("p", "?x", "?y"), ("s", 99, "?z"))),
+        (("h", 7), (("p", "?x", "?y"), ("q", "?y", "?z"))),
+        (("h", "?x"), (("p", "?x", "?y"), ("absent", "?y"))),
+    ]
+    rules = [Rule(h, b, name=str(i)) for i, (h, b) in enumerate(bodies)]
+    listed = set()
+    for rule in rules:
+        made = firings(rule, facts).select("jid", "conseq").collect()
+        listed.add((rule.name, len(made), len({x.conseq for x in made})))
+    assert rows(rule_report(rules, facts)) == listed
+    wide = {"p": spark.range(100_000).selectExpr("id a1", "id % 2 a2"), "q": spark.range(100_000).selectExpr("id a1", "id % 2 a2")}
+    assert rows(rule_report([Rule(("h", "?x"), (("p", "?x", "?n"), ("q", "?y", "?n")))], wide)) == {("h", 5_000_000_000, 100_000)}
+
+
 def test_rewriting(spark):
     rules = rewrite.oriented([("?x", "(plus ?x zero)"), ("(pred (succ ?x))", "?x")])
     assert rules[0][1] == "?x"
