@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Truncated(RuntimeError):
@@ -51,5 +53,6 @@ def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], mos
     for i in rounds(most):
         if i == depth or delta.isEmpty():
             return known
-        delta = settled(step(delta, known).select(*columns).distinct().join(known, columns, "left_anti"))
+        same = reduce(lambda a, b: a & b, (F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in columns))
+        delta = settled(step(delta, known).select(*columns).distinct().alias("new").join(known.alias("old"), same, "left_anti"))
         known = known.union(delta)

@@ -9,8 +9,10 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mortise.operators.closure import components
 from mortise.operators.context import placement
-from mortise.operators.loops import rounds, settled
+from mortise.operators.loops import grow, rounds, settled
+from mortise.operators.meet import met, minus, spread
 from mortise.plans.compile import Facts, _value, column, conclusions, conjunction, match, nothing
 from mortise.plans.lang import SPECIAL, Rule, is_var, plain, predicates, strata
 
@@ -82,6 +84,70 @@ def extended(closed: Facts, rules: Iterable[Rule], added: Facts | None = None, n
     return known
 
 
+def _linear(rule: Rule) -> str | None:
+    """The relation q of a rule p(x, z) <- p(x, y), q(y, z)."""
+    if len(rule.head) != 3 or len(rule.body) != 2 or rule.exceptions:
+        return None
+    (x, z), p = rule.head[1:], rule.head[0]
+    for first, second in (rule.body, rule.body[::-1]):
+        if len(first) == len(second) == 3 and first[0] == p != second[0] and second[0] not in SPECIAL:
+            y = first[2]
+            if all(map(is_var, (x, y, z))) and len({x, y, z}) == 3 and first[1] == x and second[1:] == (y, z):
+                return second[0]
+    return None
+
+
+def _blocks(rule: Rule) -> tuple[tuple, list[str], str] | None:
+    """(literal, keys, member) of a rule q(x, y) <- r(x, keys), r(y, keys), which relates all members of a block."""
+    if len(rule.head) != 3 or len(rule.body) != 2 or rule.exceptions or rule.body[0][0] in SPECIAL:
+        return None
+    (x, y), (one, two) = rule.head[1:], rule.body
+    if not (is_var(x) and is_var(y)) or x == y or one.count(x) != 1 or y in one or tuple(y if a == x else a for a in one) != two or "..." in one:
+        return None
+    keys = [v for v in dict.fromkeys(one[1:]) if is_var(v) and v != x]
+    return (one, keys, x) if keys else None
+
+
+def _of_blocks(block: tuple[tuple, list[str], str], facts: Facts) -> DataFrame:
+    """(a1, a2): members of blocks that are connected over blocks; a null member belongs to its block and connects none."""
+    literal, keys, member = block
+    keys = [column(v) for v in keys]
+    rows = (match(facts[literal[0]], literal[1:]) if literal[0] in facts else nothing(facts, literal)).dropna(subset=keys).withColumnRenamed(column(member), "y")
+    low = spread(rows, *keys).groupBy(*keys).agg(F.min("y").alias("low"), F.max(F.col("y").isNull()).alias("odd"))
+    linked = rows.join(low.select(*keys, "low"), keys).where("y is not null").select(F.col("low").alias("a"), F.col("y").alias("b"))
+    linked = settled(linked.distinct())
+    names = components(linked).select(F.col("term").alias("b"), "rep")
+    classes = settled(linked.select("b").distinct().join(names, "b", "left").select(F.coalesce("rep", "b").alias("c"), "b"))
+    # Blocks with a null member give their class one; if none has other members, it is alone.
+    odd = low.where("odd").select(F.col("low").alias("b")).distinct().join(classes, "b", "left").select("c", F.lit(None).cast(classes.schema["b"].dataType).alias("b"))
+    odd = settled(odd.distinct())
+    alone = odd.groupBy().agg(F.count("*").alias("n"), F.count("c").alias("k"), F.max("b").alias("b")).where("n > 0 and k = 0").select("b", "b")
+    every = classes.union(odd.where("c is not null"))
+    return met(every.withColumnRenamed("b", "a1"), every.withColumnRenamed("b", "a2"), ["c"]).select("a1", "a2").union(alone)
+
+
+def _reached(stated: DataFrame, relation: DataFrame, most: int | None) -> DataFrame:
+    """(a1, a2) of a linear rule p <- p q: pairs of p, followed by any number of q's.
+
+    Members that q relates in both directions are one class: (x, class) is closed over q between
+    classes, and classes are spelled out once, at the end.
+    """
+    pair = lambda df, a, b: df.select(F.col(df.columns[0]).alias(a), F.col(df.columns[1]).alias(b))
+    stated, edges = settled(pair(stated, "x", "y").distinct()), settled(pair(relation, "y", "z").where("y is not null").distinct())
+    ends = edges.where("z is not null")
+    twins = ends.join(ends.select(F.col("z").alias("y"), F.col("y").alias("z")), ["y", "z"]).where("y < z")
+    names = components(twins.select(F.col("y").alias("a"), F.col("z").alias("b"))).select(F.col("term").alias("y"), "rep")
+    classes = settled(edges.select("y").union(ends.select("z")).distinct().join(names, "y", "left").select("y", F.coalesce("rep", "y").alias("c")))
+    between = ends.join(classes, "y").select(F.col("c").alias("a"), F.col("z").alias("y")).join(classes, "y").select("a", F.col("c").alias("b"))
+    between = settled(between.where("a <> b").distinct())
+    at = grow(stated.join(classes, "y").select("x", "c").distinct(), lambda delta, _: delta.join(between, F.col("c") == F.col("a")).select("x", F.col("b").alias("c")), most)
+    # What q relates to null belongs to a class's members; nothing follows a pair whose second has no class.
+    members = classes.select("c", F.col("y").alias("z")).union(edges.where("z is null").join(classes, "y").select("c", "z").distinct())
+    out = met(at, members, ["c"]).select("x", "z")
+    out = out if edges.where("z is null").isEmpty() else out.distinct()
+    return minus(stated, out.select("x", F.col("z").alias("y")), ["x", "y"]).union(out).toDF("a1", "a2")
+
+
 def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, most: int | None = None, conclude: Conclude = conclusions) -> dict[str, DataFrame]:
     """All facts with what the rules conclude, as predicate -> (a1, a2, ...).
 
@@ -90,6 +156,9 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
     that growth only; what is known is anti-joined, so cycles end. No new row ends the loop. A rule
     over a predicate without facts is idle. Rules that make new numbers may never end: `most` bounds
     their rounds and raises. Backward and inert rules don't take part.
+
+    A stratum of one linear rule, p <- p q, is closed over classes of members that q relates in both
+    directions; of a q that relates the members of blocks, not even its pairs are listed.
     """
     known = dict(facts)
     rules = [r for r in rules if r.direction in ("forward", "both")]
@@ -105,9 +174,21 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
                 for x in parts:
                     new = new.unionByName(x)
                 new = new.distinct()
-                known[p] = settled(new) if readers[p] > 1 else new
+                # What relates the members of blocks stays a plan, as its pairs may be far more than its facts.
+                known[p] = settled(new) if readers[p] > 1 and not (conclude is conclusions and any(map(_blocks, ready))) else new
         if not waiting:
             continue
+        if conclude is conclusions and len(waiting) == 1 and (q := _linear(waiting[0])) in known and len(known[q].columns) == 2:
+            p = waiting[0].head[0]
+            makers, starts = ([r for r in rules if _functor(r) == x] for x in (q, p))
+            block = _blocks(makers[0]) if len(makers) == 1 and q not in facts else None
+            copies = p not in facts and len(starts) > 1 and all(r is waiting[0] or (not r.exceptions and r.body == ((q, *r.head[1:]),) and len(set(_vars(r.head[1:]))) == 2) for r in starts)
+            if block and copies:
+                known[p] = settled(_of_blocks(block, known)) if readers[p] > 2 else _of_blocks(block, known)
+                continue
+            if p in known and len(known[p].columns) == 2:
+                known[p] = _reached(known[p], known[q], most)
+                continue
         found: dict[str, list[DataFrame]] = {}
         for r in waiting:
             found.setdefault(_functor(r), []).append(conclude(r, known, rep))

@@ -183,3 +183,41 @@ def test_feed_follows_a_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert seen == [(0, [(2, "added")]), ("big", 0), (1, [(2, "removed"), (7, "added")]), ("big", 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_linear_closure_over_classes(spark, seed):
+    """p <- p q and closures of blocks give all pairs, without a round for each step of a block."""
+    r, n = random.Random(seed), 14
+    edge = {(r.randrange(n), r.randrange(n)) for _ in range(12)}
+    edge |= {(b, a) for a, b in list(edge)[:6]} | {(3, None), (None, 4)}
+    start = {(r.choice([None, *range(n)]), r.choice([None, *range(n + 3)])) for _ in range(9)}
+    table = lambda x: spark.createDataFrame(sorted(x, key=str), "a1 long, a2 long")
+    got = forward({"s": table(start), "q": table(edge)}, [Rule(("p", "?x", "?y"), (("s", "?x", "?y"),)), Rule(("p", "?a", "?c"), (("q", "?b", "?c"), ("p", "?a", "?b")))])["p"].collect()
+    want = set(start)
+    while more := {(x, z) for x, y in want for a, z in edge if y == a and y is not None} - want:
+        want |= more
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    owns = {(r.choice([None, *range(n)]), r.choice([None, *range(7)])) for _ in range(16)} | ({(None, 99)} if seed else set())
+    rules = [Rule(("shares", "?x", "?y"), (("owns", "?x", "?k"), ("owns", "?y", "?k"))), Rule(("reach", "?x", "?y"), (("shares", "?x", "?y"),)), Rule(("reach", "?x", "?z"), (("reach", "?x", "?y"), ("shares", "?y", "?z")))]
+    got = forward({"owns": table(owns)}, rules)["reach"].collect()
+    shares = {(a, b) for a, k in owns for b, m in owns if k == m and k is not None}
+    want = set(shares)
+    while more := {(x, z) for x, y in want for a, z in shares if y == a and y is not None} - want:
+        want |= more
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    alone = forward({"owns": table({(None, 1), (None, 2)})}, rules)["reach"].collect()
+    assert [tuple(x) for x in alone] == [(None, None)]
+
+
+def test_hot_keys_are_dealt(spark):
+    """A key of many pairs is cut into chunks; all pairs come, none twice."""
+    from mortise.operators.meet import met
+
+    left, right = ([(i, None if i % 50 == 0 else 7 if i % 3 else i % 5, v) for i in range(200)] for v in ("l", "r"))
+    a, b = spark.createDataFrame(left, "x long, k long, l string"), spark.createDataFrame(right, "y long, k long, r string")
+    want = sorted((x, y) for x, k, _ in left for y, m, _ in right if k == m and k is not None)
+    for pairs in (100, 10_000_000):
+        assert sorted((t.x, t.y) for t in met(a, b, ["k"], pairs).collect()) == want
+    sizes = met(a, b, ["k"], 100).rdd.glom().map(len).collect()
+    assert max(sizes) < len(want) / 8
