@@ -15,13 +15,16 @@ BYTES, PAIRS, MOST = 1 << 22, 1 << 22, 4000
 
 
 def parts(df: DataFrame) -> int:
-    """Partitions for the rows of a plan, by the bytes of the files that it reads; 1 where none are known."""
-    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    """Partitions for the rows of a plan: by the bytes of the files that it reads, and as many as checkpointed rows have."""
+    leaves, total, most = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0, 1
     for i in range(leaves.size()):
-        n = int(str(leaves.apply(i).stats().sizeInBytes()))
-        total += n if n < 1 << 60 else 0
+        kind = leaves.apply(i).getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
+        elif kind == "LogicalRDD":
+            most = max(most, leaves.apply(i).rdd().getNumPartitions())
     some = min(df.sparkSession.sparkContext.defaultParallelism, ceil(total * 4 / BYTES))
-    return max(1, min(MOST, max(some, ceil(total / BYTES))))
+    return min(MOST, max(most, some, ceil(total / BYTES)))
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

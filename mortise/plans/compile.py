@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mortise.functions.scalar import evaluate
+from mortise.operators.loops import settled
+from mortise.operators.meet import met, minus, spread
 from mortise.operators.terms import minted
 from mortise.plans.lang import AGGREGATES, COMPARE, SPECIAL, Rule, is_var, plain, predicates, variables
 
@@ -178,8 +181,8 @@ def query_plan(facts: Facts, body: tuple | list) -> DataFrame:
     return next(iter(facts.values())).sparkSession.createDataFrame(rows, "step int, literal string, rows double")
 
 
-def conjunction(facts: Facts, body: tuple | list, rep: DataFrame | None = None, stats: dict | None = None) -> DataFrame:
-    """Distinct bindings of a conjunction as columns v_<name>.
+def conjunction(facts: Facts, body: tuple | list, rep: DataFrame | None = None, stats: dict | None = None, whole: bool = True) -> DataFrame:
+    """Distinct bindings of a conjunction as columns v_<name>; without `whole` they may repeat, for callers that cut them down.
 
     Positive literals join on shared variables, connected ones first, so a product only comes
     where the goal has disconnected blocks; with `stats` in their planned order. Comparisons,
@@ -214,13 +217,67 @@ def conjunction(facts: Facts, body: tuple | list, rep: DataFrame | None = None,
             raise ValueError(f"{late[0][0]}: its inputs aren't bound")
         rows, late = _apply(rows, lit, facts, rep), [y for y in late if y is not lit]
         bound |= set(variables(lit[1])) if lit[0] in ("evaluate", *AGGREGATES) else set()
-    return rows.distinct()
+    return rows.distinct() if whole else rows
+
+
+def _split(found: DataFrame, kept: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(single, several): the distinct rows whose kept columns have no other row, and all rows of the other ones, None if there are none."""
+    free = [c for c in found.columns if c not in kept]
+    if not free:
+        return spread(found).distinct(), None
+    facts = [f(c).alias(f"{n}_{c}") for c in free for n, f in (("_lo", F.min), ("_hi", F.max), ("_n", F.count))]
+    by = settled(spread(found, *kept).groupBy(*kept).agg(F.count("*").alias("_all"), *facts))
+    one = reduce(lambda a, b: a & b, (F.col(f"_lo_{c}").eqNullSafe(F.col(f"_hi_{c}")) & F.col(f"_n_{c}").isin(0, F.col("_all")) for c in free))
+    single, others = by.where(one).select(*kept, *(F.col(f"_lo_{c}").alias(c) for c in free)).select(*found.columns), by.where(~one).select(*kept)
+    return single, None if others.isEmpty() else minus(found, single, kept)
+
+
+def _paired(facts: Facts, body: list, names: list[str], rep: DataFrame | None) -> DataFrame | None:
+    """Distinct answers of two literals that share variables, or None if a goal has another form.
+
+    Rows of a literal that are the only one with their kept variables can't give an answer twice, so
+    their pairs need no distinct; those of all other rows do. What `different` compares is taken to
+    its representatives before the join, which is dealt by the pairs that it gives.
+    """
+    literals, late = [x for x in body if x[0] not in SPECIAL], [x for x in body if x[0] in SPECIAL]
+    if len(literals) != 2 or any(x[0] not in facts for x in literals) or any(x[0] not in (*COMPARE, "different") for x in late):
+        return None
+    sides = [match(facts[x[0]], x[1:]) for x in literals]
+    kept = [[c for c in df.columns if c[2:] in names] for df in sides]
+    on = [c for c in sides[0].columns if c in sides[1].columns]
+    have = {*sides[0].columns, *sides[1].columns}
+    if not on or not all(kept) or "v_" in on or not {column(v) for x in late for v in variables(x[1:])} | {f"v_{n}" for n in names} <= have or have <= {f"v_{n}" for n in names}:
+        return None
+    if any(kind.startswith("map") or "variant" in kind for df in sides for _, kind in df.dtypes):
+        return None
+    if rep is not None:
+        terms = [column(v) for x in late if x[0] == "different" for v in x[1:] if is_var(v)]
+        if any(not is_var(v) for x in late if x[0] == "different" for v in x[1:]):
+            return None
+        for c in dict.fromkeys(terms):
+            i = 0 if c in sides[0].columns else 1
+            sides[i] = sides[i].join(rep.select(F.col("term").alias(c), F.col("rep").alias(f"_r{c}")), c, "left").withColumn(f"_r{c}", F.coalesce(f"_r{c}", c))
+    (one, more), (two, others) = (_split(df, k) for df, k in zip(sides, kept, strict=True))
+
+    def held(rows: DataFrame) -> DataFrame:
+        for x in late:
+            if x[0] == "different" and rep is not None:
+                rows = rows.where(F.col(f"_r{column(x[1])}") != F.col(f"_r{column(x[2])}"))
+            else:
+                rows = _apply(rows, x, facts, None)
+        return rows.select(*(F.col(f"v_{n}") for n in names))
+
+    out = held(met(one, two, on))
+    rest = [held(met(a, b, on)) for a, b in ((more, sides[1]), (one, others)) if a is not None and b is not None]
+    return out.union(reduce(DataFrame.union, rest).distinct()) if rest else out
 
 
 def answer(facts: Facts, goal: tuple | list, names: list[str] | None = None, rep: DataFrame | None = None) -> DataFrame:
     """The goal's bindings, cut to its variables (or `names`), distinct, with the variables' own names."""
     goal = [goal] if isinstance(goal, tuple) and isinstance(goal[0], str) else list(goal)
-    rows = conjunction(facts, goal, rep)
+    if names and (pairs := _paired(facts, plain(goal), list(dict.fromkeys(names)), rep)) is not None:
+        return pairs.select(*(F.col(f"v_{n}").alias(n) for n in names))
+    rows = conjunction(facts, goal, rep, whole=False)
     names = names or [c[2:] for c in rows.columns if c != "v_"]
     return rows.select(*(F.col(f"v_{n}").alias(n) for n in names)).distinct()
 
@@ -249,7 +306,7 @@ def subsumed(facts: Facts, below: DataFrame | list[tuple[str, str]]) -> dict[str
 
 def conclusions(rule: Rule, facts: Facts, rep: DataFrame | None = None) -> DataFrame:
     """What a rule concludes, as (a1, a2, ...) rows: its body, without bindings for which an exception holds."""
-    rows = conjunction(facts, list(rule.body), rep)
+    rows = conjunction(facts, list(rule.body), rep, whole=False)
     for e in rule.exceptions:
         rows = _apply(rows, ("unknown", list(e)), facts, rep)
     return rows.select(*(_value(x).alias(f"a{i}") for i, x in enumerate(rule.head[1:], 1))).distinct()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mortise.operators import belief, closure, metric_time
-from mortise.plans.compile import query_plan
+from mortise.plans.compile import answer, query_plan
 from mortise.plans.kb import KB
 from mortise.plans.lang import Rule, canonical, plain
 from mortise.plans.program import forward, forward_in, unfold
@@ -134,3 +134,32 @@ def test_overlap_window(spark):
     spans = spark.createDataFrame([("a", 0.0, 1.0, 5.0, 6.0), ("b", 4.0, 4.0, 9.0, 9.0), ("c", 7.0, 8.0, 9.0, 9.0)], "i string, start_lo double, start_hi double, end_lo double, end_hi double")
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "z")], "i string, j string")
     assert rows(metric_time.overlap_window(spans, pairs)) == {("a", "b", 1.0, 2.0), ("a", "c", 0.0, 0.0)}
+
+
+def test_pairs_of_two_literals(spark):
+    """Answers of two literals that share variables are distinct, also where what is cut off has several values, repeats or is null."""
+    r = random.Random(11)
+    pick = lambda n: r.choice([None, *range(n)])
+    for n in (3, 40):
+        p, q = ([(pick(9), pick(n), pick(4)) for _ in range(40)] for _ in range(2))
+        p += p[:5]
+        facts = {k: spark.createDataFrame(v, "a1 long, a2 long, a3 long") for k, v in (("p", p), ("q", q))}
+        for a, b in ((p, q), (p, p)):
+            goal = [("p", "?x", "?k", "?u"), ("q" if b is q else "p", "?y", "?k", "?w")]
+            some = [(x, u, y, w) for x, k, u in a for y, m, w in b if k == m and k is not None]
+            for extra, keep in (([], lambda t: True), ([("lessThan", "?u", "?w")], lambda t: None not in (t[1], t[3]) and t[1] < t[3]), ([("different", "?x", "?y")], lambda t: None not in (t[0], t[2]) and t[0] != t[2])):
+                got = answer(facts, goal + extra, ["x", "y"]).collect()
+                want = {(t[0], t[2]) for t in some if keep(t)}
+                assert len(got) == len(want) and {tuple(t) for t in got} == want
+    named = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, 5, "c"), (4, 5, None), (5, 6, "a"), (1, 5, "c")], "a1 long, a2 long, a3 string")
+    rep = spark.createDataFrame([("a", "a"), ("b", "a")], "term string, rep string")
+    got = answer({"n": named}, [("n", "?x", "?k", "?s"), ("n", "?y", "?k", "?t"), ("different", "?s", "?t")], ["x", "y"], rep).collect()
+    assert sorted(tuple(t) for t in got) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
+def test_pairs_need_no_distinct(spark):
+    """Pairs over few hot values come from the join as they are: nothing after it is dealt or aggregated again."""
+    facts = {"p": spark.range(2000).selectExpr("id a1", "id % 2 a2").distinct()}
+    plan = answer(facts, [("p", "?x", "?n"), ("p", "?y", "?n"), ("different", "?x", "?y")], ["x", "y"])
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text[: text.index("Join Inner")] and plan.count() == 2 * 1000 * 999
