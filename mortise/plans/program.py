@@ -239,12 +239,30 @@ def sid(predicate: str, args: list) -> F.Column:
 
 
 def firings(rule: Rule, facts: Facts, rep: DataFrame | None = None) -> DataFrame:
-    """Justifications of one rule: (jid, rule, conseq, ante array, s), one for each set of grounds."""
-    rows = conjunction(facts, list(rule.body), rep)
-    grounds = [sid(x[0], [_value(a) for a in x[1:]]) for x in rule.body if x[0] not in SPECIAL]
-    made = rows.select(sid(rule.head[0], [_value(a) for a in rule.head[1:]]).alias("conseq"), F.array_sort(F.array(*grounds)).alias("ante"))
+    """Justifications of one rule: (jid, rule, conseq, ante array, s), one for each set of grounds.
+
+    Bindings are made distinct before they get their long keys. Where two bindings may have the same
+    grounds (a predicate read twice, texts with spaces, nulls, which keys leave out), their keys are, too.
+    """
+    rows = spread(conjunction(facts, list(rule.body), rep, whole=False)).distinct()
+    read = [x for x in rule.body if x[0] not in SPECIAL]
+    grounds = [sid(x[0], [_value(a) for a in x[1:]]) for x in read]
     name = rule.name or rule.head[0]
-    return made.select(F.sha2(F.concat_ws("|", F.lit(name), "conseq", F.concat_ws(",", "ante")), 256).alias("jid"), F.lit(name).alias("rule"), "conseq", "ante", F.lit(1 if rule.default else 2).alias("s")).distinct()
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        made = rows.select(sid(rule.head[0], [_value(a) for a in rule.head[1:]]).alias("conseq"), F.array_sort(F.array(*grounds)).alias("ante"))
+        return made.select(F.sha2(F.concat_ws("|", F.lit(name), "conseq", F.concat_ws(",", "ante")), 256).alias("jid"), F.lit(name).alias("rule"), "conseq", "ante", F.lit(1 if rule.default else 2).alias("s"))
+
+    said = {column(v) for x in read for v in _vars(x[1:])}
+    plain_words = len({x[0] for x in read}) == len(read) and "..." not in _words(read) and said == set(rows.columns) - {"v_"}
+    if not plain_words or not said or any(kind not in ("tinyint", "smallint", "int", "bigint", "boolean", "date", "double") for c, kind in rows.dtypes if c in said):
+        return keyed(rows).distinct()
+    gaps = " or ".join(f"`{c}` is null" for c in sorted(said))
+    return keyed(rows.where(f"not ({gaps})")).union(keyed(rows.where(gaps)).distinct())
+
+
+def _words(x: object) -> set:
+    return {w for y in x for w in _words(y)} if isinstance(x, tuple | list) else {x}
 
 
 def unfold(goal: tuple | list, rules: Iterable[Rule], depth: int, stored: Iterable[str] | None = None) -> list[list[tuple]]:

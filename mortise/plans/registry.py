@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mortise.functions import measures
 from mortise.operators import belief, closure, constraints, context, metric_time, qualitative, solve, terms
+from mortise.operators.meet import spread
 from mortise.plans.compile import answer
 from mortise.plans.kb import KB
 from mortise.plans.lang import Rule
@@ -45,7 +46,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def rel(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     """Distinct columns of a table as a predicate (a1, a2, ...)."""
-    return read(spark, sf, name).select(*(F.col(c).alias(f"a{i}") for i, c in enumerate(columns, 1))).distinct()
+    return spread(read(spark, sf, name).select(*(F.col(c).alias(f"a{i}") for i, c in enumerate(columns, 1)))).distinct()
 
 
 def trade(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

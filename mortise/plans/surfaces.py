@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mortise.operators import belief, closure, constraints, context, metric_time, qualitative, solve, terms
+from mortise.operators.meet import spread
 from mortise.plans import abduce, census
 from mortise.plans.compile import answer
 from mortise.plans.further import chained
@@ -182,7 +183,9 @@ def e3(spark, sf):
 def e4(spark, sf):
     rule = Rule(("suppliedFrom", "?p", "?n"), (("supplies", "?s", "?p"), ("inNation", "?s", "?n")), name="from")
     made = KB(spark, {k: v for k, v in trade(spark, sf).items() if k in ("supplies", "inNation")}, (rule,)).justifications()
-    return made.groupBy("rule").agg(F.countDistinct("jid").alias("n"), F.countDistinct("conseq").alias("heads"), F.max(F.size("ante")).alias("grounds"))
+    # Each justification is one row, so only what they conclude has to be told apart.
+    heads = spread(made.select("rule", "conseq", F.size("ante").alias("grounds")), "rule", "conseq").groupBy("rule", "conseq").agg(F.count("*").alias("n"), F.max("grounds").alias("grounds"))
+    return heads.groupBy("rule").agg(F.sum("n").alias("n"), F.count("*").alias("heads"), F.max("grounds").alias("grounds"))
 
 
 @query("e6_directed", "SELECT DISTINCT 'audit' AS ctx, s_suppkey AS s FROM supplier")

@@ -64,6 +64,28 @@ def test_rule_report_without_firings(spark):
     assert rows(rule_report([Rule(("h", "?x"), (("p", "?x", "?n"), ("q", "?y", "?n")))], wide)) == {("h", 5_000_000_000, 100_000)}
 
 
+def test_firings_are_one_for_each_set_of_grounds(spark):
+    """Also where nulls, spaces or a predicate read twice give the same grounds; whole numbers need no distinct over keys."""
+    numbers = {"p": spark.createDataFrame([(1, None, 5), (1, 5, None), (1, 5, 6), (2, 5, 6), (1, 5, 6)], "a1 long, a2 long, a3 long"), "q": spark.createDataFrame([(1,), (2,)], "a1 long")}
+    words = {"p": spark.createDataFrame([("a b", "c"), ("a", "b c"), ("a", "b")], "a1 string, a2 string")}
+    cases = [(Rule(("h", "?x"), (("p", "?x", "?y", "?z"), ("q", "?x"))), numbers, 3), (Rule(("h", 1), (("p", "?x", "?y"),)), words, 2), (Rule(("h", "?z"), (("q", "?x"), ("q", "?z"))), numbers, 4), (Rule(("h", 1), (("q", "?x"), ("q", "?z"))), numbers, 3)]
+    for rule, facts, n in cases:
+        made = firings(rule, facts).collect()
+        assert len(made) == len({x.jid for x in made}) == n
+    text = firings(Rule(("h", "?x"), (("q", "?x"),)), numbers)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text[: text.index("sha2")]
+
+
+def test_dealt_by_size(spark, tmp_path):
+    """Tables, mirrored pairs and firings are dealt into partitions in proportion to what is read; small ones stay."""
+    from mortise.operators import meet
+
+    spark.range(200_000).selectExpr("id a", "xxhash64(id) b").repartition(1).write.parquet(str(tmp_path / "big"))
+    df = spark.read.parquet(str(tmp_path / "big"))
+    assert meet.parts(spark.range(9)) == 1 and meet.parts(df) > 1 and meet.parts(df.union(df)) > meet.parts(df)
+    assert meet.spread(df).rdd.getNumPartitions() == meet.parts(df) and meet.spread(spark.range(9)).rdd.getNumPartitions() == spark.range(9).rdd.getNumPartitions()
+
+
 def test_rewriting(spark):
     rules = rewrite.oriented([("?x", "(plus ?x zero)"), ("(pred (succ ?x))", "?x")])
     assert rules[0][1] == "?x"
