@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mortise.operators.loops import rounds, settled
+from mortise.operators.meet import spread
 
 
 def transitive(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def members(instances: DataFrame, up: DataFrame) -> DataFrame:
 
 def mirrored(pairs: DataFrame) -> DataFrame:
     """A symmetric relation: both directions of (a, b)."""
-    return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return spread(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))).distinct()
 
 
 def components(edges: DataFrame, preferred: DataFrame | None = None, most: int | None = None) -> DataFrame:
