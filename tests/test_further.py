@@ -5,7 +5,8 @@ from itertools import product
 
 import pytest
 
-from mortise.operators import belief, qualitative, rewrite, scenarios
+from mortise.operators import belief, closure, qualitative, rewrite, scenarios
+from mortise.plans import registry
 from mortise.plans.lang import Rule
 from mortise.plans.program import definition, firings, forward, rule_report, stamped
 
@@ -84,6 +85,8 @@ def test_dealt_by_size(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "big"))
     assert meet.parts(spark.range(9)) == 1 and meet.parts(df) > 1 and meet.parts(df.union(df)) > meet.parts(df)
     assert meet.spread(df).rdd.getNumPartitions() == meet.parts(df) and meet.spread(spark.range(9)).rdd.getNumPartitions() == spark.range(9).rdd.getNumPartitions()
+    for made in (closure.mirrored(df), registry.rel(spark, "/root/testdata/sf0.1", "lineitem", "l_suppkey", "l_partkey")):
+        assert "RepartitionByExpression" in made._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_rewriting(spark):
