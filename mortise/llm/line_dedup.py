@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from math import ceil, comb, log
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ from mortise.llm.minhash import mix
 CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
 #: Most hashes that give a bit to a line's sketch, and how seldom a similar pair's sketches may lie too far apart.
 SKETCH, MISS = 48, 1e-5
-#: Code points hashed at a time.
-PART = 1 << 16
+#: Code points hashed at a time, and for how many times as many the lines are held.
+PART, MANY = 1 << 16, 64
 #: Lines of a bucket that are checked in one task.
 CHUNK = 1024
+#: Parcels that band rows are dealt in, band rows that are packed at once, those of a parcel that are sorted in memory, and sorted ones that are looked through at once.
+PARCELS, PACKED, SORTED, AT_ONCE = 2048, 1 << 17, 1 << 21, 1 << 14
 #: Lines of a bucket whose sketches are compared at once; larger buckets go to the exact check as they are.
 SKETCHES = 4096
 #: Stands for a null doc_id, which comes last.
@@ -250,39 +254,151 @@ def occurrences(docs: DataFrame, wanted: Membership | None = None) -> DataFrame:
     return map_rows(doc_texts(docs), "line long, doc long, body long, number int", rows)
 
 
-def _lines_by(docs: DataFrame, schema: str, emit) -> DataFrame:
-    """emit(lines, keys, again) -> columns over the different lines of each batch, in parts of bounded length.
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[str], dict[str, bool], bool]]:
+    """(new, seen, last) of the different lines of the batches, in parts of bounded length.
 
-    again: whether the line has come before in the batch.
+    seen: the lines up to here, and whether they have come again; it begins anew after `last`, which
+    comes with `most` lines, with MANY parts' code points and at the end. new: those that the part adds.
     """
+    new, seen, points, total = [], {}, 0, 0
+    for batch in slices(batches):
+        for text in texts_of(batch.column("text")):
+            for line in normal_lines(text):
+                if line in seen:
+                    seen[line] = True
+                elif line:
+                    seen[line] = False
+                    new.append(line)
+                    points += len(line)
+            if points >= PART:
+                total += points
+                full = len(seen) >= most or total >= MANY * PART
+                yield new, seen, full
+                new, seen, points, total = [], {} if full else seen, 0, 0 if full else total
+    if seen:
+        yield new, seen, True
+
+
+def _lines_by(docs: DataFrame, schema: str, emit) -> DataFrame:
+    """emit(lines, keys) -> columns over the different lines of each batch, in parts of bounded length."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def made(part: dict[str, bool]) -> pa.RecordBatch:
-        columns = emit(list(part), np.array(list(map(line_key, part)), dtype=np.int64), np.array(list(part.values()), dtype=bool))
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            part, points = {}, 0
-            for text in texts_of(batch.column("text")):
-                for line in normal_lines(text):
-                    if line in part:
-                        part[line] = True
-                    elif line:
-                        part[line] = False
-                        points += len(line)
-                if points >= PART:
-                    yield made(part)
-                    part, points = {}, 0
-            if part:
-                yield made(part)
+        for new, _, _ in _parts(batches, 1):
+            columns = emit(new, line_keys(new))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return doc_texts(docs).select("text").mapInArrow(run, schema)
 
 
+def line_keys(lines: list[str]) -> np.ndarray:
+    return np.array(list(map(line_key, lines)), dtype=np.int64)
+
+
+def packed(keys: np.ndarray, items: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+    """(parcel, rows) of the band rows of some lines: a bucket's rows go to one parcel, as the bytes of (bucket, item, sketch) one after the other."""
+    bands = keys.shape[1]
+    number = ((keys // bands) & (PARCELS - 1)).astype(np.uint16).ravel()
+    order = np.argsort(number, kind="stable")
+    rows = np.empty((len(order), 3), dtype=np.int64)
+    rows[:, 0], rows[:, 1], rows[:, 2] = keys.ravel()[order], items[order // bands], sketches[order // bands]
+    counts = np.bincount(number, minlength=PARCELS)
+    has = np.flatnonzero(counts)
+    ends = np.concatenate([[0], np.cumsum(counts[has])]).astype(np.int32) * np.int32(24)
+    blobs = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+    return pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), blobs], ["parcel", "rows"])
+
+
+def ordered(rows: np.ndarray) -> np.ndarray:
+    """Rows (bucket, item, sketch) by bucket and item, without those between the first and the last that are alone in their bucket and haven't come again."""
+    rows = rows[np.argsort(rows[:, 0])]
+    same = np.concatenate([[True], rows[1:, 0] == rows[:-1, 0], [True]])
+    rows = rows[same[1:] | same[:-1] | (rows[:, 2] >> AGAIN & 1 == 1)]
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+
+def merged(runs: list[np.ndarray], most: int) -> Iterator[np.ndarray]:
+    """The rows of some sorted runs (3, rows) in order, in pieces of about `most` rows."""
+
+    def place(run: np.ndarray, bucket: int, item: int) -> int:
+        lo, hi = np.searchsorted(run[0], bucket), np.searchsorted(run[0], bucket, "right")
+        return int(lo + np.searchsorted(run[1][lo:hi], item))
+
+    step = max(1, most // len(runs))
+    marks = sorted({(int(run[0][i]), int(run[1][i])) for run in runs for i in range(step, run.shape[1], step)})
+    at = [0] * len(runs)
+    for mark in [*marks, None]:
+        to = [run.shape[1] if mark is None else place(run, *mark) for run in runs]
+        piece = np.concatenate([run[:, i:j] for run, i, j in zip(runs, at, to, strict=True)], axis=1).T
+        at = to
+        if len(piece):
+            yield piece
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, item, sketch) by bucket and item, of packed() rows sorted by parcel.
+
+    A parcel's rows are sorted in memory, and where they are many, in runs that lie in temporary
+    files and are merged, so what is held doesn't grow with a bucket.
+    """
+    held: list[np.ndarray] = []
+    runs: list[np.ndarray] = []
+    done: list[np.ndarray] = []
+    number, size = None, 0
+
+    def batch(least: int) -> Iterator[pa.RecordBatch]:
+        """The finished rows, if they are as many."""
+        if done and sum(map(len, done)) >= least:
+            rows = np.concatenate(done)
+            done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], ["bucket", "item", "sketch"])
+
+    def kept(folder: str) -> None:
+        """The rows held as one more sorted run."""
+        nonlocal held, size
+        rows = np.concatenate(held)
+        name = Path(folder) / f"{len(runs)}.npy"
+        np.save(name, np.ascontiguousarray(rows[np.lexsort((rows[:, 1], rows[:, 0]))].T))
+        runs.append(np.load(name, mmap_mode="r"))
+        held, size = [], 0
+
+    def close(folder: str) -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        if runs:
+            if held:
+                kept(folder)
+            for piece in merged(runs, SORTED):
+                done.append(ordered(piece))
+                yield from batch(AT_ONCE)
+            runs.clear()
+        elif held:
+            done.append(ordered(np.concatenate(held)))
+            yield from batch(AT_ONCE)
+            held, size = [], 0
+
+    with tempfile.TemporaryDirectory() as folder:
+        for one in batches:
+            numbers, blobs = one.column("parcel").to_numpy(), one.column("rows")
+            if not len(numbers):
+                continue
+            ends = np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            starts = np.concatenate([[0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)]])
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if numbers[s] != number:
+                    yield from close(folder)
+                    number = int(numbers[s])
+                # A copy: the batch's memory is not held on to.
+                held.append(np.frombuffer(blobs.buffers()[2], dtype=np.int64, count=int(ends[e] - ends[s]) // 8, offset=int(ends[s])).reshape(-1, 3).copy())
+                size += len(held[-1])
+                if size >= SORTED:
+                    kept(folder)
+        yield from close(folder)
+        yield from batch(1)
+
+
 def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> tuple[DataFrame, DataFrame]:
     """(links, repeated): (node, root) of the lines that are linked to another one, and (line) of those that occur more than once.
 
@@ -296,7 +412,7 @@ def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
     members = found.where("low is not null").select(F.col("low").alias("bucket"), "item")
     wanted = Membership(members.select("item"), "item")
 
-    def told(lines: list[str], keys: np.ndarray, again: np.ndarray) -> list:
+    def told(lines: list[str], keys: np.ndarray) -> list:
         has = np.flatnonzero(wanted.may_have(keys))
         return [keys[has], [lines[i].encode("utf-8", "surrogatepass") for i in has]]
 
@@ -306,15 +422,20 @@ def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
 
 
 def met_lines(docs: DataFrame, similar: float, bands: int, rows: int, chars: int) -> DataFrame:
-    """(low, item): candidates() of the band rows, which are dealt and sorted by bucket."""
+    """(low, item): candidates() of the band rows, which are packed, dealt by parcel and sorted by bucket."""
 
-    def banded(lines: list[str], keys: np.ndarray, again: np.ndarray) -> list:
-        made, sketch = signatures(lines, bands, rows, chars)
-        return [made.ravel(), np.repeat(keys, bands), np.repeat(sketch | again.astype(np.int64) << AGAIN, bands)]
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        for new, seen, last in _parts(batches, max(1, PACKED // bands)):
+            made.append((*signatures(new, bands, rows, chars), line_keys(new)))
+            if last:
+                keys, sketches, items = (np.concatenate(x) for x in zip(*made, strict=True))
+                yield packed(keys, items, sketches | np.array(list(seen.values()), dtype=np.int64) << AGAIN)
+                made = []
 
     most = most_apart(min(SKETCH, bands * rows), similar)
-    band = _lines_by(docs, "bucket long, item long, sketch long", banded)
-    return band.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(lambda batches: candidates(batches, bands, most), "low long, item long")
+    band = doc_texts(docs).select("text").mapInArrow(banded, "parcel int, rows binary")
+    return band.repartition("parcel").sortWithinPartitions("parcel").mapInArrow(lambda batches: candidates(unpacked(batches), bands, most), "low long, item long")
 
 
 def repeated_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> DataFrame:

@@ -88,6 +88,44 @@ def test_candidates_are_those_of_whole_buckets(monkeypatch, at_once, size):
     assert {(x["low"], x["item"]) for x in out if x["low"] is not None} == expected
 
 
+@pytest.mark.parametrize("in_memory", [5, 60, 1 << 21])
+@pytest.mark.parametrize("size", [1, 50, 1000])
+def test_packed_rows_give_the_candidates_of_sorted_rows(monkeypatch, in_memory, size):
+    """Packed rows, also a bucket's beyond what is sorted in memory, meet as whole sorted rows do."""
+    monkeypatch.setattr(line_dedup, "SORTED", in_memory)
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 16)
+    monkeypatch.setattr(line_dedup, "SKETCHES", 20)
+    r, bands, most = random.Random(27), 4, 3
+    made = []
+    for _ in range(12):
+        items = np.array(sorted({r.randrange(-200, 200) for _ in range(60)}), dtype=np.int64)
+        hot = items % 3 == 0
+        keys = np.array([[(7 if h else int(i) // 3 * 5000) * bands + b for b in range(bands)] for i, h in zip(items, hot, strict=True)], dtype=np.int64)
+        made.append((keys, items, items & 0xFF | (items % 17 == 0).astype(np.int64) << line_dedup.AGAIN))
+    packed = pa.Table.from_batches([line_dedup.packed(*x) for x in made]).sort_by("parcel").combine_chunks()
+    rows = sorted((k, i, s) for keys, items, sketches in made for ks, i, s in zip(keys.tolist(), items.tolist(), sketches.tolist(), strict=True) for k in ks)
+    table = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("bucket", "item", "sketch"), zip(*rows, strict=True), strict=True)})
+
+    def found(batches):
+        return {(x["low"], x["item"]) for b in line_dedup.candidates(batches, bands, most) for x in b.to_pylist()}
+
+    assert found(line_dedup.unpacked(iter(packed.to_batches(max_chunksize=size)))) == found(iter(table.to_batches()))
+    assert len(packed) > 100 and list(line_dedup.unpacked(iter(packed.slice(0, 0).to_batches()))) == []
+
+
+def test_lines_are_hashed_once_until_they_are_packed(monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART", 50)
+    texts = [f"line number {i // 3} of some\nshared\n" for i in range(60)]
+    batches = pa.table({"text": pa.array([*texts, None])}).to_batches(max_chunksize=7)
+    parts = list(line_dedup._parts(iter(batches), 1000))
+    new = [x for lines, _, _ in parts for x in lines]
+    assert len(new) == len(set(new)) == 21 and [last for *_, last in parts] == [False] * (len(parts) - 1) + [True]
+    assert parts[-1][1] == dict.fromkeys(new, True)
+    assert all(last for *_, last in line_dedup._parts(iter(batches), 1))
+    monkeypatch.setattr(line_dedup, "MANY", 2)
+    assert sum(last for *_, last in line_dedup._parts(iter(batches), 1000)) > 1
+
+
 @pytest.mark.parametrize("more", ["", "漢字🙂", "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))])
 def test_exact_similarity(more):
     lines = [x for p in near_pairs(random.Random(25), 8) for x in p] + ["x", "ab" * 30, "ab" * 50] + ([more] if more else [])
