@@ -38,7 +38,7 @@ def spanning(items: np.ndarray, near: Near, at: int = 0) -> list[tuple[int, int]
         while front and len(waiting):
             new = near(front.pop(), waiting)
             if len(new):
-                waiting = waiting[~np.isin(waiting, new)]
+                waiting = waiting[~np.isin(waiting, new)] if len(new) < len(waiting) else waiting[:0]
                 front += new.tolist()
                 out += [(int(items[start - at]), x) for x in items[new - at].tolist()]
     return out

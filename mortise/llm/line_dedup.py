@@ -221,7 +221,14 @@ class Jaccard:
         self.sets = np.split(codes[keep[: len(codes)]], np.cumsum(self.sizes)[:-1])
 
     def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
-        mine, n, sizes = self.sets[i], self.sizes[i], self.sizes[others]
+        mine, n = self.sets[i], self.sizes[i]
+        if len(others) == 1:
+            other, m = self.sets[others[0]], self.sizes[others[0]]
+            if min(n, m) < self.similar * max(n, m) - 1e-9:
+                return others[:0]
+            same = np.count_nonzero(mine.take(mine.searchsorted(other), mode="clip") == other)
+            return others if same >= self.similar * (n + m - same) - 1e-9 else others[:0]
+        sizes = self.sizes[others]
         others = others[np.minimum(sizes, n) >= self.similar * np.maximum(sizes, n) - 1e-9]
         common = np.empty(len(others))
         for k, j in enumerate(others.tolist()):
@@ -231,27 +238,40 @@ class Jaccard:
 
 
 def _text_key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+    """Spark's xxhash64 of the text."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def occurrences(docs: DataFrame, wanted: Membership | None = None) -> DataFrame:
-    """(line, doc, body, number) of lines that are not blank: key of the line, doc_id, key of the text, line number.
+def occurrences(docs: DataFrame, wanted: Membership | None = None, told: Membership | None = None) -> DataFrame:
+    """(line, doc, body, number, payload) of lines that are not blank: key of the line, doc_id, key of the text, line number, the normal line.
 
-    With `wanted`, only of lines that it may have.
+    With `wanted`, only of lines that it may have; payloads only of lines that `told` may have, at a
+    line's first place in some rows.
     """
 
     def rows(batch: pa.RecordBatch) -> dict:
-        line, doc, body, number = [], [], [], []
+        line, doc, body, number, payload, seen = [], [], [], [], [], set()
         for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
             kept = [(n, x) for n, x in enumerate(normal_lines(text)) if x]
-            line += [line_key(x) for _, x in kept]
-            number += [n for n, _ in kept]
+            keys = line_keys([x for _, x in kept])
+            if wanted:
+                has = np.flatnonzero(wanted.may_have(keys)).tolist()
+                kept, keys = [kept[j] for j in has], keys[has]
+            if not kept:
+                continue
+            tell = told.may_have(keys).tolist() if told else [False] * len(kept)
+            for k, t, (n, x) in zip(keys.tolist(), tell, kept, strict=True):
+                payload.append(x.encode("utf-8", "surrogatepass") if t and k not in seen else None)
+                number.append(n)
+                seen.add(k)
+            line.append(keys)
             doc += [NO_ID if i is None else i] * len(kept)
             body += [_text_key(text)] * len(kept)
-        out = {k: np.array(v, dtype=t) for k, v, t in (("line", line, np.int64), ("doc", doc, np.int64), ("body", body, np.int64), ("number", number, np.int32))}
-        return {k: v[wanted.may_have(out["line"])] for k, v in out.items()} if wanted else out
+        line = np.concatenate(line) if line else np.empty(0, dtype=np.int64)
+        return {"line": line, "doc": np.array(doc, dtype=np.int64), "body": np.array(body, dtype=np.int64), "number": np.array(number, dtype=np.int32), "payload": pa.array(payload, pa.binary())}
 
-    return map_rows(doc_texts(docs), "line long, doc long, body long, number int", rows)
+    return map_rows(doc_texts(docs), "line long, doc long, body long, number int, payload binary", rows)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[str], dict[str, bool], bool]]:
@@ -279,39 +299,42 @@ def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[
         yield new, seen, True
 
 
-def _lines_by(docs: DataFrame, schema: str, emit) -> DataFrame:
-    """emit(lines, keys) -> columns over the different lines of each batch, in parts of bounded length."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for new, _, _ in _parts(batches, 1):
-            columns = emit(new, line_keys(new))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    return doc_texts(docs).select("text").mapInArrow(run, schema)
-
-
 def line_keys(lines: list[str]) -> np.ndarray:
     return np.array(list(map(line_key, lines)), dtype=np.int64)
 
 
+#: A packed row; 48 bits of `low` are the sketch.
+ROW = np.dtype([("item", "<i8"), ("low", "<i8"), ("high", "<u4")])
+
+
 def packed(keys: np.ndarray, items: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
-    """(parcel, rows) of the band rows of some lines: a bucket's rows go to one parcel, as the bytes of (bucket, item, sketch) one after the other."""
+    """(parcel, rows) of the band rows of some lines: a bucket's rows go to one parcel, as the bytes of ROW one after the other.
+
+    What of a bucket its parcel doesn't tell, and whether the line has come again, are laid around the sketch.
+    """
     bands = keys.shape[1]
-    number = ((keys // bands) & (PARCELS - 1)).astype(np.uint16).ravel()
+    most = keys // bands
+    number = (most & (PARCELS - 1)).astype(np.uint16).ravel()
     order = np.argsort(number, kind="stable")
-    rows = np.empty((len(order), 3), dtype=np.int64)
-    rows[:, 0], rows[:, 1], rows[:, 2] = keys.ravel()[order], items[order // bands], sketches[order // bands]
+    told = ((most // PARCELS * bands + np.arange(bands)) << 1 | (sketches >> AGAIN & 1)[:, None]).ravel()[order]
+    rows = np.empty(len(order), dtype=ROW)
+    rows["item"], rows["high"] = items[order // bands], told >> 16
+    rows["low"] = sketches[order // bands] & ((1 << SKETCH) - 1) | told << 48
     counts = np.bincount(number, minlength=PARCELS)
     has = np.flatnonzero(counts)
-    ends = np.concatenate([[0], np.cumsum(counts[has])]).astype(np.int32) * np.int32(24)
+    ends = np.concatenate([[0], np.cumsum(counts[has])]).astype(np.int32) * np.int32(ROW.itemsize)
     blobs = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
     return pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), blobs], ["parcel", "rows"])
 
 
+def read_back(rows: np.ndarray, number: int, bands: int) -> np.ndarray:
+    """(bucket, item, sketch) of the rows of a parcel."""
+    told = rows["high"].astype(np.int64) << 16 | (rows["low"] >> 48 & 0xFFFF)
+    short = told >> 1
+    most = short // bands
+    return np.stack([(most * PARCELS + number) * bands + (short - most * bands), rows["item"], rows["low"] & ((1 << SKETCH) - 1) | (told & 1) << AGAIN], axis=1)
+
+
 def ordered(rows: np.ndarray) -> np.ndarray:
     """Rows (bucket, item, sketch) by bucket and item, without those between the first and the last that are alone in their bucket and haven't come again."""
     rows = rows[np.argsort(rows[:, 0])]
@@ -338,7 +361,7 @@ def merged(runs: list[np.ndarray], most: int) -> Iterator[np.ndarray]:
             yield piece
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unpacked(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, item, sketch) by bucket and item, of packed() rows sorted by parcel.
 
     A parcel's rows are sorted in memory, and where they are many, in runs that lie in temporary
@@ -390,8 +413,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if numbers[s] != number:
                     yield from close(folder)
                     number = int(numbers[s])
-                # A copy: the batch's memory is not held on to.
-                held.append(np.frombuffer(blobs.buffers()[2], dtype=np.int64, count=int(ends[e] - ends[s]) // 8, offset=int(ends[s])).reshape(-1, 3).copy())
+                held.append(read_back(np.frombuffer(blobs.buffers()[2], dtype=ROW, count=int(ends[e] - ends[s]) // ROW.itemsize, offset=int(ends[s])), number, bands))
                 size += len(held[-1])
                 if size >= SORTED:
                     kept(folder)
@@ -399,26 +421,15 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batch(1)
 
 
-def similar_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> tuple[DataFrame, DataFrame]:
-    """(links, repeated): (node, root) of the lines that are linked to another one, and (line) of those that occur more than once.
+def similar_lines(members: DataFrame, texts: DataFrame, similar: float = SIMILAR, chars: int = CHARS) -> DataFrame:
+    """(node, root) of the lines that are linked to another one, of members (bucket, item) and texts (item, payload).
 
     Lines that share a band are one bucket; rows are dealt and sorted by it and streamed, so no
     bucket is held whole. Sketches leave out lines that are far from all others of their bucket;
     buckets with the same least line are one. Only the texts of the others are fetched, compared
     exactly, a bounded number in a task, and joined by a union-find over all verified links.
     """
-
-    found = settled(met_lines(docs, similar, bands, rows, chars).distinct())
-    members = found.where("low is not null").select(F.col("low").alias("bucket"), "item")
-    wanted = Membership(members.select("item"), "item")
-
-    def told(lines: list[str], keys: np.ndarray) -> list:
-        has = np.flatnonzero(wanted.may_have(keys))
-        return [keys[has], [lines[i].encode("utf-8", "surrogatepass") for i in has]]
-
-    texts = _lines_by(docs, "item long, payload binary", told).groupBy("item").agg(F.min("payload").alias("payload"))
-    links = components(bucket_links(members.join(texts, "item"), lambda lines: Jaccard(lines, similar, chars), CHUNK))
-    return links, found.where("low is null").select(F.col("item").alias("line"))
+    return components(bucket_links(members.join(texts, "item"), lambda lines: Jaccard(lines, similar, chars), CHUNK))
 
 
 def met_lines(docs: DataFrame, similar: float, bands: int, rows: int, chars: int) -> DataFrame:
@@ -435,7 +446,7 @@ def met_lines(docs: DataFrame, similar: float, bands: int, rows: int, chars: int
 
     most = most_apart(min(SKETCH, bands * rows), similar)
     band = doc_texts(docs).select("text").mapInArrow(banded, "parcel int, rows binary")
-    return band.repartition("parcel").sortWithinPartitions("parcel").mapInArrow(lambda batches: candidates(unpacked(batches), bands, most), "low long, item long")
+    return band.repartition("parcel").sortWithinPartitions("parcel").mapInArrow(lambda batches: candidates(unpacked(batches, bands), bands, most), "low long, item long")
 
 
 def repeated_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
@@ -444,9 +455,13 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS
     Equal and similar lines are one component; the first line of it (least doc_id, then text key,
     then line number) stays.
     """
-    links, repeated = similar_lines(docs, similar, bands, rows, chars)
+    met = settled(met_lines(docs, similar, bands, rows, chars).distinct())
+    members = met.where("low is not null").select(F.col("low").alias("bucket"), "item")
+    found = settled(occurrences(docs, Membership(met, "item"), Membership(members, "item")))
+    texts = found.where("payload is not null").groupBy(F.col("line").alias("item")).agg(F.min("payload").alias("payload"))
+    links, repeated = similar_lines(members, texts, similar, chars), met.where("low is null").select(F.col("item").alias("line"))
     held = settled(repeated.join(links.withColumnRenamed("node", "line"), "line", "full").select("line", F.coalesce("root", "line").alias("root")))
-    found = settled(occurrences(docs, Membership(held, "line")))
+    found = found.drop("payload")
     firsts = found.groupBy("line").agg(F.min(F.struct("doc", "body", "number")).alias("first")).join(held, "line")
     kept = firsts.groupBy("root").agg(F.min("first").alias("kept"))
     keepers = held.join(kept, "root").select("line", "kept")
@@ -479,10 +494,6 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, r
         gone = set(gone)
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
-    @F.arrow_udf("long")
-    def body_of(texts: pa.Array) -> pa.Array:
-        return by_slices(lambda t: _text_key(t or ""), pa.int64(), texts)
-
     @F.arrow_udf("boolean")
     def may(bodies: pa.Array) -> pa.Array:
         return pa.array(hit.may_have(bodies.to_numpy(zero_copy_only=False)))
@@ -492,13 +503,13 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, r
         return by_slices(without, pa.string(), texts, numbers)
 
     text = F.col("text").cast("string")
-    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(body, body_of(text)).withColumn(flag, may(F.col(body)))
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(body, F.xxhash64(F.coalesce(text, F.lit("")))).withColumn(flag, may(F.col(body)))
     joined = keyed.where(F.col(flag)).join(drops.select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("drops").alias(lines)), [doc, body], "left")
     gone = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines))
     changed, same = joined, keyed.where(~F.col(flag))
     every = [F.col(c) for c in docs.columns]
     if counts:
-        total = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
+        total = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1))
         n_lines, n_dropped = with_key(docs, "n_lines"), with_key(docs, "n_dropped")
         changed = changed.withColumn(n_lines, total).withColumn(n_dropped, gone)
         same = same.withColumn(n_lines, total).withColumn(n_dropped, F.lit(0))

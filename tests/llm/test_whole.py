@@ -109,8 +109,8 @@ def test_packed_rows_give_the_candidates_of_sorted_rows(monkeypatch, in_memory,
     def found(batches):
         return {(x["low"], x["item"]) for b in line_dedup.candidates(batches, bands, most) for x in b.to_pylist()}
 
-    assert found(line_dedup.unpacked(iter(packed.to_batches(max_chunksize=size)))) == found(iter(table.to_batches()))
-    assert len(packed) > 100 and list(line_dedup.unpacked(iter(packed.slice(0, 0).to_batches()))) == []
+    assert found(line_dedup.unpacked(iter(packed.to_batches(max_chunksize=size)), bands)) == found(iter(table.to_batches()))
+    assert len(packed) > 100 and list(line_dedup.unpacked(iter(packed.slice(0, 0).to_batches()), bands)) == []
 
 
 def test_lines_are_hashed_once_until_they_are_packed(monkeypatch):
