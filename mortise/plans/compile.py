@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mortise.functions.scalar import evaluate
 from mortise.operators.loops import settled
-from mortise.operators.meet import met, minus, spread
+from mortise.operators.meet import crossed, met, minus, spread
 from mortise.operators.terms import minted
 from mortise.plans.lang import AGGREGATES, COMPARE, SPECIAL, Rule, is_var, plain, predicates, variables
 
@@ -257,6 +257,9 @@ def _paired(facts: Facts, body: list, names: list[str], rep: DataFrame | None) -
         for c in dict.fromkeys(terms):
             i = 0 if c in sides[0].columns else 1
             sides[i] = sides[i].join(rep.select(F.col("term").alias(c), F.col("rep").alias(f"_r{c}")), c, "left").withColumn(f"_r{c}", F.coalesce(f"_r{c}", c))
+    # What `different` reads as a representative, and what nothing reads, needn't be carried.
+    compared = [column(v) for x in late if x[0] != "different" or rep is None for v in variables(x[1:])]
+    sides = [df.select(*(c for c in df.columns if c in (*on, *k, *compared) or c.startswith("_r"))) for df, k in zip(sides, kept, strict=True)]
     (one, more), (two, others) = (_split(df, k) for df, k in zip(sides, kept, strict=True))
 
     def held(rows: DataFrame) -> DataFrame:
@@ -267,7 +270,7 @@ def _paired(facts: Facts, body: list, names: list[str], rep: DataFrame | None) -
                 rows = _apply(rows, x, facts, None)
         return rows.select(*(F.col(f"v_{n}") for n in names))
 
-    out = held(met(one, two, on))
+    out = held(crossed(one, two, on, [c for c in two.columns if c not in (*on, *kept[1])]))
     rest = [held(met(a, b, on)) for a, b in ((more, sides[1]), (one, others)) if a is not None and b is not None]
     return out.union(reduce(DataFrame.union, rest).distinct()) if rest else out
 

@@ -163,3 +163,29 @@ def test_pairs_need_no_distinct(spark):
     plan = answer(facts, [("p", "?x", "?n"), ("p", "?y", "?n"), ("different", "?x", "?y")], ["x", "y"])
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in text[: text.index("Join Inner")] and plan.count() == 2 * 1000 * 999
+
+
+def test_pairs_are_compared_by_class(spark):
+    """Where a few values decide on many pairs, rows of one value are joined as arrays: the comparison is part of the join, and no pair is lost or comes twice."""
+    from mortise.operators.meet import crossed
+
+    left = [(i if i % 11 else None, None if i % 50 == 0 else 7 if i % 3 else i % 5, f"c{i % 4}" if i % 13 else None) for i in range(200)]
+    right = [(*row, i if i % 17 else None) for i, row in enumerate(left)]
+    a, b = spark.createDataFrame(left, "x long, k long, l string"), spark.createDataFrame(right, "y long, k long, r string, z long")
+    order = lambda rows: sorted(map(str, rows))
+    want = [(x, c, y, d, z) for x, k, c in left for y, m, d, z in right if k == m and k is not None and None not in (c, d) and c != d]
+    for pairs, rows in ((100, 7), (100, 1), (5000, 1000), (10_000_000, 2048)):
+        two = crossed(a, b, ["k"], ["r"], pairs, rows).where("l <> r")
+        assert order(tuple(t) for t in two.select("x", "l", "y", "r", "z").collect()) == order(want)
+        one = crossed(a, b.drop("z"), ["k"], ["r"], pairs, rows).where("l <> r")
+        assert order(tuple(t) for t in one.select("x", "l", "y", "r").collect()) == order(t[:4] for t in want)
+    sizes = crossed(a, b, ["k"], ["r"], 100, 7).rdd.glom().map(len).collect()
+    assert max(sizes) < sum(sizes) / 8
+    facts = {"p": spark.range(4000).selectExpr("id a1", "id % 2 a2", "concat('n', id % 10) a3").distinct()}
+    rep = spark.createDataFrame([("n2", "n0"), ("n3", "n1")], "term string, rep string")
+    found = answer(facts, [("p", "?x", "?k", "?s"), ("p", "?y", "?k", "?t"), ("different", "?s", "?t")], ["x", "y"], rep)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate explode(_rows") < text.index("Join Inner")
+    line = next(line for line in text.splitlines() if "Join Inner" in line)
+    assert "NOT (_rv_s" in line and "rightHint=(strategy=merge)" in line
+    assert found.count() == found.distinct().count() == 2 * (2000 * 2000 - 800 * 800 - 3 * 400 * 400)
