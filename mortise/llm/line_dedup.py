@@ -23,7 +23,7 @@ from mortise.llm.minhash import mix
 #: meetings grow with the square of the lines: larger corpora take more hashes a band, and bands by `bands_for`.
 CHARS, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
 #: Most hashes that give a bit to a line's sketch, and how seldom a similar pair's sketches may lie too far apart.
-SKETCH, MISS = 48, 1e-5
+SKETCH, MISS = 58, 1e-5
 #: Code points hashed at a time, and for how many times as many the lines are held.
 PART, MANY = 1 << 16, 64
 #: Lines of a bucket that are checked in one task.
@@ -32,6 +32,8 @@ CHUNK = 1024
 PARCELS, PACKED, SORTED, AT_ONCE = 2048, 1 << 17, 1 << 21, 1 << 14
 #: Lines of a bucket whose sketches are compared at once; larger buckets go to the exact check as they are.
 SKETCHES = 4096
+#: Bits of a line's mark in the exact check, and lines that are marked at once.
+MARK, MARKED = 512, 64
 #: Stands for a null doc_id, which comes last.
 NO_ID = (1 << 63) - 1
 
@@ -102,8 +104,8 @@ def signatures(lines: list[str], bands: int = BANDS, rows: int = ROWS, chars: in
     keys = np.zeros((bands, len(lines)), dtype=np.uint64)
     for values in least.reshape(bands, rows, -1).transpose(1, 0, 2):
         keys = mix(keys ^ values) + (number + 1).astype(np.uint64)
-    # 48 bits are enough to tell buckets apart, and are written shorter.
-    return ((keys >> np.uint64(16)).astype(np.int64) // bands * bands + number).T, sketch
+    # 47 bits are enough to tell buckets apart, and are written shorter.
+    return ((keys >> np.uint64(17)).astype(np.int64) // bands * bands + number).T, sketch
 
 
 def bands_for(rows: int, similar: float = SIMILAR, miss: float = 1 / 550) -> int:
@@ -190,7 +192,9 @@ class Jaccard:
 
     A shingle is packed into one number, in which each character has its own bits, so sets of
     numbers are sets of shingles; where the characters need too many bits, shingles are numbered.
-    Only lines with enough shingles for the similarity are compared.
+    Only lines with enough shingles for the similarity are compared, and only where marks allow it: a
+    bit of a mark tells whether an odd number of shingles falls on it, so marks differ in at most as
+    many bits as sets in shingles, and no similar line is left out.
     """
 
     def __init__(self, lines: list[bytes], similar: float = SIMILAR, chars: int = CHARS):
@@ -218,7 +222,15 @@ class Jaccard:
         for i in range(1, chars):
             keep[starts + lengths - i] = False
         self.sizes = np.add.reduceat(keep.astype(np.int64), starts)
-        self.sets = np.split(codes[keep[: len(codes)]], np.cumsum(self.sizes)[:-1])
+        codes, ends = codes[keep[: len(codes)]], np.cumsum(self.sizes)
+        self.sets = np.split(codes, ends[:-1])
+        bits = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARK.bit_length() + 1)).astype(np.int64)
+        self.marks = np.empty((len(ends), MARK // 64), dtype=np.uint64)
+        for at in range(0, len(ends), MARKED):
+            sizes, to = self.sizes[at : at + MARKED], min(at + MARKED, len(ends))
+            line = np.repeat(np.arange(0, MARK * len(sizes), MARK), sizes)
+            counts = np.bincount(line + bits[ends[at] - self.sizes[at] : ends[to - 1]], minlength=MARK * len(sizes))
+            self.marks[at:to] = np.packbits((counts & 1).astype(np.uint8)).view(np.uint64).reshape(-1, MARK // 64)
 
     def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
         mine, n = self.sets[i], self.sizes[i]
@@ -229,7 +241,8 @@ class Jaccard:
             same = np.count_nonzero(mine.take(mine.searchsorted(other), mode="clip") == other)
             return others if same >= self.similar * (n + m - same) - 1e-9 else others[:0]
         sizes = self.sizes[others]
-        others = others[np.minimum(sizes, n) >= self.similar * np.maximum(sizes, n) - 1e-9]
+        apart = np.bitwise_count(self.marks[others] ^ self.marks[i]).sum(axis=1, dtype=np.int64)
+        others = others[(np.minimum(sizes, n) >= self.similar * np.maximum(sizes, n) - 1e-9) & (apart <= (1 - self.similar) / (1 + self.similar) * (n + sizes) + 1e-6)]
         common = np.empty(len(others))
         for k, j in enumerate(others.tolist()):
             other = self.sets[j]
@@ -303,7 +316,7 @@ def line_keys(lines: list[str]) -> np.ndarray:
     return np.array(list(map(line_key, lines)), dtype=np.int64)
 
 
-#: A packed row; 48 bits of `low` are the sketch.
+#: A packed row; SKETCH bits of `low` are the sketch, the others and `high` have 38 bits.
 ROW = np.dtype([("item", "<i8"), ("low", "<i8"), ("high", "<u4")])
 
 
@@ -318,8 +331,8 @@ def packed(keys: np.ndarray, items: np.ndarray, sketches: np.ndarray) -> pa.Reco
     order = np.argsort(number, kind="stable")
     told = ((most // PARCELS * bands + np.arange(bands)) << 1 | (sketches >> AGAIN & 1)[:, None]).ravel()[order]
     rows = np.empty(len(order), dtype=ROW)
-    rows["item"], rows["high"] = items[order // bands], told >> 16
-    rows["low"] = sketches[order // bands] & ((1 << SKETCH) - 1) | told << 48
+    rows["item"], rows["high"] = items[order // bands], told >> 64 - SKETCH
+    rows["low"] = sketches[order // bands] & ((1 << SKETCH) - 1) | told << SKETCH
     counts = np.bincount(number, minlength=PARCELS)
     has = np.flatnonzero(counts)
     ends = np.concatenate([[0], np.cumsum(counts[has])]).astype(np.int32) * np.int32(ROW.itemsize)
@@ -329,7 +342,7 @@ def packed(keys: np.ndarray, items: np.ndarray, sketches: np.ndarray) -> pa.Reco
 
 def read_back(rows: np.ndarray, number: int, bands: int) -> np.ndarray:
     """(bucket, item, sketch) of the rows of a parcel."""
-    told = rows["high"].astype(np.int64) << 16 | (rows["low"] >> 48 & 0xFFFF)
+    told = rows["high"].astype(np.int64) << 64 - SKETCH | (rows["low"] >> SKETCH & (1 << 64 - SKETCH) - 1)
     short = told >> 1
     most = short // bands
     return np.stack([(most * PARCELS + number) * bands + (short - most * bands), rows["item"], rows["low"] & ((1 << SKETCH) - 1) | (told & 1) << AGAIN], axis=1)

@@ -261,3 +261,36 @@ def test_shards_prune_files(spark, tmp_path):
     ends = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").agg(*(f(c).alias(f"{n}_{c}") for c in ("source", "lang", "doc_id") for n, f in (("low", F.min), ("high", F.max)))).collect()
     read = {c: np.mean([sum(e[f"low_{c}"] <= v <= e[f"high_{c}"] for e in ends) / len(ends) for v in values]) for c, values in (("source", [f"s{i}" for i in range(8)]), ("lang", [f"l{i}" for i in range(4)]), ("doc_id", range(0, 4096, 97)))}
     assert len(ends) == 64 and max(read.values()) < 0.7
+
+
+def test_unlike_lines_of_a_bucket_are_not_compared_one_by_one():
+    """Marks keep lines that met by chance from the exact check, whose work else grows with the square of a bucket, and no link is lost."""
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    lines = [" ".join(r.choice(words) for _ in range(60)) for _ in range(150)] + [x for p in near_pairs(r, 20) for x in p]
+    rows, grams = line_dedup.Jaccard([x.encode() for x in lines]), [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    read = []
+
+    class Sets(list):
+        def __getitem__(self, i):
+            read.append(i)
+            return super().__getitem__(i)
+
+    rows.sets = Sets(rows.sets)
+    every = np.arange(len(lines))
+    assert [rows(i, every).tolist() for i in range(len(lines))] == [[j for j, b in enumerate(grams) if len(a & b) >= 0.8 * len(a | b)] for a in grams]
+    assert len(read) < 5 * len(lines)
+    apart = [[int(np.bitwise_count(rows.marks[i] ^ rows.marks[j]).sum()) for j in every] for i in every]
+    assert all(apart[i][j] <= len(grams[i] ^ grams[j]) for i in every for j in every)
+
+
+def test_packed_rows_hold_whole_sketches():
+    lines = [line(random.Random(i), 80) for i in range(500)]
+    keys, sketches = line_dedup.signatures(lines)
+    items = line_dedup.line_keys(lines)
+    sketches |= (items % 3 == 0).astype(np.int64) << line_dedup.AGAIN
+    got, out = line_dedup.packed(keys, items, sketches), set()
+    for number, blob in zip(got.column("parcel").to_pylist(), got.column("rows").to_pylist(), strict=True):
+        out |= {tuple(x) for x in line_dedup.read_back(np.frombuffer(blob, dtype=line_dedup.ROW), number, line_dedup.BANDS).tolist()}
+    assert out == {(k, i, s) for ks, i, s in zip(keys.tolist(), items.tolist(), sketches.tolist(), strict=True) for k in ks}
+    assert line_dedup.most_apart(line_dedup.SKETCH) < 0.3 * line_dedup.SKETCH
