@@ -17,6 +17,14 @@ from mortise.plans.lang import AGGREGATES, COMPARE, SPECIAL, Rule, is_var, plain
 Facts = Mapping[str, DataFrame]
 
 
+class Closed(dict):
+    """Facts, with `apart`: those tables among them that are known to have no row twice, by predicate."""
+
+    def __init__(self, facts: Facts, apart: Facts):
+        super().__init__(facts)
+        self.apart = dict(apart)
+
+
 def column(var: str) -> str:
     return f"v_{var[1:]}"
 
@@ -275,9 +283,22 @@ def _paired(facts: Facts, body: list, names: list[str], rep: DataFrame | None) -
     return out.union(reduce(DataFrame.union, rest).distinct()) if rest else out
 
 
+def _listed(facts: Facts, body: list, names: list[str] | None) -> DataFrame | None:
+    """The answers of a goal that reads a whole table without repeated rows, which need no distinct; None for other goals."""
+    (p, *args), rows = body[0], facts.apart.get(body[0][0]) if isinstance(facts, Closed) and len(body) == 1 else None
+    if rows is None or rows is not facts.get(p) or not all(map(is_var, args)) or len(set(args)) != len(args) or len(args) != len(rows.columns):
+        return None
+    rows = match(rows, tuple(args))
+    have = [c[2:] for c in rows.columns]
+    names = names or have
+    return rows.select(*(F.col(f"v_{n}").alias(n) for n in names)) if set(names) == set(have) and len(rows.columns) == len(args) else None
+
+
 def answer(facts: Facts, goal: tuple | list, names: list[str] | None = None, rep: DataFrame | None = None) -> DataFrame:
     """The goal's bindings, cut to its variables (or `names`), distinct, with the variables' own names."""
     goal = [goal] if isinstance(goal, tuple) and isinstance(goal[0], str) else list(goal)
+    if goal and (whole := _listed(facts, plain(goal), names)) is not None:
+        return whole
     if names and (pairs := _paired(facts, plain(goal), list(dict.fromkeys(names)), rep)) is not None:
         return pairs.select(*(F.col(f"v_{n}").alias(n) for n in names))
     rows = conjunction(facts, goal, rep, whole=False)

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from mortise.operators.closure import components
 from mortise.operators.context import placement
 from mortise.operators.loops import grow, rounds, settled
-from mortise.operators.meet import met, minus, spread
-from mortise.plans.compile import Facts, _value, column, conclusions, conjunction, match, nothing
+from mortise.operators.meet import crossed, met, minus, spread
+from mortise.plans.compile import Closed, Facts, _value, column, conclusions, conjunction, match, nothing
 from mortise.plans.lang import SPECIAL, Rule, is_var, plain, predicates, strata
 
 DELTA = "*"
+#: Members of a class that its pairs run through in turn; files hold short cycles in less space.
+CYCLE = 1 << 9
 Conclude = Callable[[Rule, Facts, DataFrame | None], DataFrame]
 
 
@@ -109,7 +111,10 @@ def _blocks(rule: Rule) -> tuple[tuple, list[str], str] | None:
 
 
 def _of_blocks(block: tuple[tuple, list[str], str], facts: Facts) -> DataFrame:
-    """(a1, a2): members of blocks that are connected over blocks; a null member belongs to its block and connects none."""
+    """(a1, a2): members of blocks that are connected over blocks, each pair once; a null member belongs to its block and connects none.
+
+    Pairs come in runs of one a1 and short cycles of a2, which files hold in little space.
+    """
     literal, keys, member = block
     keys = [column(v) for v in keys]
     rows = (match(facts[literal[0]], literal[1:]) if literal[0] in facts else nothing(facts, literal)).dropna(subset=keys).withColumnRenamed(column(member), "y")
@@ -123,11 +128,11 @@ def _of_blocks(block: tuple[tuple, list[str], str], facts: Facts) -> DataFrame:
     odd = settled(odd.distinct())
     alone = odd.groupBy().agg(F.count("*").alias("n"), F.count("c").alias("k"), F.max("b").alias("b")).where("n > 0 and k = 0").select("b", "b")
     every = classes.union(odd.where("c is not null"))
-    return met(every.withColumnRenamed("b", "a1"), every.withColumnRenamed("b", "a2"), ["c"]).select("a1", "a2").union(alone)
+    return crossed(every.withColumnRenamed("b", "a1"), every.withColumnRenamed("b", "a2"), ["c"], [], rows=CYCLE).select("a1", "a2").union(alone)
 
 
 def _reached(stated: DataFrame, relation: DataFrame, most: int | None) -> DataFrame:
-    """(a1, a2) of a linear rule p <- p q: pairs of p, followed by any number of q's.
+    """(a1, a2) of a linear rule p <- p q, each once: pairs of p, followed by any number of q's.
 
     Members that q relates in both directions are one class: (x, class) is closed over q between
     classes, and classes are spelled out once, at the end.
@@ -158,9 +163,11 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
     their rounds and raises. Backward and inert rules don't take part.
 
     A stratum of one linear rule, p <- p q, is closed over classes of members that q relates in both
-    directions; of a q that relates the members of blocks, not even its pairs are listed.
+    directions; of a q that relates the members of blocks, not even its pairs are listed. Such a
+    closure has no pair twice, and is marked so: its pairs, which may be far more than the facts, need
+    no shuffle to be answered.
     """
-    known = dict(facts)
+    known, apart = dict(facts), {}
     rules = [r for r in rules if r.direction in ("forward", "both")]
     readers = Counter(p for r in rules for p, _ in predicates(r.body))
     for group in strata(rules):
@@ -184,16 +191,16 @@ def forward(facts: Facts, rules: Iterable[Rule], rep: DataFrame | None = None, m
             block = _blocks(makers[0]) if len(makers) == 1 and q not in facts else None
             copies = p not in facts and len(starts) > 1 and all(r is waiting[0] or (not r.exceptions and r.body == ((q, *r.head[1:]),) and len(set(_vars(r.head[1:]))) == 2) for r in starts)
             if block and copies:
-                known[p] = settled(_of_blocks(block, known)) if readers[p] > 2 else _of_blocks(block, known)
+                apart[p] = known[p] = settled(_of_blocks(block, known)) if readers[p] > 2 else _of_blocks(block, known)
                 continue
             if p in known and len(known[p].columns) == 2:
-                known[p] = _reached(known[p], known[q], most)
+                apart[p] = known[p] = _reached(known[p], known[q], most)
                 continue
         found: dict[str, list[DataFrame]] = {}
         for r in waiting:
             found.setdefault(_functor(r), []).append(conclude(r, known, rep))
         _close(known, absorbed(known, found), waiting, rep, most, conclude)
-    return known
+    return Closed(known, apart)
 
 
 def placed(up: DataFrame) -> Conclude:

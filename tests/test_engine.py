@@ -221,3 +221,25 @@ def test_hot_keys_are_dealt(spark):
         assert sorted((t.x, t.y) for t in met(a, b, ["k"], pairs).collect()) == want
     sizes = met(a, b, ["k"], 100).rdd.glom().map(len).collect()
     assert max(sizes) < len(want) / 8
+
+
+def test_a_closure_of_blocks_is_answered_without_a_shuffle_of_its_pairs(spark):
+    """Its pairs are apart already: none comes twice, by whatever names."""
+    from mortise.operators.loops import settled
+
+    rules = [Rule(("shares", "?x", "?y"), (("owns", "?x", "?k"), ("owns", "?y", "?k"))), Rule(("reach", "?x", "?y"), (("shares", "?x", "?y"),)), Rule(("reach", "?x", "?z"), (("reach", "?x", "?y"), ("shares", "?y", "?z")))]
+    n = 300
+    owns = [(i, j) for i in range(n) for j in (i, i + 2)] * 2 + [(None, 1)]
+    closed = forward({"owns": spark.createDataFrame(owns, "a1 long, a2 long").repartition(3)}, rules)
+    sides = [{i for i in range(n) if i % 2 == 0}, {i for i in range(n) if i % 2} | {None}]
+    want = {(a, b) for s in sides for a in s for b in s}
+    for got in (answer(closed, ("reach", "?x", "?y")), answer(closed, ("reach", "?x", "?y"), ["y", "x"])):
+        rows = [tuple(x) for x in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+        assert got._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "Aggregate"
+    # Other goals, and tables put in its place, are still made distinct.
+    assert answer(closed, ("reach", "?x", "?y"), ["x"]).count() == n + 1
+    assert [tuple(x) for x in answer(closed, ("reach", "?x", "?x")).where("x = 4").collect()] == [(4,)]
+    assert {tuple(x) for x in answer(closed, ("reach", 0, "?y")).collect()} == {(i,) for i in sides[0]}
+    closed["reach"] = settled(spark.createDataFrame([(1, 2), (1, 2)], "a1 long, a2 long"))
+    assert answer(closed, ("reach", "?x", "?y")).count() == 1
